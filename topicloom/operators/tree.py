@@ -25,7 +25,7 @@ from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, t
 from topicloom.operators.counts import Sequences
 from topicloom.operators.gibbs import by_position, longest_first
 from topicloom.operators.tokens import unnest
-from topicloom.session import cut_lineage, hold, lookup_join
+from topicloom.session import cut_lineage, fits_broadcast, hold, lookup_join
 
 NODE_ROW_BYTES = 64
 
@@ -511,6 +511,10 @@ class SamplePlan:
 
 
 def _node_slots(tree: TopicTree) -> tuple[TreeArrays, TermVectors]:
+    """Node arrays and term counts for the sampler, after a check of the node table's size."""
+    n_nodes = tree.nodes.count()
+    if not fits_broadcast(tree.nodes.sparkSession, NODE_ROW_BYTES * n_nodes):
+        raise ValueError(f"{n_nodes} nodes exceed the broadcast limit; use path_weights, which joins instead")
     arrays = TreeArrays.collect(tree.nodes)
     spark = tree.nodes.sparkSession
     slots = spark.createDataFrame(
@@ -530,6 +534,7 @@ def infer(tree: TopicTree, seqs: Sequences, iterations: int = 300, thinning: int
         raise ValueError(f"vocabulary size {seqs.n_terms} does not match the tree's {tree.n_terms}")
     arrays, vectors = _node_slots(tree)
     p = tree.params
+    # The first step draws a path from the levels alone, so any start will do.
     root = int(arrays.node_ids[0])
     start = random_levels(seqs.df.select("doc_id", "term_ids"), p.n_levels, p.seed).withColumn(
         "path", F.array_repeat(F.lit(root), p.n_levels)
@@ -575,6 +580,7 @@ def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTre
     share the new child.
     """
     state = cut_lineage(start_state(seqs, params))
+    held = state
     for sweep in range(sweeps):
         nodes, terms = tree_tables(state)
         tree = TopicTree(hold(nodes), terms, seqs.n_terms, params)
@@ -590,8 +596,9 @@ def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTre
         mapping = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c, i)])
         fresh = raw.withColumn("path", F.transform("path", lambda c: F.element_at(mapping, c)))
         tree.nodes.unpersist()
+        held.unpersist()
         vectors.release()
-        state = fresh
+        state, held = fresh, raw
     state = cut_lineage(state)
     nodes, terms = tree_tables(state)
     return TopicTree(cut_lineage(nodes), cut_lineage(terms), seqs.n_terms, params), state
