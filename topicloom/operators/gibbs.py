@@ -23,7 +23,7 @@ from topicloom.functions.numeric import digamma
 from topicloom.operators.arrow import TermColumns, TermVectors, pack_cells, ragged, spans, to_ragged, to_rows
 from topicloom.operators.counts import Sequences
 from topicloom.operators.tokens import unnest, with_runs
-from topicloom.session import cut_lineage, hold
+from topicloom.session import cut_lineage, hold, lookup_join
 
 
 Uniform = Callable[..., Column]
@@ -41,6 +41,7 @@ class HdpParams:
     checkpoint_every: int = 10
     fixed_hyper: bool = True
     hyper_rounds: int = 10
+    hyper_after: int = 11
     alpha_prior: tuple[float, float] = (1.0, 1.0)
     beta_prior: tuple[float, float] = (1.0, 1.0)
     gamma_prior: tuple[float, float] = (5.0, 5.0)
@@ -159,6 +160,52 @@ def table_counts(
     )
 
 
+def token_conditional(
+    state: DataFrame,
+    vectors: TermVectors,
+    prior: Sequence[float],
+    totals: Sequence[float] | None,
+    beta: float = 0.0,
+    new_mass: float = 0.0,
+) -> DataFrame:
+    """(doc_id, term_id, topic_id, n, p_stay, p_new) of every labelled token.
+
+    The chance that a token keeps its topic when resampled alone, and that it opens a
+    new one; equal (document, term, topic) triples share a row.  With ``totals`` the
+    vectors are counts that include the token itself, without it they are fixed
+    topic-term shares.
+    """
+    k_all = len(prior)
+    cells = labelled_tokens(state).groupBy("doc_id", "term_id", "topic_id").agg(F.count("*").alias("n"))
+    used = state.select("doc_id", doc_vector("z", k_all).alias("d"))
+    rows = lookup_join(cells, vectors.df, ["term_id"], "inner", vectors.n_bytes, ["doc_id"]).join(used, "doc_id")
+    priors = F.array(*[F.lit(float(x)) for x in prior])
+    sizes = F.array(*[F.lit(float(x)) for x in (totals or [])]).cast("array<double>")
+
+    def mass(k: Column) -> Column:
+        own = F.when(k == F.col("topic_id"), F.lit(1.0)).otherwise(F.lit(0.0))
+        by_doc = F.get("d", k) - own + F.get(priors, k)
+        if totals is None:
+            return by_doc * F.get("w", k)
+        return by_doc * (F.get("w", k) - own + F.lit(beta)) / (F.get(sizes, k) - own)
+
+    weighed = rows.withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(k_all - 1)), mass))
+    total = F.aggregate("p", F.lit(float(new_mass)), lambda acc, x: acc + x)
+    return weighed.withColumn("total", total).select(
+        "doc_id", "term_id", "topic_id", "n",
+        (F.get("p", F.col("topic_id")) / F.col("total")).alias("p_stay"),
+        (F.lit(float(new_mass)) / F.col("total")).alias("p_new"),
+    )
+
+
+def doc_vector(labels: str, n_topics: int) -> Column:
+    """Counts of each topic among a document's labels."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n_topics - 1)),
+        lambda k: F.size(F.filter(labels, lambda v: v == k)).cast("double"),
+    )
+
+
 # ------------------------------------------------------------------- the sweep
 
 
@@ -432,7 +479,7 @@ class GibbsModel:
         self._adopt(raw, {r["k"]: (r["n"], r["t"], r["w"]) for r in per_topic.collect()})
         previous.unpersist()
         vectors.release()
-        if not p.fixed_hyper and not p.fixed_k and self.sweeps_done > 10:
+        if not p.fixed_hyper and not p.fixed_k and self.sweeps_done > p.hyper_after:
             self._refresh_hyper()
 
     def estimate(self, sweeps: int) -> "GibbsModel":
@@ -606,11 +653,8 @@ def topic_share(topic_totals: DataFrame) -> DataFrame:
 
 def doc_topic_table(state: DataFrame, n_topics: int) -> DataFrame:
     """(doc_id, topic_id, n) with zeros for the topics a document does not use."""
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(n_topics - 1)),
-        lambda k: F.size(F.filter("z", lambda v: v == k)).cast("long"),
-    )
-    return state.select("doc_id", F.posexplode(counts).alias("topic_id", "n"))
+    rows = state.select("doc_id", F.posexplode(doc_vector("z", n_topics)).alias("topic_id", "n"))
+    return rows.withColumn("n", F.col("n").cast("long"))
 
 
 # -------------------------------------------------------------------- scoring
