@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.plans import hdp, lda, text
+from topicloom.plans import hdp, lda, stream, text, tree
 
-MODULES = (text, lda, hdp)
+MODULES = (text, lda, hdp, tree, stream)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: statement for module in MODULES for name, statement in module.ORACLES.items()}
 

@@ -33,6 +33,7 @@ STEPS = LdaParams(
 )
 FULL = LdaParams(n_topics=10, alpha=0.1, eta=0.1, kappa=0.7, tau=512.0, n_docs=1e4, batch_size=256)
 N_TOP = 15
+ONE_BATCH = 1 << 40
 
 
 def corpus(spark, sf_dir) -> tuple[BagOfWords, "text.Vocabulary"]:
@@ -154,6 +155,12 @@ def lda_fit_converged(spark, sf_dir):
 
 
 def lda_partial_fit(spark, sf_dir):
+    """The whole corpus as one online step."""
+    bag, _ = corpus(spark, sf_dir)
+    return _weights(OnlineLda(STEPS, batch_size=ONE_BATCH).partial_fit(bag).components)
+
+
+def lda_partial_fit_batches(spark, sf_dir):
     bag, vocab = corpus(spark, sf_dir)
     return OnlineLda(FULL).partial_fit(bag).top_words(vocab.df, N_TOP)
 
@@ -179,6 +186,7 @@ QUERIES = {
     "lda_trace": lda_trace,
     "lda_fit_converged": lda_fit_converged,
     "lda_partial_fit": lda_partial_fit,
+    "lda_partial_fit_batches": lda_partial_fit_batches,
     "lda_fit_transform": lda_fit_transform,
 }
 
@@ -277,6 +285,19 @@ _RHO = f"pow({sql.lit(STEPS.tau + 1)}, {sql.lit(-STEPS.kappa)})"
 _RATIO = f"({sql.lit(STEPS.n_docs)} / (SELECT count(*) FROM documents))"
 _WORDS = "(SELECT sum(cnt) FROM dt)"
 
+_ONLINE = f"""{_ONE}, online AS (
+          SELECT topic_id, term_id, w * (1.0::DOUBLE - {_RHO})
+                 + {_RHO} * ({ETA} + {_RATIO} * coalesce(stat, 0.0::DOUBLE)) AS w
+          FROM lam0 LEFT JOIN ass USING (topic_id, term_id))"""
+
+
+def _top(before: str, weights: str, extra: str = "") -> str:
+    return f"""{before}, ranked AS (
+          SELECT topic_id, term, w, row_number() OVER (PARTITION BY topic_id ORDER BY w DESC, term)::INTEGER AS rank
+          FROM {weights} JOIN vocab USING (term_id))
+        SELECT {extra} topic_id, rank, term, round(w, 6) AS weight FROM ranked WHERE rank <= {N_TOP}"""
+
+
 ORACLES = {
     "dirichlet_expectation": f"""
         WITH {text.prepared()}, x AS (
@@ -287,19 +308,14 @@ ORACLES = {
     "lda_estep": f"{_ONE} SELECT doc_id, topic_id, round(g, 6) AS gamma FROM ag2",
     "lda_sstats": f"{_ONE} SELECT topic_id, term_id, round(stat, 6) AS stat FROM ass",
     "lda_mstep_batch": f"{_STEP} SELECT topic_id, term_id, round(w, 6) AS weight FROM lam1",
-    "lda_mstep_online": f"""{_ONE}
-        SELECT topic_id, term_id, round(w * (1.0::DOUBLE - {_RHO})
-               + {_RHO} * ({ETA} + {_RATIO} * coalesce(stat, 0.0::DOUBLE)), 6) AS weight
-        FROM lam0 LEFT JOIN ass USING (topic_id, term_id)""",
+    "lda_mstep_online": f"{_ONLINE} SELECT topic_id, term_id, round(w, 6) AS weight FROM online",
+    "lda_partial_fit": f"{_ONLINE} SELECT topic_id, term_id, round(w, 6) AS weight FROM online",
     "lda_transform": f"""{_ONE}
         SELECT doc_id, topic_id, round(g / sum(g) OVER (PARTITION BY doc_id), 6) AS theta FROM ag2""",
     "lda_bound": f"""{_ONE}
         SELECT round({_bound('at2', 'm0')}, 3) AS bound, round({_bound('at2', 'm0', _RATIO)}, 3) AS scaled""",
     "lda_perplexity": f"{_ONE} SELECT round(exp(-{_bound('at2', 'm0')} / {_WORDS}), 4) AS perplexity",
-    "lda_top_words": f"""{_STEP}, ranked AS (
-          SELECT topic_id, term, w, row_number() OVER (PARTITION BY topic_id ORDER BY w DESC, term)::INTEGER AS rank
-          FROM lam1 JOIN vocab USING (term_id))
-        SELECT topic_id, rank, term, round(w, 6) AS weight FROM ranked WHERE rank <= {N_TOP}""",
+    "lda_top_words": _top(_STEP, "lam1"),
     "lda_fit": f"{_TWO} SELECT topic_id, term_id, round(w, 6) AS weight FROM lam2",
     "lda_trace": f"""{_TWO}
         SELECT 0::INTEGER AS iteration, round(exp(-{_bound('at2', 'm1')} / {_WORDS}), 4) AS perplexity
