@@ -404,6 +404,7 @@ class GibbsModel:
     topic_terms: DataFrame | None = None
     sweeps_done: int = 0
     trace: list[tuple[int, int, int, float]] = field(default_factory=list)
+    _held: DataFrame | None = None
 
     @property
     def n_topics(self) -> int:
@@ -477,7 +478,8 @@ class GibbsModel:
             )
         )
         self._adopt(raw, {r["k"]: (r["n"], r["t"], r["w"]) for r in per_topic.collect()})
-        previous.unpersist()
+        if previous is not None:
+            previous.unpersist()
         vectors.release()
         if not p.fixed_hyper and not p.fixed_k and self.sweeps_done > p.hyper_after:
             self._refresh_hyper()
@@ -709,7 +711,7 @@ def _score_batches(columns: TermColumns, prior, seed: int, sweeps: int):
                         to_ragged(part, z, pa.int32()),
                         to_rows(theta),
                         pa.array(np.diff(part), pa.int32()),
-                        pa.array(loglik),
+                        pa.array(loglik, pa.float64()),
                     ],
                     names=["doc_id", "z", "theta", "n_tokens", "loglik"],
                 )
