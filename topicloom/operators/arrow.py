@@ -32,7 +32,7 @@ def to_rows(matrix: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.Array:
     return to_ragged(np.arange(n + 1) * k, np.ascontiguousarray(matrix).ravel(), kind)
 
 
-def spans(offsets: np.ndarray, width: int, cells: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def spans(offsets: np.ndarray, width: int, cells: int = 400_000) -> Iterator[tuple[int, int]]:
     """Split the documents of a batch so that tokens x width stays near ``cells``."""
     start, n = 0, len(offsets) - 1
     room = max(1, cells // max(1, width))

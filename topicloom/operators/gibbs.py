@@ -545,9 +545,10 @@ class GibbsModel:
         )
 
     def scorer(self, prior: str = "symmetric") -> "Scorer":
-        k = self.n_topics
+        """Scorer with weight alpha per topic, or alpha x tau for ``prior='tau'``."""
         weights = [self.params.alpha * (t if prior == "tau" else 1.0) for t in self.tau]
-        vectors = smoothed_vectors(pack_cells(self.topic_terms, "topic_id", "n", k), self.n_terms, self.totals, self.params.beta)
+        packed = pack_cells(self.topic_terms, "topic_id", "n", self.n_topics)
+        vectors = smoothed_vectors(packed, self.n_terms, self.totals, self.params.beta)
         return Scorer(tuple(weights), self.n_terms, cut_lineage(vectors), self.params.seed)
 
 
@@ -749,22 +750,25 @@ def scored_perplexity(scores: DataFrame) -> float | None:
     return math.exp(-row[0] / row[1]) if row[1] else None
 
 
-def doc_topic_share(doc_topics: DataFrame, n_topics: int, alpha: float) -> DataFrame:
-    """(doc_id, topic_id, theta): (n + alpha) / (n_doc + K alpha) from zero-filled counts."""
-    totals = doc_topics.groupBy("doc_id").agg(F.sum("n").alias("_n"))
-    return doc_topics.join(totals, "doc_id").select(
+def doc_topic_share(state: DataFrame, n_topics: int, alpha: float) -> DataFrame:
+    """(doc_id, theta array<double>): (n + alpha) / (n_doc + K alpha), within the row."""
+    counts = state.select("doc_id", F.size("z").alias("_n"), doc_vector("z", n_topics).alias("_d"))
+    return counts.select(
         "doc_id",
-        "topic_id",
-        ((F.col("n") + F.lit(alpha)) / (F.col("_n") + F.lit(n_topics * alpha))).alias("theta"),
+        F.transform("_d", lambda n: (n + F.lit(alpha)) / (F.col("_n") + F.lit(n_topics * alpha))).alias("theta"),
     )
 
 
-def heldout_perplexity(doc_terms: DataFrame, theta: DataFrame, phi: DataFrame) -> DataFrame:
-    """One row: tokens, log likelihood and perplexity of counts under theta and phi."""
-    cells = doc_terms.join(phi, "term_id").join(theta, ["doc_id", "topic_id"])
-    p = cells.groupBy("doc_id", "term_id").agg(
-        F.sum(F.col("theta") * F.col("phi")).alias("p"), F.first("cnt").alias("cnt")
+def heldout_perplexity(doc_terms: DataFrame, theta: DataFrame, phi: TermVectors) -> DataFrame:
+    """One row: tokens, log likelihood and perplexity of ``doc_terms(doc_id, term_id, cnt)``.
+
+    ``theta(doc_id, theta array<double>)`` and ``phi`` are packed by topic, so the
+    probability of a word is a dot product within one row.
+    """
+    cells = lookup_join(
+        doc_terms, phi.df.select("term_id", "w"), ["term_id"], "inner", phi.n_bytes, ["doc_id"]
+    ).join(theta, "doc_id")
+    p = F.aggregate(F.zip_with("theta", "w", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    return cells.agg(F.sum("cnt").alias("n_tokens"), F.sum(F.col("cnt") * F.ln(p)).alias("loglik")).select(
+        "n_tokens", "loglik", F.exp(-F.col("loglik") / F.col("n_tokens")).alias("perplexity")
     )
-    return p.agg(
-        F.sum("cnt").alias("n_tokens"), F.sum(F.col("cnt") * F.ln("p")).alias("loglik")
-    ).select("n_tokens", "loglik", F.exp(-F.col("loglik") / F.col("n_tokens")).alias("perplexity"))

@@ -21,7 +21,7 @@ from topicloom.functions.draws import hash_gamma_100
 from topicloom.functions.numeric import digamma, lgamma, np_digamma, np_dirichlet_expectation, np_lgamma
 from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, sum_vectors, to_rows
 from topicloom.operators.counts import BagOfWords, assign_batches
-from topicloom.session import cut_lineage, fresh_path, hold, parallelism
+from topicloom.session import cut_lineage, fresh_path, hold, lookup_join, parallelism
 
 TINY = 1e-100
 
@@ -122,46 +122,61 @@ def dirichlet_expectation(rows: DataFrame, key: str, weight: str, out: str = "el
 # ------------------------------------------------------------------ the E-step
 
 
-def estep_kernel(offsets, cnts, cols, alpha, max_iter, tol):
-    """Iterate gamma for a block of documents at once.
+def length_groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Non-empty documents in groups of similar length (padding stays near a quarter)."""
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    start = 0
+    while start < len(order):
+        limit = lengths[order[start]] * 1.25 + 4
+        stop = int(np.searchsorted(lengths[order], limit, side="right"))
+        yield order[start:stop]
+        start = stop
+
 
-    ``cols`` holds exp(E[log beta]) of each token row.  Documents that meet ``tol``
-    are frozen; the block shrinks when enough of its rows belong to frozen ones.
-    Returns gamma and each row's share of the sufficient statistics.
+def iterate_gamma(block, cnts, alpha, max_iter, tol):
+    """Gamma of equally wide documents: ``block`` [docs, width, topics] holds
+    exp(E[log beta]), ``cnts`` [docs, width] the counts, both padded with zeros.
+
+    Documents that meet ``tol`` are frozen; the block shrinks when a quarter of it is.
     """
-    n, k = len(offsets) - 1, cols.shape[1]
-    gamma = np.ones((n, k))
-    lengths = np.diff(offsets)
-    gamma[lengths == 0] = alpha
-    live = np.flatnonzero(lengths)
-    doc_of = np.repeat(np.arange(len(live)), lengths[live])
-    block_cols, block_cnts = cols, cnts
-    theta = np.exp(np_dirichlet_expectation(gamma[live])) if len(live) else None
+    gamma = np.ones((len(cnts), block.shape[2]))
+    live = np.arange(len(cnts))
+    theta = np.exp(np_dirichlet_expectation(gamma))
     frozen = np.zeros(len(live), dtype=bool)
     for _ in range(max_iter):
-        if not len(live):
-            break
-        starts = np.concatenate([[0], np.cumsum(lengths[live])[:-1]])
-        norm = np.einsum("ij,ij->i", theta[doc_of], block_cols) + TINY
-        fresh = alpha + theta * np.add.reduceat(block_cols * (block_cnts / norm)[:, None], starts, axis=0)
+        norm = np.matmul(block, theta[:, :, None])[:, :, 0] + TINY
+        fresh = alpha + theta * np.matmul((cnts / norm)[:, None, :], block)[:, 0, :]
         change = np.abs(fresh - gamma[live]).mean(axis=1)
         moving = ~frozen
         gamma[live[moving]] = fresh[moving]
         frozen |= change < tol
-        theta = np.exp(np_dirichlet_expectation(gamma[live]))
         if frozen.all():
             break
-        kept = ~frozen
-        if lengths[live[frozen]].sum() * 4 > len(doc_of):
-            rows = kept[doc_of]
-            block_cols, block_cnts = block_cols[rows], block_cnts[rows]
-            live, theta = live[kept], theta[kept]
-            doc_of = np.repeat(np.arange(len(live)), lengths[live])
+        if frozen.mean() > 0.25:
+            kept = ~frozen
+            live, block, cnts = live[kept], block[kept], cnts[kept]
             frozen = np.zeros(len(live), dtype=bool)
+        theta = np.exp(np_dirichlet_expectation(gamma[live]))
+    return gamma
+
+
+def estep_kernel(offsets, cnts, cols, alpha, max_iter, tol):
+    """Gamma of a run of documents and each token row's share of the statistics."""
+    n, k = len(offsets) - 1, cols.shape[1]
+    lengths = np.diff(offsets)
+    gamma = np.full((n, k), alpha)
+    for docs in length_groups(lengths):
+        place = np.arange(lengths[docs[-1]])
+        inside = place < lengths[docs][:, None]
+        at = np.where(inside, offsets[docs][:, None] + place, 0)
+        block = cols[at]
+        block[~inside] = 0.0
+        gamma[docs] = iterate_gamma(block, np.where(inside, cnts[at], 0.0), alpha, max_iter, tol)
     doc_of = np.repeat(np.arange(n), lengths)
-    theta = np.exp(np_dirichlet_expectation(gamma))[doc_of]
-    norm = np.einsum("ij,ij->i", theta, cols) + TINY
-    return gamma, theta * cols * (cnts / norm)[:, None]
+    stat = np.exp(np_dirichlet_expectation(gamma))[doc_of] * cols
+    stat *= (cnts / (stat.sum(axis=1) + TINY))[:, None]
+    return gamma, stat
 
 
 ESTEP_SCHEMA = "doc_id long, gamma array<double>, term_id int, stat array<double>"
@@ -176,7 +191,7 @@ def _estep_batches(columns: TermColumns, alpha, max_iter, tol, want_stats):
             _, cnts = ragged(batch.column("cnts"))
             doc_ids = batch.column("doc_id").to_numpy()
             vectors = columns.of(batch, ids)
-            for a, b in spans(offsets, columns.width):
+            for a, b in spans(offsets, columns.width, 4_000_000):
                 lo, hi = offsets[a], offsets[b]
                 block = np.exp(vectors(lo, hi))
                 gamma, stat = estep_kernel(offsets[a : b + 1] - lo, cnts[lo:hi], block, alpha, max_iter, tol)
@@ -244,26 +259,26 @@ def sufficient_stats(estep_rows: DataFrame, n_topics: int) -> DataFrame:
     )
 
 
-def estep_once(doc_terms: DataFrame, weights: DataFrame, theta: DataFrame, alpha: float) -> DataFrame:
-    """One E-step pass as joins: (doc_id, topic_id, gamma).
+def estep_once(doc_terms: DataFrame, beta: TermVectors, theta: DataFrame, alpha: float) -> DataFrame:
+    """One E-step pass as joins: (doc_id, gamma array<double>).
 
-    ``doc_terms(doc_id, term_id, cnt)``, ``weights(topic_id, term_id, beta)`` with
-    beta = exp(E[log beta]) and ``theta(doc_id, topic_id, theta)`` in the same form.
-    The normaliser is aggregated per (document, term), gamma per (document, topic).
+    ``doc_terms(doc_id, term_id, cnt)``, ``beta`` with w = exp(E[log beta]) and
+    ``theta(doc_id, t array<double>)`` in the same form.  Topics stay packed, so the
+    pass has one row per count and one map-side combined sum per document.
     """
-    cells = doc_terms.join(weights, "term_id").join(theta, ["doc_id", "topic_id"])
-    norms = cells.groupBy("doc_id", "term_id").agg(
-        (F.sum(F.col("theta") * F.col("beta")) + F.lit(TINY)).alias("norm")
-    )
-    mass = (
-        cells.join(norms, ["doc_id", "term_id"])
-        .groupBy("doc_id", "topic_id")
-        .agg(F.sum(F.col("cnt") / F.col("norm") * F.col("beta")).alias("mass"))
+    k = beta.columns.width
+    cells = lookup_join(
+        doc_terms, beta.df.select("term_id", "w"), ["term_id"], "inner", beta.n_bytes, ["doc_id"]
+    ).join(theta, "doc_id")
+    dot = F.aggregate(F.zip_with("t", "w", lambda t, w: t * w), F.lit(0.0), lambda acc, x: acc + x)
+    shares = cells.withColumn("_r", F.col("cnt") / (dot + F.lit(TINY))).select(
+        "doc_id", F.transform("w", lambda w: w * F.col("_r")).alias("mass")
     )
-    return theta.join(mass, ["doc_id", "topic_id"], "left").select(
+    return theta.join(sum_vectors(shares, "doc_id", "mass", k), "doc_id", "left").select(
         "doc_id",
-        "topic_id",
-        (F.lit(alpha) + F.col("theta") * F.coalesce("mass", F.lit(0.0))).alias("gamma"),
+        F.transform(
+            "t", lambda t, i: F.lit(alpha) + t * F.coalesce(F.get("mass", i), F.lit(0.0))
+        ).alias("gamma"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.operators import gibbs
-from topicloom.operators.arrow import TermVectors, pack_cells
+from topicloom.operators.arrow import TermColumns, TermVectors, pack_cells
 from topicloom.operators.counts import Sequences, doc_term_counts, feature_sequences
 from topicloom.operators.gibbs import GibbsModel, HdpParams
 from topicloom.operators.tokens import LETTERS_PUNCT
@@ -43,6 +43,13 @@ def totals_of(state):
     return [found.get(k, 0.0) for k in range(K)]
 
 
+def shares(state, n_terms):
+    """Packed topic-term shares of the labels, for joins."""
+    packed = pack_cells(gibbs.topic_term_counts(state), "topic_id", "n", K)
+    phi = gibbs.smoothed_vectors(packed, n_terms, totals_of(state), PARAMS.beta)
+    return TermVectors(phi, 8.0 * n_terms * K, TermColumns(None, K))
+
+
 def hdp_init(spark, sf_dir):
     return gibbs.labelled_tokens(labelled(spark, sf_dir)[0])
 
@@ -58,7 +65,7 @@ def hdp_counts(spark, sf_dir):
 def hdp_token_conditional(spark, sf_dir):
     state, seqs, *_ = labelled(spark, sf_dir)
     counts = gibbs.topic_term_counts(state)
-    vectors = TermVectors(pack_cells(counts, "topic_id", "n", K), 8.0 * seqs.n_terms * K, None)
+    vectors = TermVectors(pack_cells(counts, "topic_id", "n", K), 8.0 * seqs.n_terms * K, TermColumns(None, K))
     smoothed = [n + seqs.n_terms * PARAMS.beta for n in totals_of(state)]
     out = gibbs.token_conditional(
         state, vectors, [PARAMS.alpha / K] * K, smoothed, PARAMS.beta, PARAMS.alpha / K / seqs.n_terms
@@ -162,25 +169,20 @@ def score_init(spark, sf_dir):
 
 def score_token_conditional(spark, sf_dir):
     state, seqs, *_ = labelled(spark, sf_dir)
-    packed = pack_cells(gibbs.topic_term_counts(state), "topic_id", "n", K)
-    phi = gibbs.smoothed_vectors(packed, seqs.n_terms, totals_of(state), PARAMS.beta)
-    vectors = TermVectors(phi, 8.0 * seqs.n_terms * K, None)
-    out = gibbs.token_conditional(state, vectors, [PARAMS.alpha] * K, None)
+    out = gibbs.token_conditional(state, shares(state, seqs.n_terms), [PARAMS.alpha] * K, None)
     return out.drop("p_new").withColumn("p_stay", F.round("p_stay", 6))
 
 
 def doc_topic_share(spark, sf_dir):
-    table = gibbs.doc_topic_table(labelled(spark, sf_dir)[0], K)
-    out = gibbs.doc_topic_share(table, K, PARAMS.alpha)
-    return out.withColumn("theta", F.round("theta", 9))
+    out = gibbs.doc_topic_share(labelled(spark, sf_dir)[0], K, PARAMS.alpha)
+    rows = out.select("doc_id", F.posexplode("theta").alias("topic_id", "theta"))
+    return rows.withColumn("theta", F.round("theta", 9))
 
 
 def heldout_perplexity(spark, sf_dir):
     state, seqs, vocab, docs = labelled(spark, sf_dir)
-    counts = gibbs.topic_term_counts(state)
-    phi = gibbs.topic_word_shares(counts, vocab.df.select("term_id"), seqs.n_terms, totals_of(state), PARAMS.beta)
-    theta = gibbs.doc_topic_share(gibbs.doc_topic_table(state, K), K, PARAMS.alpha)
-    out = gibbs.heldout_perplexity(doc_term_counts(docs, vocab), theta, phi)
+    theta = gibbs.doc_topic_share(state, K, PARAMS.alpha)
+    out = gibbs.heldout_perplexity(doc_term_counts(docs, vocab), theta, shares(state, seqs.n_terms))
     return out.select("n_tokens", F.round("loglik", 3).alias("loglik"), F.round("perplexity", 4).alias("perplexity"))
 
 

@@ -6,8 +6,13 @@ the fit and the SQL repeats the steps over the whole corpus.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from topicloom.functions.numeric import np_dirichlet_expectation
+from topicloom.operators.arrow import TermVectors
 from topicloom.operators.counts import BagOfWords, bag_of_words, doc_term_counts, unpack_counts
 from topicloom.operators.lda import (
     LdaParams,
@@ -79,15 +84,11 @@ def lda_init(spark, sf_dir):
 def lda_estep_once(spark, sf_dir):
     bag, _ = corpus(spark, sf_dir)
     model = started(bag)
-    beta = components_long(log_weights(model.components, model.summary.totals)).select(
-        "topic_id", "term_id", F.exp("weight").alias("beta")
-    )
-    ones = bag.df.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(STEPS.n_topics - 1))).alias("topic_id"))
-    theta = dirichlet_expectation(ones.withColumn("g", F.lit(1.0)), "doc_id", "g").select(
-        "doc_id", "topic_id", F.exp("elog").alias("theta")
-    )
-    out = estep_once(unpack_counts(bag), beta, theta, STEPS.alpha)
-    return out.select("doc_id", "topic_id", F.round("gamma", 6).alias("gamma"))
+    weights = log_weights(model.components, model.summary.totals)
+    beta = TermVectors.of(weights.withColumn("w", F.transform("w", F.exp)), bag.n_terms, STEPS.n_topics)
+    ones = F.array_repeat(F.lit(math.exp(float(np_dirichlet_expectation(np.ones((1, STEPS.n_topics)))[0, 0]))), STEPS.n_topics)
+    out = estep_once(unpack_counts(bag), beta, bag.df.select("doc_id", ones.alias("t")), STEPS.alpha)
+    return _long(out, "gamma", "gamma")
 
 
 def lda_estep(spark, sf_dir):
