@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, quality_rules
-from topicloom.llm.common import read
+from topicloom.llm import bpe, mixing, quality_rules, sharding
+from topicloom.llm.common import read, word_count
+from topicloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +21,61 @@ def query(f):
     return f
 
 
+@query
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
+    path = fresh_path(spark, "sizes")  # Each text is read once; all later passes read sizes only.
+    docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")).write.parquet(path)
+    mixed = mixing.mix(spark.read.parquet(path), size=F.col("n_words"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+ORACLES["op1_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws('|', '7', doc_id::VARCHAR)), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+  FROM d GROUP BY source),
+k AS (
+  SELECT *, row_number() OVER o AS i, sum(source_size) OVER o AS s_upto, sum(w) OVER o AS w_upto
+  FROM s WINDOW o AS (ORDER BY source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT sum(source_size)::DOUBLE AS total, sum(w) AS weights FROM s),
+lev AS (
+  SELECT i, (total - 3.0 * (s_upto - source_size)) / (weights - (w_upto - w)) AS level,
+         3.0 * source_size / w AS own FROM k, a),
+top AS (SELECT level FROM lev WHERE own > level ORDER BY i LIMIT 1),
+t AS (
+  SELECT source, source_size, least(3.0 * source_size, (SELECT level FROM top) * w) AS target FROM s),
+p AS (SELECT *, round(target)::BIGINT AS words FROM t),
+q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS whole FROM p),
+e AS (
+  SELECT d.doc_id, d.source, size, source_size, target, whole, words - whole * source_size AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, source,
+       (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+FROM e
+"""
+
+
+@query
+def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(read(spark, sf_dir, "documents"), 40)
+    return placed.select(
+        "doc_id",
+        sharding.record_bytes().alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.ledger(read(spark, sf_dir, "documents", "doc_id", "text"))
