@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, mixing, quality_rules, sharding
+from topicloom.llm import bpe, licences, mixing, quality_rules, sharding, url_filter
 from topicloom.llm.common import read, word_count
 from topicloom.session import fresh_path
 
@@ -140,3 +140,60 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.get("matches", F.lit(0))
+    found = licences.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        best["licence"].alias("licence"),
+        best["dice"].alias("dice"),
+        best["notice"].alias("notice"),
+        F.size("matches").cast("long").alias("n_matches"),
+    )
+
+
+def _licence_sql() -> str:
+    grams = [
+        f"({i}, '{name}', {sum(found.values())}, '{gram}', {n})"
+        for i, (name, notice) in enumerate(licences.TEMPLATES)
+        for found in [licences.template_bigrams(notice)]
+        for gram, n in sorted(found.items())
+    ]
+    return rf"""
+WITH g(t, licence, size, gram, n) AS (VALUES {", ".join(grams)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+l AS (SELECT r, unnest(string_split(x, chr(10))) AS s, generate_subscripts(string_split(x, chr(10)), 1) - 1 AS line FROM d),
+u AS (SELECT * FROM l UNION ALL SELECT r, x, -1 FROM d WHERE contains(x, chr(10))),
+w AS (SELECT r, line, regexp_extract_all(lower(s), '[\pL\pN]+') AS w FROM u),
+b AS (SELECT r, line, len(w) - 1 AS a, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) AS gram
+      FROM w WHERE len(w) BETWEEN 2 AND 200),
+c AS (SELECT r, line, a, gram, count(*) AS m FROM b GROUP BY ALL),
+s AS (SELECT r, line, licence, 2.0::DOUBLE * sum(least(m, n)) / (a + size) AS dice
+      FROM c JOIN g USING (gram) GROUP BY r, line, a, t, licence, size),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, line, licence) AS i, count(*) OVER (PARTITION BY r) AS n
+      FROM s WHERE dice >= {licences.MIN_DICE})
+SELECT doc_id, licence, dice, s AS notice, coalesce(n, 0)::BIGINT AS n_matches
+FROM d LEFT JOIN (SELECT k.*, s FROM k JOIN u USING (r, line) WHERE i = 1) USING (r)
+"""
+
+
+ORACLES["op6_licence_scan"] = _licence_sql()
+
+#: (host, path, verdict)
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+@query
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number its URL ends in: bad if of low quality or toxic."""
+    pages = read(spark, sf_dir, "pages", "page_id", "url")
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]+)[^0-9/]*/?$", 1)
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = read(spark, sf_dir, "labels", "doc_id", bad.alias("bad"))
+    labelled = pages.select("url", number.try_cast("long").alias("doc_id"))
+    mined = url_filter.mine(labelled.join(labels, "doc_id"))
+    given = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, given, mined).select("page_id", "host", "path", "rule", "verdict")
