@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, licences, mixing, quality_rules, sharding, url_filter
-from topicloom.llm.common import read, word_count
+from topicloom.llm import bpe, language_id, licences, mixing, quality_knn, quality_rules, sharding, url_filter
+from topicloom.llm.common import crc_mod, read, word_count
 from topicloom.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,24 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     mined = url_filter.mine(labelled.join(labels, "doc_id"))
     given = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(pages, given, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _held_out(mod: int, rest: int) -> Column:
+    return F.coalesce(crc_mod(F.col("doc_id"), mod) == rest, F.lit(False))
+
+
+@query
+def op8_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", _held_out(5, 0))
+    labels = read(spark, sf_dir, "labels", "doc_id", F.col("quality").alias("label"))
+    known = docs.filter("NOT held_out").join(labels, "doc_id")
+    scored = quality_knn.score(docs, quality_knn.learn(known))
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
+
+
+@query
+def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", _held_out(4, 2))
+    profiles = language_id.learn(docs.filter("NOT held_out"))
+    return language_id.identify(docs, profiles).select("doc_id", "held_out", "lang_pred", "score")
