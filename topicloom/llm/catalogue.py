@@ -207,8 +207,8 @@ def _held_out(mod: int, rest: int) -> Column:
 def op8_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", _held_out(5, 0))
     labels = read(spark, sf_dir, "labels", "doc_id", F.col("quality").alias("label"))
-    known = docs.filter("NOT held_out").join(labels, "doc_id")
-    scored = quality_knn.score(docs, quality_knn.learn(known))
+    labels = labels.filter(~_held_out(5, 0))
+    scored = quality_knn.score(docs, quality_knn.learn(docs, labels))
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
     return scored.select("doc_id", "held_out", "score", predicted.alias("predicted"))
 

@@ -129,16 +129,21 @@ def _features_udf():
     return text_udf(kernel, "array<float>")
 
 
-def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", most: int = LABELLED) -> Voters:
-    """From at most ``most`` labelled rows, those first by a hash of the key; rows without a label do not count.
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = LABELLED) -> Voters:
+    """From at most ``most`` documents with a label in ``labels(key, label)``, those first by a hash of the key.
 
-    The driver gets the sample's feature rows, ``most`` x ``TERMS`` floats.
+    The labels are cut to ``most`` first, so only that many rows are broadcast and no text
+    is shuffled.  Null labels do not count; a repeated key counts with each of its texts,
+    up to ``most`` in all.  The driver gets ``most`` x ``TERMS`` floats.
     """
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64(F.lit(3), key).alias("_h"), F.col(text).alias("text"), F.col(label).alias("label"))
-    picked = rows.orderBy("_h", "text").limit(most).withColumn("terms", _features_udf()(F.col("text"))).select("terms", "label").toArrow()
-    flat = [c.flatten().to_numpy() for c in picked.column("terms").chunks]
-    matrix = np.concatenate(flat).reshape(-1, TERMS) if picked.num_rows else np.zeros((0, TERMS), np.float32)
-    return Voters.of(matrix, picked.column("label").to_numpy().astype(np.float64))
+    first = [F.xxhash64(F.lit(3), F.col(key)), F.col(key)]
+    picked = labels.filter("label IS NOT NULL").select(key, "label").orderBy(*first, "label").limit(most)
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key)
+    rows = rows.orderBy(*first, "label", "text").limit(most).withColumn("terms", _features_udf()(F.col("text")))
+    found = rows.select("terms", "label").toArrow()
+    flat = [c.flatten().to_numpy() for c in found.column("terms").chunks]
+    matrix = np.concatenate(flat).reshape(-1, TERMS) if found.num_rows else np.zeros((0, TERMS), np.float32)
+    return Voters.of(matrix, found.column("label").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, voters: Voters, text: str = "text", out: str = "score") -> DataFrame:
