@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language_id, licences, mixing, quality_knn, quality_rules, sharding, url_filter
+from topicloom.llm import bpe, language_id, licences, mixing, near_dup, quality_knn, quality_rules, sharding, url_filter
 from topicloom.llm.common import crc_mod, read, word_count
 from topicloom.session import fresh_path
 
@@ -218,3 +218,9 @@ def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", _held_out(4, 2))
     profiles = language_id.learn(docs.filter("NOT held_out"))
     return language_id.identify(docs, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return near_dup.groups(docs, like=near_dup.Likeness(words=3, percent=85))
