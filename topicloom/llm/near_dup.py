@@ -5,14 +5,17 @@
 2. Sketches are inverted: a list per retained value.  Nodes similar enough to be linked
    share at least ``overlap`` retained values, so each files only under its rarest ones,
    the others could not all be shared without one of these.
-3. In each list the members are compared to the most central member first.  Members of
-   lists that links have not joined up are then compared to each other.
-4. A pair is estimated on the sketch of the union (a subset of the two sketches), and
-   confirmed by the exact Jaccard similarity of the full sets.
+3. In each list the members are compared to the most central member.  A pair is estimated
+   on the sketch of the union (a part of the two sketches), and confirmed by the exact
+   Jaccard similarity of the full sets.
+4. Members of lists that these links have not joined up go on with their full sets: each
+   files under its rarest shingles, as many as a linked set cannot all lack.  Such lists
+   hold hardly any pair that is not linked.  Again members are compared to the most
+   central one, then the members of what is still apart to each other.
 5. Links give components by alternating star contractions.
 
 Full sets are made for candidates only.  Step 2 loses a link only where a sample of k
-values strays five standard deviations from its mean.
+values strays five standard deviations from its mean; step 4 loses none.
 """
 
 from __future__ import annotations
@@ -136,18 +139,17 @@ def _small(df: DataFrame, n_bytes: float) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df.sparkSession, n_bytes * df.count()) else df
 
 
-def postings(nodes: DataFrame, like: Likeness) -> DataFrame:
-    """(v, id, n, central): each node under its rarest retained values that others retain too.
+def postings(nodes: DataFrame, values: str, size: Column, filed: Column) -> DataFrame:
+    """(v, id, n, central): each node under the ``filed`` rarest of its ``size`` values, as far as others have them too.
 
     ``central`` is high where a node's values are common ones: the text that copies derive from.
     """
-    each = nodes.select("id", "n", F.explode("sketch").alias("v"))
+    each = nodes.select("id", "n", F.explode(values).alias("v"))
     shared = each.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
     by_node = each.join(shared, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("values"))
-    single = F.least("n", F.lit(like.k)) - F.size("values")
-    central = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.ln(x["f"])) / F.least("n", F.lit(like.k))
-    filed = F.slice("values", F.lit(1), F.greatest(F.lit(0), like.filed(F.col("n")) - single).cast("int"))
-    return by_node.select("id", "n", central.alias("central"), F.explode(filed).alias("e")).select(
+    central = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.ln(x["f"])) / size
+    first = F.slice("values", F.lit(1), F.greatest(F.lit(0), filed - (size - F.size("values"))).cast("int"))
+    return by_node.select("id", "n", central.alias("central"), F.explode(first).alias("e")).select(
         F.col("e.v").alias("v"), "id", "n", "central"
     )
 
@@ -156,20 +158,47 @@ def _near_in_size(a: Column, b: Column, like: Likeness) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * like.percent
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) that are linked: estimated on the union's sketch, then exact on full sets."""
+def _estimated(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) whose overlap in the sketch of the union is that of linked sets."""
     sketch = nodes.select("id", "sketch")
     both = pairs.join(sketch.toDF("a", "_sa"), "a").join(sketch.toDF("b", "_sb"), "b")
     union = F.slice(F.array_sort(F.array_union("_sa", "_sb")), 1, like.k)
     common = F.size(F.array_intersect(union, F.array_intersect("_sa", "_sb")))
-    near = _written(both.filter(common * like.k >= F.size(union) * like.overlap).select("a", "b"), "pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _written(docs.join(_small(ids, 16.0), "id", "left_semi").select("id", _sets(like)("text").alias("set")), "sets")
-    full = near.join(sets.toDF("a", "_sa"), "a").join(sets.toDF("b", "_sb"), "b")
-    full = full.select("a", "b", F.size("_sa").alias("_na"), F.size("_sb").alias("_nb"), F.size(F.array_intersect("_sa", "_sb")).alias("_c"))
+    return both.filter(common * like.k >= F.size(union) * like.overlap).select("a", "b")
+
+
+def _full_sets(ids: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """(id, n, set) of some documents, written."""
+    rows = docs.join(_small(ids.distinct(), 16.0), "id", "left_semi").select("id", _sets(like)("text").alias("set"))
+    return _written(rows.select("id", F.size("set").cast("long").alias("n"), "set"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) that are linked, by their full sets."""
+    full = pairs.join(sets.toDF("a", "_na", "_sa"), "a").join(sets.toDF("b", "_nb", "_sb"), "b")
+    full = full.select("a", "b", "_na", "_nb", F.size(F.array_intersect("_sa", "_sb")).alias("_c"))
     return full.filter(F.col("_c") * 100 >= (F.col("_na") + F.col("_nb") - F.col("_c")) * like.percent).select("a", "b").distinct()
 
 
+def _centres(lists: DataFrame) -> DataFrame:
+    best = lists.groupBy("v").agg(F.max(F.struct("central", "n", "id")).alias("c"))
+    return best.select("v", F.col("c.id").alias("_hub"), F.col("c.n").alias("_hub_n"))
+
+
+def _stars(lists: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of each list's centre and its other members, as far as their sizes allow a link."""
+    rows = lists.join(_centres(lists), "v").filter("id <> _hub").filter(_near_in_size(F.col("n"), F.col("_hub_n"), like))
+    return rows.select(F.least("id", "_hub").alias("a"), F.greatest("id", "_hub").alias("b")).distinct()
+
+
+def _apart(lists: DataFrame, part: DataFrame) -> DataFrame:
+    """``lists`` with components ``c``, without centres, where a list still spans several components."""
+    rest = lists.join(_centres(lists), "v").filter("id <> _hub").join(part, "id", "left")
+    rest = rest.select("v", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = rest.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
+    return rest.join(mixed, "v", "left_semi")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable, for every id in ``links(a, b)``.
 
@@ -231,22 +260,22 @@ def _shared_keys(keyed: DataFrame, nodes: DataFrame, same: list[str]) -> DataFra
 
 def _links(nodes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """Links that join up every component of the similarity graph of ``nodes``."""
-    lists = _written(postings(nodes, like), "postings")
-    centre = lists.groupBy("v").agg(F.max(F.struct("central", "n", "id")).alias("c"))
-    centre = centre.select("v", F.col("c.id").alias("_hub"), F.col("c.n").alias("_n"))
-    stars = lists.join(centre, "v").filter("id <> _hub").filter(_near_in_size(F.col("n"), F.col("_n"), like))
-    stars = stars.select(F.least("id", "_hub").alias("a"), F.greatest("id", "_hub").alias("b")).distinct()
-    links = _written(_confirmed(stars, nodes, docs, like), "links")
-    # What the stars left apart: members of one list in different components, none of them its centre.
-    part = components(links)
-    rest = lists.join(centre.select("v", "_hub"), "v").filter("id <> _hub").join(part, "id", "left")
-    rest = rest.select("v", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = rest.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
-    rest = _written(rest.join(mixed, "v", "left_semi"), "rest")
+    size = F.least(F.col("n"), F.lit(like.k))
+    lists = _written(postings(nodes, "sketch", size, like.filed(F.col("n"))), "postings")
+    near = _written(_estimated(_stars(lists, like), nodes, like), "pairs")
+    sets = _full_sets(near.select(F.explode(F.array("a", "b")).alias("id")), docs, like)
+    links = _written(_confirmed(near, sets, like), "links")
+
+    sets = _full_sets(_apart(lists, components(links)).select("id"), docs, like)
+    needed = F.col("n") + 1 - F.ceil(F.col("n") * like.percent / 100)
+    lists = _written(postings(sets, "set", F.col("n"), needed), "postings")
+    links = _written(links.union(_confirmed(_stars(lists, like), sets, like)), "links")
+
+    rest = _written(_apart(lists, components(links)), "rest")
     other = rest.toDF("v", "_id", "_n", "_c")
-    apart = rest.join(other, "v").filter("id < _id AND c <> _c").filter(_near_in_size(F.col("n"), F.col("_n"), like))
-    apart = apart.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
-    return links.union(_confirmed(apart, nodes, docs, like))
+    pairs = rest.join(other, "v").filter("id < _id AND c <> _c").filter(_near_in_size(F.col("n"), F.col("_n"), like))
+    pairs = pairs.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+    return links.union(_confirmed(pairs, sets, like))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
