@@ -2,9 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from topicloom.llm import bpe, language_id, mixing, near_dup, quality_rules
+from topicloom.llm.catalogue import WORD_BPE
+
+#: Documents less like every language than this are no text of a language.
+LEAST_LIKENESS = 0.2
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass every rule of the full policy."""
+    return quality_rules.keep(docs, "full-1")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus names; a document without a language gets the one found."""
+    named = language_id.identify(docs.select(F.struct("*").alias("_row"), F.col("text").alias("text")), language_id.learn(docs))
+    kept = named.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LIKENESS))
+    filled = F.col("_row").withField("lang", F.coalesce("_row.lang", "lang_pred"))
+    return kept.select(filled.alias("_row")).select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group; five-word shingles, similarity 0.8."""
+    return near_dup.deduplicate(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    mixed = mixing.repeat(mixing.mix(docs))
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, little-endian unsigned 32-bit integers, and the decoded text's hash."""
+    path = public_tokenizers.path(WORD_BPE)
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select(
+        "doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language", language),
+    ("near duplicates", near_duplicates),
+    ("source mix", mix),
+    ("tokens", tokens),
+]
+
+#: Rank-order profiles and byte-pair merges have no SQL form; a plain version in the tests checks the rows.
 ORACLE_SQL = None
 
 

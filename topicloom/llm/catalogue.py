@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language_id, licences, mixing, near_dup, quality_knn, quality_rules, sharding, url_filter
-from topicloom.llm.common import crc_mod, read, word_count
-from topicloom.session import fresh_path
+from topicloom.llm import bpe, language_id, licences, mixing, near_dup, neighbours, quality_knn, quality_rules, sharding, url_filter
+from topicloom.llm.common import crc_mod, read, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,9 +23,9 @@ def query(f):
 @query
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
-    path = fresh_path(spark, "sizes")  # Each text is read once; all later passes read sizes only.
-    docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")).write.parquet(path)
-    mixed = mixing.mix(spark.read.parquet(path), size=F.col("n_words"))
+    # Each text is read once; all later passes read sizes only.
+    docs = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("n_words")), "words")
+    mixed = mixing.mix(docs, size=F.col("n_words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -62,6 +61,12 @@ FROM e
 """
 
 
+@query
+def op2_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(vectors, F.pmod("vec_id", F.lit(100)) == 0)
+
+
 @query
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(read(spark, sf_dir, "documents"), 40)

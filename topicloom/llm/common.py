@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.session import fresh_path
+
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts a kernel turns into Python objects at once.
@@ -53,3 +55,10 @@ def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str):
 def crc_mod(key: Column, mod: int) -> Column:
     """crc32 of the key's text, modulo ``mod``; null stays null."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(mod))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: computed once, and kept if executors are lost."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

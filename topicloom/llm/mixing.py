@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.llm.common import WORD, word_count
+from topicloom.llm.common import WORD, word_count, written
 from topicloom.session import cut_lineage, fits_broadcast, with_row_index
 
 #: Documents that share a cell of the hash order, about; the running sums go over cells first.
@@ -85,7 +85,7 @@ def mix(
     """
     sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
     sized = sized.withColumn("_h", order_hash(seed, F.col(key))).drop("source_size", "target", "taken")
-    rows = sized.select(F.col(source).alias("source"), "size", "_h")
+    rows = written(sized.select(F.col(source).alias("source"), "size", "_h"), "sizes")
     stats = cut_lineage(
         rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     )

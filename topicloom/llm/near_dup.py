@@ -21,7 +21,6 @@ values strays five standard deviations from its mean; step 4 loses none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import text_udf
-from topicloom.session import cut_lineage, fits_broadcast, fresh_path
+from topicloom.llm.common import text_udf, written
+from topicloom.session import cut_lineage, fits_broadcast
 
 K = 64
 DEVIATIONS = 5.0
@@ -129,12 +128,6 @@ def _sets(like: Likeness):
     return text_udf(kernel, "array<bigint>")
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _small(df: DataFrame, n_bytes: float) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df.sparkSession, n_bytes * df.count()) else df
 
@@ -170,7 +163,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
 def _full_sets(ids: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """(id, n, set) of some documents, written."""
     rows = docs.join(_small(ids.distinct(), 16.0), "id", "left_semi").select("id", _sets(like)("text").alias("set"))
-    return _written(rows.select("id", F.size("set").cast("long").alias("n"), "set"), "sets")
+    return written(rows.select("id", F.size("set").cast("long").alias("n"), "set"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -230,10 +223,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Liken
     """
     plain = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     made = plain.withColumn("_s", _sketches(like)("text")).select("id", "_s.*")
-    rows = _written(made, "sketches")
+    rows = written(made, "sketches")
     same = ["n", "s1", "s2"]
     keyed = rows.filter("n > 0 AND id IS NOT NULL")
-    nodes = _written(
+    nodes = written(
         keyed.groupBy(*same).agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "nodes"
     )
     links = _links(nodes, plain, like)
@@ -261,17 +254,17 @@ def _shared_keys(keyed: DataFrame, nodes: DataFrame, same: list[str]) -> DataFra
 def _links(nodes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """Links that join up every component of the similarity graph of ``nodes``."""
     size = F.least(F.col("n"), F.lit(like.k))
-    lists = _written(postings(nodes, "sketch", size, like.filed(F.col("n"))), "postings")
-    near = _written(_estimated(_stars(lists, like), nodes, like), "pairs")
+    lists = written(postings(nodes, "sketch", size, like.filed(F.col("n"))), "postings")
+    near = written(_estimated(_stars(lists, like), nodes, like), "pairs")
     sets = _full_sets(near.select(F.explode(F.array("a", "b")).alias("id")), docs, like)
-    links = _written(_confirmed(near, sets, like), "links")
+    links = written(_confirmed(near, sets, like), "links")
 
     sets = _full_sets(_apart(lists, components(links)).select("id"), docs, like)
     needed = F.col("n") + 1 - F.ceil(F.col("n") * like.percent / 100)
-    lists = _written(postings(sets, "set", F.col("n"), needed), "postings")
-    links = _written(links.union(_confirmed(_stars(lists, like), sets, like)), "links")
+    lists = written(postings(sets, "set", F.col("n"), needed), "postings")
+    links = written(links.union(_confirmed(_stars(lists, like), sets, like)), "links")
 
-    rest = _written(_apart(lists, components(links)), "rest")
+    rest = written(_apart(lists, components(links)), "rest")
     other = rest.toDF("v", "_id", "_n", "_c")
     pairs = rest.join(other, "v").filter("id < _id AND c <> _c").filter(_near_in_size(F.col("n"), F.col("_n"), like))
     pairs = pairs.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
@@ -281,4 +274,5 @@ def _links(nodes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
     """The rows of ``docs`` that are the first of their group; rows with a null key stay."""
     gone = groups(docs, key, text, like).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
+    gone = _small(written(gone, "gone"), 16.0)
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.session import fits_broadcast, fresh_path
+from topicloom.llm.common import written
+from topicloom.session import fits_broadcast
 
 BUCKET_BYTES = 32 << 20
 SEED = 11
@@ -30,7 +31,6 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_by
     A bucket is one partition, sorted by the hash before it is shuffled, so a lost task
     shuffles alike when it runs again.
     """
-    spark = docs.sparkSession
     total = docs.agg(F.sum(record_bytes(text))).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
     # Rows without a key are told apart by their place, else they could all meet in one bucket.
@@ -42,14 +42,8 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_by
         .repartitionById(n, "_bucket")
         .sortWithinPartitions("_bucket", "_key")
     )
-    path = fresh_path(spark, "buckets")
-    (
-        scattered.groupBy("_bucket")
-        .agg(F.collect_list("_row").alias("_rows"))
-        .select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_pos", "_row"))
-        .write.parquet(path)
-    )
-    return spark.read.parquet(path)
+    buckets = scattered.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
+    return written(buckets.select("_bucket", F.posexplode(F.shuffle("_rows", F.lit(seed))).alias("_pos", "_row")), "buckets")
 
 
 def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
