@@ -24,8 +24,8 @@ from topicloom.llm.common import text_udf
 
 NEVER = 1 << 60
 #: Words whose ids a task remembers, and pairs whose test it remembers.
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 150_000
+PAIRS_KEPT = 200_000
 #: Stands for the end of a word inside the automaton; no byte letter is mapped to it.
 END = "\x00"
 
@@ -37,8 +37,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+@lru_cache(maxsize=2)
+def token_strings(path: str) -> np.ndarray:
+    """Token of each id, added tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    strings = np.full(max(ids.values()) + 1, None, object)
+    for token, i in ids.items():
+        strings[i] = token
+    return strings
+
+
+def decode_ids(ids: bytes | None, path: str) -> str:
+    """Tokens joined by spaces, as a tokenizer without a decoder writes them."""
+    return " ".join(token_strings(path)[np.frombuffer(ids or b"", "<u4")].tolist())
+
+
 class WordCodec:
-    """Ids of words and back, from a tokenizer file with lower case, word ends and byte letters."""
+    """Ids of texts, from a tokenizer file with lower case, word ends and byte letters."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -47,9 +64,7 @@ class WordCodec:
         vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = np.full(max([*vocab.values(), *self.special.values()]) + 1, None, object)
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.strings[i] = token
+        self.strings = token_strings(path)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
@@ -159,10 +174,6 @@ class WordCodec:
             out += [np.array([self.special[part]], "<u4").tobytes()] if part in self.special else self._plain(part)
         return b"".join(out)
 
-    def decode(self, ids: bytes | None) -> str:
-        """Tokens joined by spaces, as a tokenizer without a decoder writes them."""
-        return " ".join(self.strings[np.frombuffer(ids or b"", "<u4")].tolist())
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> WordCodec:
@@ -187,6 +198,6 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     """``docs`` with the text of a column of ids; null ids give an empty text."""
 
     def kernel(column: pa.Array) -> pa.Array:
-        return pa.array(map(codec(path).decode, column.to_pylist()), pa.string())
+        return pa.array([decode_ids(ids, path) for ids in column.to_pylist()], pa.string())
 
     return docs.withColumn(out, text_udf(kernel, "string")(F.col(ids)))
