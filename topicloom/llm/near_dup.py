@@ -133,18 +133,18 @@ def _small(df: DataFrame, n_bytes: float) -> DataFrame:
 
 
 def postings(nodes: DataFrame, values: str, size: Column, filed: Column) -> DataFrame:
-    """(v, id, n, central): each node under the ``filed`` rarest of its ``size`` values, as far as others have them too.
+    """(v, id, n, central, rest): each node under the ``filed`` rarest of its ``size`` values, as far as others have them too.
 
     ``central`` is high where a node's values are common ones: the text that copies derive from.
+    ``rest`` counts the node's values from this one on, rarest first.
     """
     each = nodes.select("id", "n", F.explode(values).alias("v"))
     shared = each.groupBy("v").agg(F.count("*").alias("f")).filter("f > 1")
     by_node = each.join(shared, "v").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("values"))
     central = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.ln(x["f"])) / size
     first = F.slice("values", F.lit(1), F.greatest(F.lit(0), filed - (size - F.size("values"))).cast("int"))
-    return by_node.select("id", "n", central.alias("central"), F.explode(first).alias("e")).select(
-        F.col("e.v").alias("v"), "id", "n", "central"
-    )
+    each = by_node.select("id", "n", central.alias("central"), F.size("values").alias("_m"), F.posexplode(first).alias("_i", "e"))
+    return each.select(F.col("e.v").alias("v"), "id", "n", "central", (F.col("_m") - F.col("_i")).alias("rest"))
 
 
 def _near_in_size(a: Column, b: Column, like: Likeness) -> Column:
@@ -187,7 +187,7 @@ def _stars(lists: DataFrame, like: Likeness) -> DataFrame:
 def _apart(lists: DataFrame, part: DataFrame) -> DataFrame:
     """``lists`` with components ``c``, without centres, where a list still spans several components."""
     rest = lists.join(_centres(lists), "v").filter("id <> _hub").join(part, "id", "left")
-    rest = rest.select("v", "id", "n", F.coalesce("component", "id").alias("c"))
+    rest = rest.select("v", "id", "n", "rest", F.coalesce("component", "id").alias("c"))
     mixed = rest.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v")
     return rest.join(mixed, "v", "left_semi")
 
@@ -264,11 +264,23 @@ def _links(nodes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     lists = written(postings(sets, "set", F.col("n"), needed), "postings")
     links = written(links.union(_confirmed(_stars(lists, like), sets, like)), "links")
 
-    rest = written(_apart(lists, components(links)), "rest")
-    other = rest.toDF("v", "_id", "_n", "_c")
-    pairs = rest.join(other, "v").filter("id < _id AND c <> _c").filter(_near_in_size(F.col("n"), F.col("_n"), like))
-    pairs = pairs.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
-    return links.union(_confirmed(pairs, sets, like))
+    apart = written(_apart(lists, components(links)), "apart")
+    return links.union(_confirmed(_pairs(apart, like), sets, like))
+
+
+def _pairs(apart: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of different components whose overlap can reach that of a link.
+
+    Sets a, b overlap in percent / (100 + percent) of their sizes' sum or more, and the
+    first value that they share, rarest first, has the whole overlap at or after it in
+    both.  The smaller set needs this with itself in the place of the larger one already.
+    """
+    reach = lambda rest, sizes: rest * (100 + like.percent) >= sizes * like.percent
+    small = apart.filter(reach(F.col("rest"), F.col("n") * 2)).toDF("v", "_id", "_n", "_rest", "_c")
+    ordered = (F.col("n") > F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("id") > F.col("_id")))
+    enough = reach(F.least("rest", "_rest"), F.col("n") + F.col("_n"))
+    near = apart.join(small, "v").filter(ordered & (F.col("c") != F.col("_c")) & enough & _near_in_size(F.col("n"), F.col("_n"), like))
+    return near.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
