@@ -91,13 +91,16 @@ def test_path_weights(tree, state, mode):
     got = {}
     for r in trees.path_weights(given, state, len(NODES), len(TERMS)).collect():
         got.setdefault(r["doc_id"], {})[r["node_id"]] = r["log_weight"]
-    for doc in (STATE[0], STATE[1]):
+    assert len(got) == len(STATE)
+    for doc in STATE:
         assert got[doc[0]] == pytest.approx(plain_weights(doc, mode))
 
 
 def test_path_weights_without_broadcast(tree, state, no_broadcast):
-    for r in trees.path_weights(tree, state, len(NODES), len(TERMS)).filter("doc_id = 0").collect():
-        assert r["log_weight"] == pytest.approx(plain_weights(STATE[0], "path")[r["node_id"]])
+    rows = trees.path_weights(tree, state, len(NODES), len(TERMS)).collect()
+    assert len(rows) == len(STATE) * len(NODES)
+    for r in rows:
+        assert r["log_weight"] == pytest.approx(plain_weights(STATE[r["doc_id"]], "path")[r["node_id"]])
 
 
 @pytest.mark.parametrize("mode", ["path", "node"])

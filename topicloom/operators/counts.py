@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.draws import hash_uniform
+from topicloom.operators.arrow import to_ragged
 from topicloom.operators.tokens import unnest, with_runs
 from topicloom.operators.vocabulary import Vocabulary
-from topicloom.session import lookup_join, with_row_index
+from topicloom.session import fits_broadcast, lookup_join, with_row_index
 
 
 @dataclass(frozen=True)
@@ -44,8 +49,60 @@ def doc_term_counts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     ).select("doc_id", "term_id", F.col("cnt").cast("double").alias("cnt"))
 
 
+def _id_udf(docs: DataFrame, vocab: Vocabulary, pack: Callable, kind: str):
+    """Arrow UDF from token arrays to what ``pack(offsets, ids)`` makes of their term ids (-1: unseen)."""
+    known = vocab.df.select("term", "term_id").toArrow().combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (known.column("term").combine_chunks(), known.column("term_id").to_numpy())
+    )
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        terms, ids = shared.value
+        ids = np.append(ids, -1)
+        for column in batches:
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+            at = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy(zero_copy_only=False)
+            yield pack(offsets - offsets[0], ids[at])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
+def _tokens(docs: DataFrame) -> Column:
+    """The token arrays, empty where a document has none."""
+    return F.coalesce("terms", F.array().cast("array<string>"))
+
+
+def _pack_bag(offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    docs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    seen = ids >= 0
+    width = np.int64(ids.max(initial=0) + 1)
+    cells, counts = np.unique(docs[seen] * width + ids[seen], return_counts=True)
+    cuts = np.searchsorted(cells, np.arange(len(offsets)) * width)
+    return pa.StructArray.from_arrays(
+        [to_ragged(cuts, cells % width, pa.int32()), to_ragged(cuts, counts.astype(float), pa.float64())], ["ids", "cnts"]
+    )
+
+
+def _pack_sequence(offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    seen = ids >= 0
+    upto = np.concatenate(([0], np.cumsum(seen)))[offsets]
+    unseen = np.diff(offsets) - np.diff(upto)
+    return pa.StructArray.from_arrays(
+        [to_ragged(upto, ids[seen], pa.int32()), pa.array(unseen, pa.int64())], ["term_ids", "n_unseen"]
+    )
+
+
 def bag_of_words(docs: DataFrame, vocab: Vocabulary) -> BagOfWords:
-    """Packed counts; documents without a known term stay, with empty arrays."""
+    """Packed counts; documents without a known term stay, with empty arrays.
+
+    A vocabulary within the broadcast limit is looked up inside the row; a larger one is joined.
+    """
+    if fits_broadcast(docs.sparkSession, vocab.n_bytes):
+        pack = _id_udf(docs, vocab, _pack_bag, "struct<ids: array<int>, cnts: array<double>>")
+        rows = docs.select("doc_id", pack(_tokens(docs)).alias("_p"))
+        return BagOfWords(rows.select("doc_id", "_p.ids", "_p.cnts"), vocab.n_terms)
     runs = (
         with_runs(docs.select("doc_id", "terms"), "terms")
         .select("doc_id", F.explode_outer("runs").alias("r"))
@@ -91,7 +148,14 @@ def dense_to_sparse(rows: DataFrame, key: str, values: str) -> DataFrame:
 
 
 def feature_sequences(docs: DataFrame, vocab: Vocabulary) -> Sequences:
-    """Id sequences in token order; unseen terms are left out and counted."""
+    """Id sequences in token order; unseen terms are left out and counted.
+
+    A vocabulary within the broadcast limit is looked up inside the row; a larger one is joined.
+    """
+    if fits_broadcast(docs.sparkSession, vocab.n_bytes):
+        pack = _id_udf(docs, vocab, _pack_sequence, "struct<term_ids: array<int>, n_unseen: bigint>")
+        rows = docs.select("doc_id", pack(_tokens(docs)).alias("_p"))
+        return Sequences(rows.select("doc_id", "_p.term_ids", "_p.n_unseen"), vocab.n_terms)
     tokens = docs.select("doc_id", F.posexplode_outer("terms").alias("pos", "term"))
     known = lookup_join(
         tokens, vocab.df.select("term", "term_id"), ["term"], "left", vocab.n_bytes, ["doc_id", "pos"]

@@ -566,7 +566,7 @@ def doc_topic_counts_in_row(state: DataFrame) -> DataFrame:
 def draw_gamma(rng, gamma: float, tables: float, n_topics: int, prior: tuple[float, float]) -> float:
     """Escobar and West (1995) update of the root concentration."""
     rate = prior[1] - math.log(rng.beta(gamma + 1.0, tables))
-    odds = tables * rate / (gamma + n_topics - 1.0)
+    odds = tables * rate / (prior[0] + n_topics - 1.0)
     extra = 1.0 if rng.random() < 1.0 / (1.0 + odds) else 0.0
     return float(rng.gamma(prior[0] + n_topics - 1.0 + extra, 1.0 / rate))
 

@@ -28,6 +28,8 @@ from topicloom.operators.tokens import unnest
 from topicloom.session import cut_lineage, fits_broadcast, hold, lookup_join
 
 NODE_ROW_BYTES = 64
+#: Nodes that a document row is paired with at a time where the node table is joined.
+NODES_A_BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -166,13 +168,8 @@ def node_word_loglik(tree: TopicTree, counts: DataFrame, n_nodes: int, n_cells:
     only words shared by document and node are joined, as corrections.
     """
     eta, v = tree.params.eta, tree.n_terms
-    levels = tree.nodes.select("node_id", "level")
-    by_term = tree.terms.withColumnRenamed("n", "m").join(F.broadcast(levels), "node_id")
-    n, m = F.col("n").cast("double"), F.col("m").cast("double")
-    shared = lookup_join(
-        counts, by_term, ["level", "term_id"], "inner", NODE_ROW_BYTES * n_cells, ["doc_id"]
-    ).withColumn("_c", _rising(m + F.lit(eta), n) - _rising(F.lit(eta), n))
-    corrections = shared.groupBy("doc_id", "node_id").agg(F.sum("_c").alias("gain"))
+    corrections = _shared_gains(tree, counts, n_nodes, n_cells)
+    n = F.col("n").cast("double")
     base = level_new_topic_loglik(counts, v, eta).select("doc_id", "level", "n", "words")
     nodes = tree.nodes.select("node_id", "level", F.col("total_tokens").cast("double").alias("total"))
     pairs = lookup_join(base, nodes, ["level"], "inner", NODE_ROW_BYTES * n_nodes, ["doc_id"])
@@ -187,28 +184,68 @@ def node_word_loglik(tree: TopicTree, counts: DataFrame, n_nodes: int, n_cells:
     )
 
 
+def _shared_gains(tree: TopicTree, counts: DataFrame, n_nodes: int, n_cells: int) -> DataFrame:
+    """(doc_id, node_id, gain): what words seen by a node add to the likelihood under an empty topic."""
+    eta = F.lit(tree.params.eta)
+    levels = tree.nodes.select("node_id", "level")
+    by_term = lookup_join(
+        tree.terms.withColumnRenamed("n", "m"), levels, ["node_id"], "inner", NODE_ROW_BYTES * n_nodes, ["term_id"]
+    )
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    shared = lookup_join(counts, by_term, ["level", "term_id"], "inner", NODE_ROW_BYTES * n_cells, ["doc_id"])
+    gains = shared.withColumn("_c", _rising(m + eta, n) - _rising(eta, n))
+    return gains.groupBy("doc_id", "node_id").agg(F.sum("_c").alias("gain"))
+
+
+def _level_arrays(state: DataFrame, tree: TopicTree) -> DataFrame:
+    """(doc_id, _n, _words, _fresh), one row per document: per level its tokens and their
+    log likelihood under an empty topic, without and with the normaliser; 0 where it has none."""
+    by_level = level_new_topic_loglik(doc_level_counts(state), tree.n_terms, tree.params.eta)
+    packed = by_level.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("level", F.struct("n", "words", "loglik")))).alias("_m")
+    )
+    places = F.sequence(F.lit(0), F.lit(tree.params.n_levels - 1))
+    at = lambda field: F.transform(
+        places, lambda i: F.coalesce(F.try_element_at("_m", i)[field].cast("double"), F.lit(0.0))
+    )
+    return state.select("doc_id").join(packed, "doc_id", "left").select(
+        "doc_id", at("n").alias("_n"), at("words").alias("_words"), at("loglik").alias("_fresh")
+    )
+
+
 def path_weights(tree: TopicTree, state: DataFrame, n_nodes: int, n_cells: int) -> DataFrame:
-    """(doc_id, node_id, log_weight): prior plus words along the path plus new topics below."""
+    """(doc_id, node_id, log_weight) for every document and node: prior plus words along the
+    path plus new topics below.  Levels without words add nothing.
+
+    What a document's words weigh under empty topics follows from its counts per level and
+    the totals of a node's path; words that a node has seen come in as corrections.
+    """
     p = tree.params
-    counts = doc_level_counts(state)
-    own = node_word_loglik(tree, counts, n_nodes, n_cells)
-    new = level_new_topic_loglik(counts, tree.n_terms, p.eta).filter(F.col("level") > 0)
-    small = NODE_ROW_BYTES * n_nodes
+    v_eta, last = F.lit(p.eta * tree.n_terms), p.n_levels - 1
+    lines = ancestors(tree.nodes, p.n_levels)
+    above = tree.nodes.select(F.col("node_id").alias("ancestor_id"), F.col("level").alias("_l"), "total_tokens")
+    totals = lines.join(above, "ancestor_id").groupBy("node_id").agg(
+        F.array_sort(F.collect_list(F.struct("_l", "total_tokens"))).alias("_path")
+    )
+    blocks = max(1, -(-n_nodes // NODES_A_BLOCK))
+    nodes = path_prior(tree.nodes, p).join(totals, "node_id").withColumn("_b", F.pmod("node_id", F.lit(blocks)))
+    docs = _level_arrays(state, tree).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = lookup_join(docs, nodes, ["_b"], "inner", 2.0 * NODE_ROW_BYTES * n_nodes * p.n_levels, ["doc_id"])
+    weight = F.col("log_prior")
+    for level in range(p.n_levels):
+        total = F.coalesce(F.get("_path.total_tokens", F.lit(level)).cast("double"), F.lit(0.0)) + v_eta
+        own = F.get("_words", F.lit(level)) - _rising(total, F.get("_n", F.lit(level)))
+        on_path = F.col("level") >= level if p.path_likelihood == "path" else F.col("level") == level
+        below = F.get("_fresh", F.lit(level)) if level else F.lit(0.0)
+        weight = weight + F.when(on_path, own).when(F.col("level") < level, below).otherwise(F.lit(0.0))
+    gains = _shared_gains(tree, doc_level_counts(state), n_nodes, n_cells)
     if p.path_likelihood == "path":
-        lines = ancestors(tree.nodes, p.n_levels)
-        along = lookup_join(
-            own.withColumnRenamed("node_id", "ancestor_id"), lines, ["ancestor_id"], "inner", small, ["doc_id"]
-        ).select("doc_id", "node_id", "loglik")
-    else:
-        along = own.select("doc_id", "node_id", "loglik")
-    above = tree.nodes.select("node_id", F.explode(F.sequence(F.col("level") + 1, F.lit(p.n_levels))).alias("level"))
-    below = lookup_join(
-        new.select("doc_id", "level", "loglik"), above, ["level"], "inner", small * p.n_levels, ["doc_id"]
-    ).select("doc_id", "node_id", "loglik")
-    words = along.unionByName(below).groupBy("doc_id", "node_id").agg(F.sum("loglik").alias("words"))
-    prior = path_prior(tree.nodes, p).select("node_id", "log_prior")
-    return lookup_join(words, prior, ["node_id"], "inner", small, ["doc_id"]).select(
-        "doc_id", "node_id", (F.col("words") + F.col("log_prior")).alias("log_weight")
+        gains = lookup_join(
+            gains.withColumnRenamed("node_id", "ancestor_id"), lines, ["ancestor_id"], "inner",
+            NODE_ROW_BYTES * n_nodes * (last + 1), ["doc_id"],
+        ).groupBy("doc_id", "node_id").agg(F.sum("gain").alias("gain"))
+    return pairs.select("doc_id", "node_id", weight.alias("_w")).join(gains, ["doc_id", "node_id"], "left").select(
+        "doc_id", "node_id", (F.col("_w") + F.coalesce("gain", F.lit(0.0))).alias("log_weight")
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +30,25 @@ class Vocabulary:
         return cls(df, size["n"], int(size["b"]))
 
 
-def term_stats(docs: DataFrame) -> DataFrame:
-    """(term, df, tf) in one scan with map-side combine.
+def _batch_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        offsets, flat = batch.column("terms").offsets.to_numpy(), batch.column("terms").values
+        if not len(flat):
+            continue
+        flat = flat.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        at, n = flat.indices.to_numpy(), len(flat.dictionary)
+        docs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        once = np.unique(docs * np.int64(n) + at) % n
+        yield pa.RecordBatch.from_arrays(
+            [flat.dictionary, pa.array(np.bincount(once, minlength=n)), pa.array(np.bincount(at, minlength=n))],
+            ["term", "df", "tf"],
+        )
 
-    Sorted within its document, a term's first copy is where the neighbour
-    differs; counting those copies gives document frequency without a distinct.
-    """
-    ordered = docs.select(F.sort_array("terms").alias("t"))
-    flags = F.transform(
-        "t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("t", i - 1))).alias("first"))
-    )
-    return (
-        unnest(ordered, [], flags, "e")
-        .groupBy(F.col("e.term").alias("term"))
-        .agg(F.count_if("e.first").alias("df"), F.count("*").alias("tf"))
-    )
+
+def term_stats(docs: DataFrame) -> DataFrame:
+    """(term, df, tf) in one scan; a task hands on one row per term and batch of documents."""
+    rows = docs.select("terms").filter("terms IS NOT NULL").mapInArrow(_batch_stats, "term string, df long, tf long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def build_vocabulary(

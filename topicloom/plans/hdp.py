@@ -161,8 +161,9 @@ def hdp_cross_validate(spark, sf_dir):
 
 
 def score_init(spark, sf_dir):
-    docs = text.terms(spark, sf_dir, LETTERS_PUNCT)
-    seqs = feature_sequences(docs, text.vocabulary(docs))
+    """Held-out documents on the vocabulary of the training folds, with the labels scoring starts from."""
+    train, held_out = text.training_split(text.terms(spark, sf_dir, LETTERS_PUNCT))
+    seqs = feature_sequences(held_out, build_vocabulary(train))
     start = gibbs.random_topics(seqs.df.select("doc_id", "term_ids"), K, PARAMS.seed, "score-init")
     return gibbs.labelled_tokens(start)
 
@@ -307,8 +308,8 @@ ORACLES = {
     "hdp_hyper_beta": f"""{_LAB}
         SELECT round((0.0::DOUBLE + {B} * (SELECT sum({_digamma_gain('n', B)}) FROM nkt))
                / (1.0::DOUBLE + {V} * (SELECT sum({_digamma_gain('n', f'({V} * {B})')}) FROM nk)), 6) AS beta""",
-    "score_init": _labels(sql.vocabulary(text.MIN_DF, text.MAX_DF, text.MAX_FEATURES), "score-init")
-    + " SELECT doc_id, pos, term_id, topic_id FROM lab",
+    "score_init": _labels(f"{text.train_tokens()},{sql.vocabulary(tok='train_tok')}", "score-init")
+    + f" SELECT doc_id, pos, term_id, topic_id FROM lab WHERE {text.fold('doc_id')} = 0",
     "score_token_conditional": f"""{_LAB},{_CELLS},{_DOC_TOPICS},{_PHI}, p AS (
           SELECT c.doc_id, c.term_id, c.topic_id, c.n, m.topic_id AS k,
                  (m.n - (m.topic_id = c.topic_id)::INT + {A}) * phi.phi AS mass

@@ -35,7 +35,7 @@ from topicloom.sources.documents import head_sample, read_documents, split_lines
 MIN_DF, MAX_DF, MAX_FEATURES = 3, 0.8, 1000
 SAMPLE_DOCS = 4000
 BATCH_SIZE = 128
-N_FOLDS = 10
+N_FOLDS, FOLD_SEED = 10, 7
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -89,7 +89,7 @@ def token_bigrams(spark, sf_dir):
 
 def feature_sequence(spark, sf_dir):
     docs = terms(spark, sf_dir, LETTERS_PUNCT)
-    seqs = feature_sequences(docs, vocabulary(docs))
+    seqs = feature_sequences(docs, build_vocabulary(docs))
     return seqs.df.select("doc_id", F.posexplode_outer("term_ids").alias("pos", "term_id")).filter("pos is not null")
 
 
@@ -129,9 +129,16 @@ def dense_to_sparse_query(spark, sf_dir):
     return dense_to_sparse(vectors, "vec_id", "embedding").select("vec_id", "term_id", F.round("cnt", 6).alias("cnt"))
 
 
+def training_split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of the training folds, and of the fold held out."""
+    folds = assign_folds(docs, N_FOLDS, FOLD_SEED)
+    return folds.filter("fold <> 0").drop("fold"), folds.filter("fold = 0").drop("fold")
+
+
 def oov_profile(spark, sf_dir):
-    docs = terms(spark, sf_dir, LETTERS_PUNCT)
-    seqs = feature_sequences(docs, vocabulary(docs))
+    """Known and unseen tokens of held-out documents under the vocabulary of the training folds."""
+    train, held_out = training_split(terms(spark, sf_dir, LETTERS_PUNCT))
+    seqs = feature_sequences(held_out, build_vocabulary(train))
     return seqs.df.select("doc_id", F.size("term_ids").cast("long").alias("n_known"), "n_unseen")
 
 
@@ -144,7 +151,7 @@ def minibatch_assign(spark, sf_dir):
 
 
 def kfold_assign(spark, sf_dir):
-    return assign_folds(documents(spark, sf_dir, "n_chars").select("doc_id"), N_FOLDS, 7)
+    return assign_folds(documents(spark, sf_dir, "n_chars").select("doc_id"), N_FOLDS, FOLD_SEED)
 
 
 QUERIES = {
@@ -184,6 +191,14 @@ def prepared(pattern: str = WORDS) -> str:
     return f"{sql.tokens(pattern)},{sql.vocabulary(MIN_DF, MAX_DF, MAX_FEATURES)},{sql.doc_terms()}"
 
 
+def fold(doc_id: str) -> str:
+    return f"floor({sql.uniform(FOLD_SEED, 'fold', doc_id)} * {N_FOLDS})::INTEGER"
+
+
+def train_tokens() -> str:
+    return f"train_tok AS MATERIALIZED (SELECT * FROM tok WHERE {fold('doc_id')} <> 0)"
+
+
 _LINE = "'doc' || doc_id || ', ' || lang || ', ' || translate(text, chr(10) || chr(13), '  ')"
 _PATTERN = r"^(\S*)[\s,]*(\S*)[\s,]*(.*)$"
 
@@ -210,7 +225,7 @@ ORACLES = {
           SELECT doc_id, pos, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tok)
         SELECT doc_id, pos, term || '_' || next AS term FROM pairs WHERE next IS NOT NULL""",
     "feature_sequence": f"""
-        WITH {prepared(LETTERS_PUNCT)}
+        WITH {sql.tokens(LETTERS_PUNCT)},{sql.vocabulary()}
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS pos, term_id
         FROM tok JOIN vocab USING (term)""",
     "build_vocab": f"WITH {prepared()} SELECT term_id, term, df, tf FROM vocab",
@@ -232,13 +247,14 @@ ORACLES = {
           SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS term_id, unnest(embedding) AS v FROM embeddings)
         SELECT vec_id, term_id, round(v::DOUBLE, 6) AS cnt FROM cells WHERE v <> 0""",
     "oov_profile": f"""
-        WITH {prepared(LETTERS_PUNCT)}
+        WITH {sql.tokens(LETTERS_PUNCT)},{train_tokens()},{sql.vocabulary(tok="train_tok")}
         SELECT d.doc_id, count(v.term_id) AS n_known, count(t.term) - count(v.term_id) AS n_unseen
-        FROM documents d LEFT JOIN tok t USING (doc_id) LEFT JOIN vocab v ON t.term = v.term GROUP BY d.doc_id""",
+        FROM documents d LEFT JOIN tok t USING (doc_id) LEFT JOIN vocab v ON t.term = v.term
+        WHERE {fold('d.doc_id')} = 0 GROUP BY d.doc_id""",
     "corpus_stats": f"""
         WITH {sql.tokens(LETTERS_PUNCT)}
         SELECT (SELECT count(*) FROM documents) AS n_docs, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM tok""",
     "minibatch_assign": f"""
         SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_SIZE} AS batch_id FROM documents""",
-    "kfold_assign": f"SELECT doc_id, floor({sql.uniform(7, 'fold', 'doc_id')} * {N_FOLDS})::INTEGER AS fold FROM documents",
+    "kfold_assign": f"SELECT doc_id, {fold('doc_id')} AS fold FROM documents",
 }
