@@ -45,8 +45,8 @@ def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            parts = [kernel(part) for part in slices(column)]
-            yield pa.concat_arrays(parts) if parts else kernel(column)
+            for part in slices(column):
+                yield kernel(part)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind).asNondeterministic()
