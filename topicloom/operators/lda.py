@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.draws import hash_gamma_100
 from topicloom.functions.numeric import digamma, lgamma, np_digamma, np_dirichlet_expectation, np_lgamma
-from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, sum_vectors, to_rows
+from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, sum_vectors, to_ragged, to_rows
 from topicloom.operators.counts import BagOfWords, assign_batches
 from topicloom.session import cut_lineage, fresh_path, hold, lookup_join, parallelism
 
@@ -179,12 +179,14 @@ def estep_kernel(offsets, cnts, cols, alpha, max_iter, tol):
     return gamma, stat
 
 
-ESTEP_SCHEMA = "doc_id long, gamma array<double>, term_id int, stat array<double>"
+ESTEP_SCHEMA = (
+    "doc_id long, gamma array<double>, ids array<int>, cnts array<double>, term_id int, stat array<double>"
+)
 
 
 def _estep_batches(columns: TermColumns, alpha, max_iter, tol, want_stats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "gamma", "term_id", "stat"]
+        names = ["doc_id", "gamma", "ids", "cnts", "term_id", "stat"]
         total, seen = None, None
         for batch in batches:
             offsets, ids = ragged(batch.column("ids"))
@@ -199,6 +201,8 @@ def _estep_batches(columns: TermColumns, alpha, max_iter, tol, want_stats):
                     [
                         pa.array(doc_ids[a:b], pa.int64()),
                         to_rows(gamma),
+                        to_ragged(offsets[a : b + 1] - lo, ids[lo:hi], pa.int32()) if want_stats else pa.nulls(b - a, pa.list_(pa.int32())),
+                        to_ragged(offsets[a : b + 1] - lo, cnts[lo:hi], pa.float64()) if want_stats else pa.nulls(b - a, pa.list_(pa.float64())),
                         pa.nulls(b - a, pa.int32()),
                         pa.nulls(b - a, pa.list_(pa.float64())),
                     ],
@@ -231,6 +235,8 @@ def _stat_rows(names, terms, part) -> pa.RecordBatch:
         [
             pa.nulls(n, pa.int64()),
             pa.nulls(n, pa.list_(pa.float64())),
+            pa.nulls(n, pa.list_(pa.int32())),
+            pa.nulls(n, pa.list_(pa.float64())),
             pa.array(terms, pa.int32()),
             to_rows(part),
         ],
@@ -239,7 +245,10 @@ def _stat_rows(names, terms, part) -> pa.RecordBatch:
 
 
 def estep(bow: BagOfWords, logs: TermVectors, params: LdaParams, want_stats: bool = True) -> DataFrame:
-    """Document posteriors (rows with ``doc_id``) and partial statistics (rows with ``term_id``)."""
+    """Document posteriors (rows with ``doc_id``) and partial statistics (rows with ``term_id``).
+
+    With statistics, document rows also carry their counts, so that the bound needs no join.
+    """
     return logs.attach(bow.df, "ids").mapInArrow(
         _estep_batches(
             logs.columns, params.alpha, params.max_gamma_update_iter, params.mean_change_tol, want_stats
@@ -252,6 +261,11 @@ def posteriors(estep_rows: DataFrame) -> DataFrame:
     return estep_rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "gamma")
 
 
+def judged_documents(estep_rows: DataFrame) -> DataFrame:
+    """(doc_id, ids, cnts, gamma) of E-step rows that were made with statistics."""
+    return estep_rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "ids", "cnts", "gamma")
+
+
 def sufficient_stats(estep_rows: DataFrame, n_topics: int) -> DataFrame:
     """Sum of the partial statistics: (term_id, stat)."""
     return sum_vectors(
@@ -353,9 +367,9 @@ class Bound:
         return self.docs * doc_ratio + self.model
 
 
-def approx_bound(bow: BagOfWords, gamma: DataFrame, model_score: float, logs: TermVectors, alpha: float) -> Bound:
-    """Bound of the documents under ``gamma(doc_id, gamma)``, which must not be normalised."""
-    docs = logs.attach(bow.df.join(gamma, "doc_id"), "ids")
+def approx_bound(docs: DataFrame, model_score: float, logs: TermVectors, alpha: float) -> Bound:
+    """Bound of ``docs(doc_id, ids, cnts, gamma)``; the weights gamma must not be normalised."""
+    docs = logs.attach(docs, "ids")
     parts = docs.mapInArrow(_bound_batches(logs.columns, alpha), "score double, words double, docs long")
     row = parts.agg(F.sum("score"), F.sum("words"), F.sum("docs")).first()
     return Bound(float(row[0] or 0.0), model_score, float(row[1] or 0.0), int(row[2] or 0))
@@ -449,7 +463,7 @@ class OnlineLda:
         last = None
         for i in range(max_iters):
             rows = self.em_step(docs)
-            perplexity = self.perplexity(docs, posteriors(rows))
+            perplexity = self._perplexity(judged_documents(rows))
             rows.unpersist()
             self.trace.append((i, perplexity))
             if last is not None and perplexity is not None and abs(last - perplexity) < self.params.prex_tol:
@@ -490,14 +504,17 @@ class OnlineLda:
 
     def bound(self, bow: BagOfWords, gamma: DataFrame, sub_sampling: bool = False) -> float:
         self._check(bow)
-        parts = approx_bound(bow, gamma, self.summary.score, self.logs, self.params.alpha)
+        parts = approx_bound(bow.df.join(gamma, "doc_id"), self.summary.score, self.logs, self.params.alpha)
         ratio = self.params.n_docs / parts.n_docs if sub_sampling and parts.n_docs else 1.0
         return parts.total(ratio)
 
     def perplexity(self, bow: BagOfWords, gamma: DataFrame, sub_sampling: bool = False) -> float | None:
         """exp(-bound / words); ``None`` for a corpus without words."""
         self._check(bow)
-        parts = approx_bound(bow, gamma, self.summary.score, self.logs, self.params.alpha)
+        return self._perplexity(bow.df.join(gamma, "doc_id"), sub_sampling)
+
+    def _perplexity(self, docs: DataFrame, sub_sampling: bool = False) -> float | None:
+        parts = approx_bound(docs, self.summary.score, self.logs, self.params.alpha)
         if not parts.words:
             return None
         ratio = self.params.n_docs / parts.n_docs if sub_sampling else 1.0

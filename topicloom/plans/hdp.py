@@ -150,12 +150,80 @@ def hdp_hyper(spark, sf_dir):
     return fitted(spark, sf_dir, params, 3)[0].summary()
 
 
+def unseen(spark, sf_dir):
+    """Sequences of the training folds and of the held-out fold, on the vocabulary of the training folds."""
+    train, held_out = text.training_split(text.terms(spark, sf_dir, LETTERS_PUNCT))
+    vocab = build_vocabulary(train)
+    known, new = feature_sequences(train, vocab), feature_sequences(held_out, vocab)
+    return Sequences(hold(known.df), vocab.n_terms), Sequences(hold(new.df), vocab.n_terms), vocab, held_out
+
+
 def hdp_score(spark, sf_dir):
-    model, seqs, *_ = fitted(spark, sf_dir, sweeps=2)
-    scores = model.scorer().score(seqs, 10)
+    """Topic shares of documents that the model was not trained on."""
+    known, new, *_ = unseen(spark, sf_dir)
+    scores = GibbsModel.initialise(known, PARAMS).estimate(2).scorer().score(new, 10)
     return scores.select("doc_id", F.posexplode("theta").alias("topic_id", "theta"))
 
 
+def hdp_score_sums(spark, sf_dir):
+    """Every held-out document is scored, and its shares sum to 1."""
+    return hdp_score(spark, sf_dir).groupBy("doc_id").agg(F.round(F.sum("theta"), 9).alias("total"))
+
+
+def token_cells(model):
+    """What no sweep may change: how often a document has a term."""
+    return gibbs.labelled_tokens(model.state).groupBy("doc_id", "term_id").agg(F.count("*").alias("n"))
+
+
+def hdp_sweep_cells(spark, sf_dir):
+    return token_cells(fitted(spark, sf_dir, sweeps=1)[0])
+
+
+def hdp_fit_cells(spark, sf_dir):
+    return token_cells(fitted(spark, sf_dir)[0])
+
+
+def gibbs_lda_cells(spark, sf_dir):
+    return token_cells(fitted(spark, sf_dir, HdpParams(alpha=1.0, beta=0.1, gamma=0.0, n_topics=K, seed=3))[0])
+
+
+def hdp_trace_check(spark, sf_dir):
+    """Tokens per sweep, and whether the last sweep's topics are those that labels name."""
+    model = fitted(spark, sf_dir)[0]
+    named = gibbs.labelled_tokens(model.state).agg(F.count_distinct("topic_id").alias("k")).first()["k"]
+    return model.trace_table().agg(
+        F.min("n_tokens").alias("least"),
+        F.max("n_tokens").alias("most"),
+        (F.max_by("n_topics", "sweep") == named).alias("topics_named"),
+    )
+
+
+def hdp_fold_sizes(spark, sf_dir):
+    return hdp_cross_validate(spark, sf_dir).select("fold", "n_docs", "n_terms")
+
+
+def unseen_states(spark, sf_dir):
+    """Random labels of training and held-out documents."""
+    known, new, vocab, held_out = unseen(spark, sf_dir)
+    state = hold(gibbs.random_topics(known.df.select("doc_id", "term_ids"), K, PARAMS.seed))
+    start = hold(gibbs.random_topics(new.df.select("doc_id", "term_ids"), K, PARAMS.seed, "score-init"))
+    return state, start, vocab, held_out
+
+
+def unseen_topic_share(spark, sf_dir):
+    start = unseen_states(spark, sf_dir)[1]
+    rows = gibbs.doc_topic_share(start, K, PARAMS.alpha).select("doc_id", F.posexplode("theta").alias("topic_id", "theta"))
+    return rows.withColumn("theta", F.round("theta", 9))
+
+
+def unseen_perplexity(spark, sf_dir):
+    """Held-out documents under the topics of the training folds."""
+    state, start, vocab, held_out = unseen_states(spark, sf_dir)
+    theta = gibbs.doc_topic_share(start, K, PARAMS.alpha)
+    out = gibbs.heldout_perplexity(doc_term_counts(held_out, vocab), theta, shares(state, vocab.n_terms))
+    return out.select("n_tokens", F.round("loglik", 3).alias("loglik"), F.round("perplexity", 4).alias("perplexity"))
+
+
 def hdp_cross_validate(spark, sf_dir):
     return cross_validate(text.terms(spark, sf_dir, LETTERS_PUNCT), PARAMS, 3, 2, 5, parallel_folds=3)
 
@@ -212,6 +280,14 @@ QUERIES = {
     "score_token_conditional": score_token_conditional,
     "doc_topic_share": doc_topic_share,
     "heldout_perplexity": heldout_perplexity,
+    "hdp_score_sums": hdp_score_sums,
+    "hdp_sweep_cells": hdp_sweep_cells,
+    "hdp_fit_cells": hdp_fit_cells,
+    "gibbs_lda_cells": gibbs_lda_cells,
+    "hdp_trace_check": hdp_trace_check,
+    "hdp_fold_sizes": hdp_fold_sizes,
+    "unseen_topic_share": unseen_topic_share,
+    "unseen_perplexity": unseen_perplexity,
 }
 
 
@@ -257,6 +333,27 @@ _CELLS = """
       SELECT doc_id, term_id, topic_id, count(*) AS n FROM lab GROUP BY doc_id, term_id, topic_id)"""
 
 
+_HELD_OUT = f"{text.fold('doc_id')} = 0"
+_UNSEEN = f"""WITH {sql.tokens(LETTERS_PUNCT)},{text.train_tokens()},{sql.vocabulary(tok="train_tok")},
+    seq AS (
+      SELECT doc_id, term_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS pos, {_HELD_OUT} AS new
+      FROM tok JOIN vocab USING (term)),
+    lab AS MATERIALIZED (
+      SELECT term_id, floor({sql.uniform(PARAMS.seed, 'topic-init', 'doc_id', 'pos')} * {K})::INTEGER AS topic_id
+      FROM seq WHERE NOT new),
+    nkt AS MATERIALIZED (SELECT topic_id, term_id, count(*) AS n FROM lab GROUP BY topic_id, term_id),
+    nk AS MATERIALIZED (SELECT topic_id, count(*) AS n FROM lab GROUP BY topic_id),
+    nmk AS MATERIALIZED (
+      SELECT doc_id, floor({sql.uniform(PARAMS.seed, 'score-init', 'doc_id', 'pos')} * {K})::INTEGER AS topic_id, count(*) AS n
+      FROM seq WHERE new GROUP BY ALL),
+    full_nmk AS MATERIALIZED (
+      SELECT d.doc_id, k.topic_id, coalesce(nmk.n, 0) AS n
+      FROM (SELECT doc_id FROM documents WHERE {_HELD_OUT}) d CROSS JOIN {TOPICS} k
+      LEFT JOIN nmk ON nmk.doc_id = d.doc_id AND nmk.topic_id = k.topic_id)"""
+_TOKEN_CELLS = f"""WITH {sql.tokens(LETTERS_PUNCT)},{sql.vocabulary()}
+        SELECT doc_id, term_id, count(*) AS n FROM tok JOIN vocab USING (term) GROUP BY doc_id, term_id"""
+
+
 def _digamma_gain(n: str, base: str) -> str:
     return f"({sql.digamma(f'({n}::DOUBLE + {base})')} - {sql.digamma(base)})"
 
@@ -326,4 +423,23 @@ ORACLES = {
           FROM dt JOIN phi USING (term_id) JOIN theta USING (doc_id, topic_id) GROUP BY doc_id, term_id)
         SELECT sum(cnt) AS n_tokens, round(sum(cnt * ln(p)), 3) AS loglik,
                round(exp(-sum(cnt * ln(p)) / sum(cnt)), 4) AS perplexity FROM p""",
+    "hdp_score_sums": f"SELECT doc_id, 1.0::DOUBLE AS total FROM documents WHERE {_HELD_OUT}",
+    "hdp_sweep_cells": _TOKEN_CELLS,
+    "hdp_fit_cells": _TOKEN_CELLS,
+    "gibbs_lda_cells": _TOKEN_CELLS,
+    "hdp_trace_check": f"""WITH {sql.tokens(LETTERS_PUNCT)}
+        SELECT count(*) AS least, count(*) AS most, true AS topics_named FROM tok""",
+    "hdp_fold_sizes": f"""WITH {sql.tokens(LETTERS_PUNCT)}, f AS (
+          SELECT doc_id, floor({sql.uniform(PARAMS.seed, 'fold', 'doc_id')} * 3)::INTEGER AS fold FROM documents),
+        n AS (SELECT fold, count(*) AS n_docs FROM f GROUP BY fold)
+        SELECT n.fold, any_value(n_docs) AS n_docs, count(DISTINCT term) AS n_terms
+        FROM n JOIN f ON f.fold <> n.fold JOIN tok USING (doc_id) GROUP BY n.fold""",
+    "unseen_topic_share": f"{_UNSEEN},{_SHARE} SELECT doc_id, topic_id, round(theta, 9) AS theta FROM theta",
+    "unseen_perplexity": f"""{_UNSEEN},{_PHI},{_SHARE}, dt AS (
+          SELECT doc_id, term_id, count(*)::DOUBLE AS cnt FROM seq WHERE new GROUP BY doc_id, term_id),
+        p AS (
+          SELECT doc_id, term_id, any_value(cnt) AS cnt, sum(theta * phi) AS p
+          FROM dt JOIN phi USING (term_id) JOIN theta USING (doc_id, topic_id) GROUP BY doc_id, term_id)
+        SELECT sum(cnt) AS n_tokens, round(sum(cnt * ln(p)), 3) AS loglik,
+               round(exp(-sum(cnt * ln(p)) / sum(cnt)), 4) AS perplexity FROM p""",
 }

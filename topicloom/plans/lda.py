@@ -7,6 +7,7 @@ the fit and the SQL repeats the steps over the whole corpus.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -171,6 +172,19 @@ def lda_fit_transform(spark, sf_dir):
     return OnlineLda(FULL).fit_transform(bag, 3).select("doc_id", F.posexplode("theta").alias("topic_id", "theta"))
 
 
+def lda_fit_transform_steps(spark, sf_dir):
+    """Two steps of training, then the shares of two E-step passes."""
+    bag, _ = corpus(spark, sf_dir)
+    return _long(OnlineLda(STEPS).fit_transform(bag, 2), "theta", "theta")
+
+
+def lda_partial_fit_two(spark, sf_dir):
+    """Two online steps, over the first and the second half of the documents."""
+    bag, _ = corpus(spark, sf_dir)
+    half = -(-bag.df.count() // 2)
+    return _weights(OnlineLda(replace(STEPS, batch_size=half)).partial_fit(bag).components)
+
+
 QUERIES = {
     "dirichlet_expectation": dirichlet_expectation_query,
     "lda_init": lda_init,
@@ -189,6 +203,8 @@ QUERIES = {
     "lda_partial_fit": lda_partial_fit,
     "lda_partial_fit_batches": lda_partial_fit_batches,
     "lda_fit_transform": lda_fit_transform,
+    "lda_fit_transform_steps": lda_fit_transform_steps,
+    "lda_partial_fit_two": lda_partial_fit_two,
 }
 
 
@@ -222,11 +238,11 @@ def _theta(gamma: str, name: str) -> str:
       FROM {gamma} JOIN (SELECT doc_id, sum(g) AS total FROM {gamma} GROUP BY doc_id) USING (doc_id))"""
 
 
-def _pass(theta: str, model: str, norm: str, out: str) -> str:
+def _pass(theta: str, model: str, norm: str, out: str, dt: str = "dt") -> str:
     return f"""
     {norm} AS MATERIALIZED (
       SELECT doc_id, term_id, any_value(cnt) AS cnt, sum(th * b) + 1e-100::DOUBLE AS nrm
-      FROM dt JOIN {model} USING (term_id) JOIN {theta} USING (doc_id, topic_id) GROUP BY doc_id, term_id),
+      FROM {dt} JOIN {model} USING (term_id) JOIN {theta} USING (doc_id, topic_id) GROUP BY doc_id, term_id),
     {out} AS MATERIALIZED (
       SELECT doc_id, topic_id, {ALPHA} + th * coalesce(mass, 0.0::DOUBLE) AS g
       FROM {theta} LEFT JOIN (
@@ -234,17 +250,17 @@ def _pass(theta: str, model: str, norm: str, out: str) -> str:
         GROUP BY doc_id, topic_id) USING (doc_id, topic_id))"""
 
 
-def _two_passes(model: str, tag: str) -> str:
+def _two_passes(model: str, tag: str, docs: str = "documents", dt: str = "dt") -> str:
     """Two E-step passes from gamma = 1, then the statistics of the end state."""
     return f"""
     {tag}g0 AS (SELECT doc_id, topic_id, 1.0::DOUBLE AS g
-                FROM documents, (SELECT unnest(range({K}))::INTEGER AS topic_id)),
-    {_theta(tag + 'g0', tag + 't0')},{_pass(tag + 't0', model, tag + 'n0', tag + 'g1')},
-    {_theta(tag + 'g1', tag + 't1')},{_pass(tag + 't1', model, tag + 'n1', tag + 'g2')},
+                FROM {docs}, (SELECT unnest(range({K}))::INTEGER AS topic_id)),
+    {_theta(tag + 'g0', tag + 't0')},{_pass(tag + 't0', model, tag + 'n0', tag + 'g1', dt)},
+    {_theta(tag + 'g1', tag + 't1')},{_pass(tag + 't1', model, tag + 'n1', tag + 'g2', dt)},
     {_theta(tag + 'g2', tag + 't2')},
     {tag}n2 AS MATERIALIZED (
       SELECT doc_id, term_id, any_value(cnt) AS cnt, sum(th * b) + 1e-100::DOUBLE AS nrm
-      FROM dt JOIN {model} USING (term_id) JOIN {tag}t2 USING (doc_id, topic_id) GROUP BY doc_id, term_id),
+      FROM {dt} JOIN {model} USING (term_id) JOIN {tag}t2 USING (doc_id, topic_id) GROUP BY doc_id, term_id),
     {tag}ss AS MATERIALIZED (
       SELECT topic_id, term_id, sum(th * b * cnt / nrm) AS stat
       FROM {tag}n2 JOIN {model} USING (term_id) JOIN {tag}t2 USING (doc_id, topic_id) GROUP BY topic_id, term_id)"""
@@ -292,6 +308,26 @@ _ONLINE = f"""{_ONE}, online AS (
           FROM lam0 LEFT JOIN ass USING (topic_id, term_id))"""
 
 
+def _online(weights: str, tag: str, out: str, step: int, docs: str) -> str:
+    rho = f"pow({sql.lit(STEPS.tau + step)}, {sql.lit(-STEPS.kappa)})"
+    return f"""
+    {out} AS MATERIALIZED (
+      SELECT topic_id, term_id, w * (1.0::DOUBLE - {rho})
+             + {rho} * ({ETA} + {sql.lit(STEPS.n_docs)} / (SELECT count(*) FROM {docs}) * coalesce(stat, 0.0::DOUBLE)) AS w
+      FROM {weights} LEFT JOIN {tag}ss USING (topic_id, term_id))"""
+
+
+_HALVES = """
+    placed AS MATERIALIZED (
+      SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= (count(*) OVER () + 1) // 2 AS early FROM documents),
+    half1 AS MATERIALIZED (SELECT doc_id FROM placed WHERE early),
+    half2 AS MATERIALIZED (SELECT doc_id FROM placed WHERE NOT early),
+    dt1 AS MATERIALIZED (SELECT * FROM dt SEMI JOIN half1 USING (doc_id)),
+    dt2 AS MATERIALIZED (SELECT * FROM dt SEMI JOIN half2 USING (doc_id))"""
+_ONLINE_TWO = f"""{_BASE},{_HALVES},{_two_passes('m0', 'p', 'half1', 'dt1')},{_online('lam0', 'p', 'on1', 1, 'half1')},
+    {_model('on1', 'q1')},{_two_passes('q1', 'q', 'half2', 'dt2')},{_online('on1', 'q', 'on2', 2, 'half2')}"""
+
+
 def _top(before: str, weights: str, extra: str = "") -> str:
     return f"""{before}, ranked AS (
           SELECT topic_id, term, w, row_number() OVER (PARTITION BY topic_id ORDER BY w DESC, term)::INTEGER AS rank
@@ -317,6 +353,9 @@ ORACLES = {
         SELECT round({_bound('at2', 'm0')}, 3) AS bound, round({_bound('at2', 'm0', _RATIO)}, 3) AS scaled""",
     "lda_perplexity": f"{_ONE} SELECT round(exp(-{_bound('at2', 'm0')} / {_WORDS}), 4) AS perplexity",
     "lda_top_words": _top(_STEP, "lam1"),
+    "lda_fit_transform_steps": f"""{_TWO},{_two_passes('m2', 'e')}
+        SELECT doc_id, topic_id, round(g / sum(g) OVER (PARTITION BY doc_id), 6) AS theta FROM eg2""",
+    "lda_partial_fit_two": f"{_ONLINE_TWO} SELECT topic_id, term_id, round(w, 6) AS weight FROM on2",
     "lda_fit": f"{_TWO} SELECT topic_id, term_id, round(w, 6) AS weight FROM lam2",
     "lda_trace": f"""{_TWO}
         SELECT 0::INTEGER AS iteration, round(exp(-{_bound('at2', 'm1')} / {_WORDS}), 4) AS perplexity

@@ -125,17 +125,44 @@ def tree_report(spark, sf_dir):
 
 
 def tree_infer(spark, sf_dir):
-    tree, state, _ = given_tree(spark, sf_dir)
-    seqs = Sequences(state.select("doc_id", "term_ids"), tree.n_terms)
+    """Held-out documents in the tree of the training folds."""
+    _, state, vocab = given_tree(spark, sf_dir)
+    train, held_out = text.training_split(state)
+    nodes, terms = trees.tree_tables(train)
+    tree = TopicTree(cut_lineage(nodes), cut_lineage(terms), vocab.n_terms, PARAMS)
+    seqs = Sequences(held_out.select("doc_id", "term_ids"), tree.n_terms)
     return trees.infer_distribution(trees.infer(tree, seqs, iterations=10, thinning=2, burn_in=4))
 
 
-def tree_fit(spark, sf_dir):
+def tree_infer_sums(spark, sf_dir):
+    """Every held-out document is placed, and its shares sum to 1."""
+    return tree_infer(spark, sf_dir).groupBy("doc_id").agg(F.round(F.sum("share"), 9).alias("total"))
+
+
+def fitted(spark, sf_dir):
     seqs, vocab, _ = corpus(spark, sf_dir)
-    tree, _ = trees.fit_tree(seqs, PARAMS, 3)
+    return trees.fit_tree(seqs, PARAMS, 3)[0], vocab
+
+
+def tree_fit(spark, sf_dir):
+    tree, vocab = fitted(spark, sf_dir)
     return trees.tree_report(tree, vocab.df, N_WORDS)
 
 
+def tree_fit_seats(spark, sf_dir):
+    """Per level of a fitted tree its customers, and how many of its nodes have other customers than their children."""
+    nodes = fitted(spark, sf_dir)[0].nodes
+    below = nodes.groupBy("parent_id").agg(F.sum("customers").alias("below"))
+    joined = nodes.join(below.withColumnRenamed("parent_id", "node_id"), "node_id", "left")
+    odd = (F.col("level") < PARAMS.n_levels - 1) & ~F.col("customers").eqNullSafe(F.col("below"))
+    return joined.groupBy("level").agg(F.sum("customers").alias("customers"), F.count_if(odd).alias("odd"))
+
+
+def tree_fit_tokens(spark, sf_dir):
+    """How often a fitted tree has each term, over all nodes."""
+    return fitted(spark, sf_dir)[0].terms.groupBy("term_id").agg(F.sum("n").alias("n"))
+
+
 QUERIES = {
     "tree_nodes": tree_nodes,
     "tree_terms": tree_terms,
@@ -152,6 +179,9 @@ QUERIES = {
     "tree_report": tree_report,
     "tree_infer": tree_infer,
     "tree_fit": tree_fit,
+    "tree_infer_sums": tree_infer_sums,
+    "tree_fit_seats": tree_fit_seats,
+    "tree_fit_tokens": tree_fit_tokens,
 }
 
 
@@ -259,4 +289,10 @@ ORACLES = {
                || lpad(n0.node_id::VARCHAR, 10, '0') AS path_key,
                n0.level, n0.node_id, n0.total_tokens, n0.customers, coalesce(w, '') AS top_words
         FROM node n0 LEFT JOIN node n1 ON n1.node_id = n0.parent_id LEFT JOIN words ON words.node_id = n0.node_id""",
+    "tree_infer_sums": f"SELECT doc_id, 1.0::DOUBLE AS total FROM documents WHERE {text.fold('doc_id')} = 0",
+    "tree_fit_seats": f"""
+        SELECT level, (SELECT count(*) FROM documents) AS customers, 0::BIGINT AS odd
+        FROM (SELECT unnest(range({PARAMS.n_levels}))::INTEGER AS level)""",
+    "tree_fit_tokens": f"""WITH {sql.tokens(ALNUM_DASH)},{sql.vocabulary()}
+        SELECT term_id, count(*) AS n FROM tok JOIN vocab USING (term) GROUP BY term_id""",
 }
