@@ -3,7 +3,7 @@ import pytest
 
 from topicloom.operators.counts import BagOfWords
 from topicloom.operators.lda import LdaParams, OnlineLda
-from topicloom.streaming.online import StreamTrainer, document_stream, score_stream
+from topicloom.streaming.online import STATES_KEPT, StreamTrainer, document_stream, score_stream, score_to
 
 WORDS = [["aa", "bb", "cc"], ["ee", "ff", "gg"], ["hh", "ii", "jj"]]
 PARAMS = LdaParams(n_topics=3, alpha=1 / 3, eta=1 / 3, tau=30.0, n_docs=27, batch_size=100)
@@ -62,3 +62,24 @@ def test_stream_equals_partial_fit_and_survives_replay(spark, folder, tmp_path):
     live = {r["doc_id"]: np.array(r["theta"]) for r in spark.table("scored").collect()}
     for r in model.transform(bags).collect():
         np.testing.assert_allclose(live[r["doc_id"]], r["theta"])
+    score_to(stream, model, str(tmp_path / "scores"), str(tmp_path / "scored")).awaitTermination()
+    for r in spark.read.parquet(str(tmp_path / "scores")).collect():
+        np.testing.assert_allclose(live[r["doc_id"]], r["theta"])
+
+
+def test_large_models_score_by_joins_and_old_states_go(spark, folder, tmp_path, no_broadcast):
+    trainer = StreamTrainer(str(tmp_path / "model"), PARAMS, r"[\p{L}]{2,}", n_top_words=3)
+    docs = spark.read.parquet(folder)
+    for batch in range(STATES_KEPT + 2):
+        trainer.process(docs, batch)
+    assert len(list((tmp_path / "model" / "state").iterdir())) == STATES_KEPT
+    model, bags = trainer.model(spark), trainer.bag(docs)
+    bags.df.write.parquet(str(tmp_path / "bags"))
+    stream = spark.readStream.schema(bags.df.schema).parquet(str(tmp_path / "bags"))
+    with pytest.raises(ValueError):
+        score_stream(stream, model)
+    score_to(stream, model, str(tmp_path / "scores"), str(tmp_path / "scored")).awaitTermination()
+    live = {r["doc_id"]: np.array(r["theta"]) for r in spark.read.parquet(str(tmp_path / "scores")).collect()}
+    for r in model.transform(bags).collect():
+        np.testing.assert_allclose(live.pop(r["doc_id"]), r["theta"])
+    assert not live

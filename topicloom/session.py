@@ -36,6 +36,30 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that this session has written and no frame reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class RollingTables:
+    """States of an iteration, each written in the shared folder; all but the last two are deleted."""
+
+    def __init__(self, label: str, keep: int = 2):
+        self.label, self.keep = label, keep
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The state as written: lineage ends here, and lost executors do not matter."""
+        spark = df.sparkSession
+        path = fresh_path(spark, self.label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        while len(self.paths) > self.keep:
+            discard(spark, self.paths.pop(0))
+        return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     spark = df.sparkSession
