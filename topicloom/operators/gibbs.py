@@ -23,7 +23,7 @@ from topicloom.functions.numeric import digamma
 from topicloom.operators.arrow import TermColumns, TermVectors, pack_cells, ragged, spans, to_ragged, to_rows
 from topicloom.operators.counts import Sequences
 from topicloom.operators.tokens import unnest, with_runs
-from topicloom.session import cut_lineage, hold, lookup_join
+from topicloom.session import RollingTables, cut_lineage, hold, lookup_join
 
 
 Uniform = Callable[..., Column]
@@ -405,6 +405,7 @@ class GibbsModel:
     sweeps_done: int = 0
     trace: list[tuple[int, int, int, float]] = field(default_factory=list)
     _held: DataFrame | None = None
+    _tables: RollingTables = field(default_factory=lambda: RollingTables("labels"))
 
     @property
     def n_topics(self) -> int:
@@ -417,7 +418,7 @@ class GibbsModel:
         """Uniform labels, empty topics dropped, first topic weights."""
         model = cls(params, seqs.n_terms)
         k = params.n_topics
-        start = cut_lineage(random_topics(seqs.df.select("doc_id", "term_ids"), k, params.seed))
+        start = model._tables.add(random_topics(seqs.df.select("doc_id", "term_ids"), k, params.seed))
         model.tau, model.tau_new = [1.0 / k] * k, (0.0 if params.fixed_k else 1.0 / k)
         doc_topics = doc_topic_counts_in_row(start)
         totals = doc_topics.groupBy("topic_id").agg(F.sum("n").alias("n"))
@@ -466,7 +467,7 @@ class GibbsModel:
         raw = vectors.attach(self.state.select("doc_id", "term_ids", "z"), "term_ids").mapInArrow(
             _sweep_batches(setting, vectors.columns), SWEEP_SCHEMA
         )
-        raw = cut_lineage(raw) if self.sweeps_done % p.checkpoint_every == 0 else hold(raw)
+        raw = self._tables.add(raw) if self.sweeps_done % p.checkpoint_every == 0 else hold(raw)
         per_topic = (
             unnest(raw, ["fresh"], F.arrays_zip("counts", "tables"), "e", "k")
             .filter(F.col("e.counts") > 0)

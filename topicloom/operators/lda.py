@@ -21,7 +21,7 @@ from topicloom.functions.draws import hash_gamma_100
 from topicloom.functions.numeric import digamma, lgamma, np_digamma, np_dirichlet_expectation, np_lgamma
 from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, sum_vectors, to_ragged, to_rows
 from topicloom.operators.counts import BagOfWords, assign_batches
-from topicloom.session import cut_lineage, fresh_path, hold, lookup_join, parallelism
+from topicloom.session import RollingTables, discard, fresh_path, hold, lookup_join, parallelism
 
 TINY = 1e-100
 
@@ -400,6 +400,7 @@ class OnlineLda:
         self.components: DataFrame | None = None
         self.n_terms: int | None = None
         self.n_iter = 1
+        self._tables = RollingTables("components")
         self.trace: list[tuple[int, float]] = []
         self._summary: ModelSummary | None = None
         self._logs: TermVectors | None = None
@@ -410,7 +411,7 @@ class OnlineLda:
         """Adopt a new components table; views of the old one are released."""
         if self._logs is not None:
             self._logs.release()
-        self.components = cut_lineage(components)
+        self.components = self._tables.add(components)
         self._summary = self._logs = None
 
     def _start(self, bow: BagOfWords) -> None:
@@ -536,7 +537,8 @@ def mini_batches(bow: BagOfWords, batch_size: int) -> Iterator[tuple[BagOfWords,
     """Contiguous mini-batches with their sizes.
 
     The batches are written once, one directory each, so that every step reads its
-    own documents only instead of filtering the corpus again.
+    own documents only instead of filtering the corpus again.  They are deleted when
+    the last one is done.
     """
     spark = bow.df.sparkSession
     n_docs = bow.df.count()
@@ -558,3 +560,4 @@ def mini_batches(bow: BagOfWords, batch_size: int) -> Iterator[tuple[BagOfWords,
         size = batch_size if b < n_batches - 1 else n_docs - batch_size * (n_batches - 1)
         part = table.filter(F.col("batch_id") == b).drop("batch_id")
         yield BagOfWords(part, bow.n_terms), size
+    discard(spark, path)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, t
 from topicloom.operators.counts import Sequences
 from topicloom.operators.gibbs import by_position, longest_first
 from topicloom.operators.tokens import unnest
-from topicloom.session import cut_lineage, fits_broadcast, hold, lookup_join
+from topicloom.session import RollingTables, cut_lineage, fits_broadcast, hold, lookup_join, with_row_index
 
 NODE_ROW_BYTES = 64
 #: Nodes that a document row is paired with at a time where the node table is joined.
@@ -336,6 +336,27 @@ class TreeArrays:
             np.array([r["total_tokens"] for r in rows], dtype=np.float64),
         )
 
+    @cached_property
+    def lines(self) -> np.ndarray:
+        """Slots x levels: each node's path from the root, -1 below the node."""
+        out = np.full((len(self.level), self.level.max(initial=0) + 1), -1, dtype=np.int64)
+        for level in range(out.shape[1]):
+            nodes = np.flatnonzero(self.level == level)
+            if level:
+                out[nodes] = out[self.parent[nodes]]
+            out[nodes, level] = nodes
+        return out
+
+    @cached_property
+    def _by_parent(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.parent, kind="stable")
+        return order, np.searchsorted(self.parent[order], np.arange(len(order) + 1))
+
+    def below(self, slot: int) -> np.ndarray:
+        """Slots of a node's children."""
+        order, starts = self._by_parent
+        return order[starts[slot] : starts[slot + 1]]
+
     def slots_of(self, node_ids: np.ndarray) -> np.ndarray:
         order = np.argsort(self.node_ids)
         return order[np.searchsorted(self.node_ids[order], node_ids)]
@@ -420,20 +441,21 @@ class _Block:
         w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
         u = np_uniform(self.p.seed, stage, self.ids, np.full(self.n, -1))
         node = (w < (u * w[:, -1])[:, None]).sum(axis=1)
-        for d in range(self.n):
-            at = int(node[d])
-            line = [at]
-            while a.parent[line[0]] >= 0:
-                line.insert(0, int(a.parent[line[0]]))
-            for level in range(len(line), self.n_levels):
-                if grow:
-                    line.append((level - int(a.level[at])) * n_nodes + at)
-                else:
-                    children = np.flatnonzero(a.parent == line[-1])
-                    seats = self.customers[d, children].cumsum()
-                    draw = np_uniform(self.p.seed, stage, self.ids[d : d + 1], np.array([-2 - level]))[0]
-                    line.append(int(children[min((seats < draw * seats[-1]).sum(), len(children) - 1)]))
-            self.path[d] = line
+        path = a.lines[node]
+        for level in range(1, self.n_levels):
+            docs = np.flatnonzero(path[:, level] < 0)
+            if grow:
+                path[docs, level] = (level - a.level[node[docs]]) * n_nodes + node[docs]
+                continue
+            draw = np_uniform(self.p.seed, stage, self.ids[docs], np.full(len(docs), -2 - level))
+            up = path[docs, level - 1]
+            for parent in np.unique(up):
+                rows = np.flatnonzero(up == parent)
+                below = a.below(parent)
+                seats = self.customers[np.ix_(docs[rows], below)].cumsum(axis=1)
+                pick = (seats < (draw[rows] * seats[:, -1])[:, None]).sum(axis=1)
+                path[docs[rows], level] = below[np.minimum(pick, len(below) - 1)]
+        self.path = path
 
     def sample_levels(self, stage: int) -> None:
         p, n_nodes = self.p, len(self.a.level)
@@ -609,6 +631,18 @@ def start_state(seqs: Sequences, params: TreeParams) -> DataFrame:
     )
 
 
+def _renumbered(state: DataFrame, n_levels: int) -> DataFrame:
+    """The state with dense node ids, in the order of the codes that its paths hold."""
+    codes = with_row_index(unnest(state, [], "path", "node_id").select("node_id").distinct(), ["node_id"], "new")
+    n_bytes = float(NODE_ROW_BYTES * codes.count())
+    for level in range(n_levels):
+        table = codes.select(F.col("node_id").alias(f"_c{level}"), F.col("new").cast("int").alias(f"_n{level}"))
+        coded = state.withColumn(f"_c{level}", F.get("path", F.lit(level)))
+        state = lookup_join(coded, table, [f"_c{level}"], "inner", n_bytes, ["doc_id"])
+    path = F.array(*[f"_n{level}" for level in range(n_levels)])
+    return state.select("doc_id", "term_ids", "levels", path.alias("path"))
+
+
 def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTree, DataFrame]:
     """Train a tree by snapshot sweeps; returns it with ``state(doc_id, term_ids, levels, path)``.
 
@@ -616,7 +650,8 @@ def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTre
     its own counts.  Documents that branch off below the same node in the same sweep
     share the new child.
     """
-    state = cut_lineage(start_state(seqs, params))
+    states = RollingTables("tree-state")
+    state = states.add(start_state(seqs, params))
     held = state
     for sweep in range(sweeps):
         nodes, terms = tree_tables(state)
@@ -626,12 +661,8 @@ def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTre
         raw = vectors.attach(state, "term_ids").mapInArrow(
             _sample_batches(arrays, vectors.columns, params, seqs.n_terms, plan), SAMPLE_SCHEMA
         ).select("doc_id", "term_ids", "levels", "path")
-        raw = cut_lineage(raw) if (sweep + 1) % params.checkpoint_every == 0 else hold(raw)
-        codes = sorted(
-            r["node_id"] for r in unnest(raw, [], "path", "node_id").select("node_id").distinct().collect()
-        )
-        mapping = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c, i)])
-        fresh = raw.withColumn("path", F.transform("path", lambda c: F.element_at(mapping, c)))
+        raw = states.add(raw) if (sweep + 1) % params.checkpoint_every == 0 else hold(raw)
+        fresh = _renumbered(raw, params.n_levels)
         tree.nodes.unpersist()
         held.unpersist()
         vectors.release()
