@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES_KEY = "spark.topicloom.maxBroadcastBytes"
 DEFAULT_BROADCAST_BYTES = 256 << 20
-SALTS = 32
+#: Rows of one key that a task of a shuffled lookup takes, about.
+HOT_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -108,14 +109,23 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``big`` with a lookup table whose size is known.
 
-    Within the session's limit the table is broadcast.  Beyond it both sides
-    shuffle on ``on`` plus a salt taken from ``salt_from``, so a key that holds a
-    large share of ``big`` is still spread over many tasks.
+    Within the session's limit the table is broadcast.  Beyond it both sides shuffle.
+    Keys that hold more than ``HOT_ROWS`` rows of ``big`` are counted out first: their
+    rows spread over as many salts, taken from ``salt_from``, as keep a salt's share
+    under that, and only their table rows are copied.
     """
     if fits_broadcast(big.sparkSession, table_bytes):
         return big.join(F.broadcast(table), list(on), how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_from), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = big.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    hot = cut_lineage(counts.select(*on, F.ceil(F.col("_rows") / HOT_ROWS).cast("int").alias("_fan")))
+    n_hot = hot.count()
+    if not n_hot:
+        return big.join(table, list(on), how)
+    if fits_broadcast(big.sparkSession, 100.0 * n_hot):
+        hot = F.broadcast(hot)
+    fan = F.coalesce("_fan", F.lit(1))
+    salted = big.join(hot, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_from), fan).cast("int")).drop("_fan")
+    copies = table.join(hot, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fan")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
