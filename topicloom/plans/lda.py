@@ -38,6 +38,8 @@ STEPS = LdaParams(
     mean_change_tol=0.0, max_gamma_update_iter=2, prex_tol=0.0,
 )
 FULL = LdaParams(n_topics=10, alpha=0.1, eta=0.1, kappa=0.7, tau=512.0, n_docs=1e4, batch_size=256)
+#: EM steps of a full fit, if perplexity does not settle before.
+FULL_STEPS = 10
 N_TOP = 15
 ONE_BATCH = 1 << 40
 
@@ -153,7 +155,7 @@ def lda_trace(spark, sf_dir):
 
 def lda_fit_converged(spark, sf_dir):
     bag, vocab = corpus(spark, sf_dir)
-    return OnlineLda(FULL).fit(bag, 5).top_words(vocab.df, N_TOP)
+    return OnlineLda(FULL).fit(bag, FULL_STEPS).top_words(vocab.df, N_TOP)
 
 
 def lda_partial_fit(spark, sf_dir):
@@ -169,7 +171,7 @@ def lda_partial_fit_batches(spark, sf_dir):
 
 def lda_fit_transform(spark, sf_dir):
     bag, _ = corpus(spark, sf_dir)
-    return OnlineLda(FULL).fit_transform(bag, 3).select("doc_id", F.posexplode("theta").alias("topic_id", "theta"))
+    return OnlineLda(FULL).fit_transform(bag, FULL_STEPS).select("doc_id", F.posexplode("theta").alias("topic_id", "theta"))
 
 
 def lda_fit_transform_steps(spark, sf_dir):
