@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, little-endian unsigned 32-bit integers, and the decoded text's hash."""
     path = public_tokenizers.path(WORD_BPE)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return coded.select(
         "doc_id", "lang", "source", n_tokens.alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")

@@ -24,7 +24,7 @@ from topicloom.llm.common import text_udf
 
 NEVER = 1 << 60
 #: Words whose ids a task remembers, and pairs whose test it remembers.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 100_000
 PAIRS_KEPT = 200_000
 #: Stands for the end of a word inside the automaton; no byte letter is mapped to it.
 END = "\x00"
@@ -81,20 +81,15 @@ class WordCodec:
             self.rank_of[left, right] = rank
             if whole not in parts:
                 parts[whole] = (left, right, rank)
-        #: Tokens at a token's right (left) edge, smallest first, each with the rank that ends its time there.
-        self.right_edge: dict[int, list[tuple[int, int]]] = {}
-        self.left_edge: dict[int, list[tuple[int, int]]] = {}
+        self.parts = parts
         usable = set()
         for token in sorted(vocab.values(), key=lambda t: parts[t][2] if t in parts else -1):
             if token not in parts:
-                self.right_edge[token] = self.left_edge[token] = [(token, NEVER)]
                 usable.add(token)
                 continue
             left, right, rank = parts[token]
             if max(parts.get(left, (0, 0, -1))[2], parts.get(right, (0, 0, -1))[2]) >= rank:
                 raise ValueError("a merge uses a token that a later merge forms")
-            self.right_edge[token] = [*self.right_edge[right][:-1], (right, rank), (token, NEVER)]
-            self.left_edge[token] = [*self.left_edge[left][:-1], (left, rank), (token, NEVER)]
             if {left, right} <= usable and self._stand(left, right, rank):
                 usable.add(token)
         self.automaton = ahocorasick.Automaton()
@@ -105,12 +100,22 @@ class WordCodec:
             self.automaton.add_word(text, (token, len(text)))
         self.automaton.make_automaton()
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Tokens at a token's left (0) or right (1) edge, smallest first, each with the rank that ends its time there."""
+        edge, ends, parts = [], NEVER, self.parts
+        while True:
+            edge.append((token, ends))
+            if token not in parts:
+                return edge[::-1]
+            ends = parts[token][2]
+            token = parts[token][side]
+
     def _stand(self, left: int, right: int, before: int = NEVER) -> bool:
         """No merge of rank under ``before`` joins the two across their boundary.
 
         Edge tokens change at the ranks of their merges; of equal ranks the leftmost goes first.
         """
-        a_edge, b_edge, i, j = self.right_edge[left], self.left_edge[right], 0, 0
+        a_edge, b_edge, i, j = self._edge(left, 1), self._edge(right, 0), 0, 0
         rank_of = self.rank_of
         while True:
             a, a_ends = a_edge[i]
@@ -201,3 +206,15 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         return pa.array([decode_ids(ids, path) for ids in column.to_pylist()], pa.string())
 
     return docs.withColumn(out, text_udf(kernel, "string")(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass, so that one Python worker a task serves both."""
+
+    def kernel(column: pa.Array) -> pa.Array:
+        coded = [codec(path).encode(t) for t in column.to_pylist()]
+        decoded = pa.array([decode_ids(c, path) for c in coded], pa.string())
+        return pa.StructArray.from_arrays([pa.array(coded, pa.binary()), decoded], ["ids", "decoded"])
+
+    both = docs.withColumn("_coded", text_udf(kernel, "struct<ids: binary, decoded: string>")(F.col(text)))
+    return both.withColumns({ids: F.col("_coded.ids"), out: F.col("_coded.decoded")}).drop("_coded")

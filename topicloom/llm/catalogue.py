@@ -138,8 +138,7 @@ WORD_BPE = "word_bpe_49k.json"
 @query
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
-    docs = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path).drop("text")
-    return bpe.decode(docs, path).select(
+    return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
