@@ -13,7 +13,7 @@ from topicloom.session import fresh_path
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts a kernel turns into Python objects at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -47,6 +47,7 @@ def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str):
         for column in batches:
             for part in slices(column):
                 yield kernel(part)
+            pa.default_memory_pool().release_unused()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind).asNondeterministic()
