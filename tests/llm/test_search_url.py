@@ -99,7 +99,8 @@ def test_odd_urls_and_mined_rules(spark, no_broadcast):
     assert len(found) == len(urls) * 2
     for r in found:
         host, path, rule, verdict = plain_rule(urls[r.page_id])
-        learned = "block" if host == "bad-farm.com" else "allow"
+        # The token path=offer is bad in 60 of its 61 labelled URLs, so it is a rule of its own.
+        learned = "block" if path.startswith("/offer/") else "allow"
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or learned)
 
 
