@@ -86,3 +86,12 @@ def test_shards_of_odd_rows(odd, none, tmp_path):
     sharding.write_shards(found, str(tmp_path / "out"))
     back = odd.sparkSession.read.parquet(str(tmp_path / "out"))
     assert back.count() == odd.count() and {r["shard"] for r in back.collect()} == {0, 1, 2}
+
+
+def test_repeated_rows_spread_over_buckets(spark):
+    rows = [(1, "the same text again and again")] * 3000 + [(i, f"text {i}") for i in range(2, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sharding.shuffled(docs, bucket_bytes=10_000).persist()
+    assert Counter(r.doc_id for r in found.select("_row.doc_id").collect()) == Counter(i for i, _ in rows)
+    per_bucket = [r["count"] for r in found.filter("_row.doc_id = 1").groupBy("_bucket").count().collect()]
+    assert len(per_bucket) >= 10 and max(per_bucket) < 600

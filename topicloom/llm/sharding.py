@@ -17,6 +17,8 @@ from topicloom.llm.common import written
 from topicloom.session import fits_broadcast
 
 BUCKET_BYTES = 32 << 20
+#: Repeats of a row are scattered one by one from this part of a bucket on.
+HOT_PARTS = 8
 SEED = 11
 
 
@@ -29,15 +31,28 @@ def shuffled(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_by
     """The rows of ``docs`` as ``_row``, with ``_bucket`` and ``_pos`` (from 0 in its bucket), read from the written buckets.
 
     A bucket is one partition, sorted by the hash before it is shuffled, so a lost task
-    shuffles alike when it runs again.
+    shuffles alike when it runs again.  Rows that repeat a key and text are scattered row by
+    row where together they would fill a bucket to more than one ``HOT_PARTS``th.
     """
     total = docs.agg(F.sum(record_bytes(text))).first()[0] or 0
     n = max(1, -(-total // bucket_bytes))
     # Rows without a key are told apart by their place, else they could all meet in one bucket.
     told = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
     crc = F.crc32(F.col(text).cast("binary"))
+    hashed = docs.select(
+        F.struct("*").alias("_row"),
+        F.xxhash64(F.lit(seed), told, crc).alias("_key"),
+        record_bytes(text).alias("_bytes"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    sums = hashed.groupBy("_key").agg(F.sum("_bytes").alias("_sum"), F.count("*").alias("_n"))
+    # At most HOT_PARTS rows per bucket.
+    hot = written(sums.filter((F.col("_n") > 1) & (F.col("_sum") * HOT_PARTS > bucket_bytes)).select(F.col("_key").alias("_hot")), "hot")
+    hot = F.broadcast(hot) if fits_broadcast(docs.sparkSession, 16.0 * HOT_PARTS * n) else hot
+    salted = F.when(F.col("_hot").isNotNull(), F.xxhash64("_key", "_place")).otherwise(F.col("_key"))
     scattered = (
-        docs.select(F.struct("*").alias("_row"), F.xxhash64(F.lit(seed), told, crc).alias("_key"))
+        hashed.join(hot, F.col("_key") == F.col("_hot"), "left")
+        .select("_row", salted.alias("_key"))
         .withColumn("_bucket", F.pmod("_key", F.lit(n)).cast("int"))
         .repartitionById(n, "_bucket")
         .sortWithinPartitions("_bucket", "_key")
@@ -50,7 +65,8 @@ def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text
     """``docs`` in random order: with shard (from 0) and slot (gapless from 0 in its shard).
 
     Null and empty texts are records of 16 bytes.  Repeated rows are records each; rows
-    with a null key are placed by their position in the table.  Input columns named
+    with a null key, and rows repeated so often that they would fill a bucket, are placed by
+    their position, so ``docs`` should be a table read from files.  Input columns named
     shard or slot are replaced; an empty table gives an empty table.
     """
     rows = shuffled(docs.drop("shard", "slot"), key, text, bucket_bytes, seed)
