@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group; five-word shingles, similarity 0.8."""
-    return near_dup.deduplicate(docs)
+    """The first row of each group; five-word shingles, similarity 0.8."""
+    return near_dup.first_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

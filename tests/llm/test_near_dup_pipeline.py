@@ -162,3 +162,13 @@ def test_stages_on_odd_rows(spark, odd_tables):
         assert out.count() >= 0 and stage(spark, docs.limit(0), folder).count() == 0, name
         if name != "tokens":
             assert out.columns == docs.columns
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey"
+    rows = [(4, a), (4, a), (None, a), (7, a), (7, b), (7, c), (None, c), (None, c), (3, b), (None, "no copy of this at all"), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    want = {(4, a): 1, (3, b): 1, (7, c): 1, (None, "no copy of this at all"): 1, (None, None): 1, (8, ""): 1}
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want

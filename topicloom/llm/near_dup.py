@@ -288,3 +288,17 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", like:
     gone = groups(docs, key, text, like).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
     gone = _small(written(gone, "gone"), 16.0)
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+
+
+def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:
+    """One row of ``docs`` of each group of rows: that of the smallest key, null last, then the first in the table.
+
+    Rows are linked by their texts alone, whatever their keys.  Rows without words stay.
+    """
+    rows = written(docs.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    found = groups(rows, "_at", text, like).select("_at", "component_id")
+    placed = written(found.join(rows.select("_at", F.col(key).alias("_key")), "_at"), "placed")
+    order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_at").alias("at"))
+    first = placed.groupBy("component_id").agg(F.min(order)["at"].alias("_at"))
+    gone = written(placed.join(first, "_at", "left_anti").select("_at"), "gone")
+    return rows.join(_small(gone, 16.0), "_at", "left_anti").select(docs.columns)
