@@ -95,3 +95,16 @@ def test_repeated_rows_spread_over_buckets(spark):
     assert Counter(r.doc_id for r in found.select("_row.doc_id").collect()) == Counter(i for i, _ in rows)
     per_bucket = [r["count"] for r in found.filter("_row.doc_id = 1").groupBy("_bucket").count().collect()]
     assert len(per_bucket) >= 10 and max(per_bucket) < 600
+
+
+def test_tied_rows_are_taken_whole_but_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_ROWS", 20)
+    text = "\n".join(f"  line {i}\tof\u00a0six words here" for i in range(7))
+    docs = spark.createDataFrame([(key, s, text) for s in "ab" for key in (None, 5) for _ in range(100)], "doc_id long, source string, text string")
+    mixed = mixing.mix(docs.repartition(4)).persist()
+    for s, rows in {s: [r for r in mixed.collect() if r.source == s] for s in "ab"}.items():
+        assert len(rows) == 200 and sum(r.taken % r["size"] != 0 for r in rows) <= 1
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1
+    texts = Counter((r.source, r.text) for r in mixing.repeat(mixed).collect())
+    cut = [t for _, t in texts if t != text]
+    assert 1 <= len(cut) <= 2 and all(text.startswith(t) for t in cut) and all(n == 1 for (_, t), n in texts.items() if t != text)

@@ -4,8 +4,9 @@ Capped water-filling: a source's target is its weight times one water level, cla
 ``max_epochs`` times its size; the excess lifts the level of the others until no target
 is above its cap.  A source whose target is e epochs gives every document floor(e) whole
 repetitions, and one more to a seeded random part of its documents: those first in the
-order of a keyed hash, until the target is filled.  The document at the edge gives a part
-of its words, so a source's words meet its target.
+order of a keyed hash, until the target is filled; rows that share a key are ordered by
+their place in a written table.  The one row at the edge gives a part of its words, so a
+source's words meet its target.
 """
 
 from __future__ import annotations
@@ -79,13 +80,16 @@ def mix(
     words the mix takes from the document, repeats counted.
 
     Null is a source like another.  Null and empty texts have size 0 and give nothing.
-    Null keys share one place in the hash order; rows that share a place at the edge
-    share what is left in proportion to their sizes.  Repeated rows count each.  Input
+    Rows that share a key, or have none, share one place in the hash order and are taken
+    row by row there, in the order of a hash of their row number.  Repeated rows count each.
+    Input
     columns named like a result are replaced; an empty table gives an empty table.
     """
     sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
     sized = sized.withColumn("_h", order_hash(seed, F.col(key))).drop("source_size", "target", "taken")
-    rows = written(sized.select(F.col(source).alias("source"), "size", "_h"), "sizes")
+    # Written, so that a row keeps its number in every pass.
+    sized = written(sized.withColumn("_r", order_hash(seed, F.monotonically_increasing_id())), "numbered")
+    rows = sized.select(F.col(source).alias("source"), "size", "_h", "_r")
     stats = cut_lineage(
         rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     )
@@ -100,16 +104,24 @@ def mix(
         .withColumn("_cells", F.ceil(F.col("_n") / F.lit(CELL_ROWS)))
         .select("source", "source_size", "target", "_whole", "_left", "_cells")
     )
-    edges = _edges(rows, plan)
-    plan = cut_lineage(_join(plan, edges, "source", "source"))
+    edges = cut_lineage(_edges(rows, plan))
+    # The rows at the edge are placed once more, by their numbers.
+    at_edge = _join(rows, edges.select("source", "_edge"), "source", "source").filter("_h = _edge")
+    cells = F.ceil(F.col("_rows") / F.lit(CELL_ROWS))
+    again = edges.select("source", (F.col("_left") - F.col("_before")).alias("_left"), cells.alias("_cells"))
+    inner = _edges(at_edge.select("source", "size", F.col("_r").alias("_h")), again)
+    inner = inner.select("source", F.col("_edge").alias("_row_edge"), (F.col("_left") - F.col("_before")).alias("_rest"))
+    plan = plan.drop("_left", "_cells")
+    plan = _join(plan, edges.select("source", "_edge"), "source", "source")
+    plan = cut_lineage(_join(plan, inner, "source", "source"))
     found = _join(sized, plan, source, "source")
     extra = (
-        F.when(F.col("_h") < F.col("_edge"), F.col("size"))
-        .when(F.col("_h") == F.col("_edge"), F.expr("(_left - _before) * size div _tied"))
+        F.when((F.col("_h") < F.col("_edge")) | ((F.col("_h") == F.col("_edge")) & (F.col("_r") < F.col("_row_edge"))), F.col("size"))
+        .when((F.col("_h") == F.col("_edge")) & (F.col("_r") == F.col("_row_edge")), F.least("size", "_rest"))
         .otherwise(F.lit(0))
     )
     taken = (F.col("_whole") * F.col("size") + extra).cast("long")
-    return found.withColumn("taken", taken).drop("_h", "_whole", "_left", "_cells", "_edge", "_before", "_tied")
+    return found.withColumn("taken", taken).drop("_h", "_r", "_whole", "_edge", "_row_edge", "_rest")
 
 
 def _join(left: DataFrame, right: DataFrame, on: str, right_on: str) -> DataFrame:
@@ -125,7 +137,7 @@ def _join(left: DataFrame, right: DataFrame, on: str, right_on: str) -> DataFram
 
 
 def _edges(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source with a part to fill: the hash where the fill ends, the words before it and at it."""
+    """Per source with a part to fill (``_left``): the hash where the fill ends, the words before it, the rows at it."""
     cell = F.shiftright(F.shiftright("_h", 30) * F.col("_cells"), 30)
     by_source = Window.partitionBy("source")
     some = plan.filter("_left > 0").select("source", "_left", "_cells")
@@ -142,20 +154,21 @@ def _edges(rows: DataFrame, plan: DataFrame) -> DataFrame:
     before = F.sum("_tied").over(by_source.orderBy("_h")) + F.col("_base") - F.col("_tied")
     return (
         inside.groupBy("source", "_left", "_base", "_h")
-        .agg(F.sum("size").alias("_tied"))
+        .agg(F.sum("size").alias("_tied"), F.count("*").alias("_rows"))
         .withColumn("_before", before)
         .filter("_before <= _left AND _left < _before + _tied")
-        .select("source", F.col("_h").alias("_edge"), "_before", "_tied")
+        .select("source", "_left", F.col("_h").alias("_edge"), "_before", "_rows")
     )
 
 
 def repeat(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of a mix, each as often as it is taken; a part of a document is its first words.
+    """The rows of a mix, each as often as it is taken; a part of a document is its text up to the last word taken.
 
-    At most the documents at the edge of a source's target are cut.
+    At most one row of a source, that at the edge of its target, is cut.
     """
     left = F.col("taken") - F.col("size") * (F.col("_copy") - 1)
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    spaced = F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(spaced, F.lit(1), left.cast("int")), "")
     return (
         mixed.filter("taken > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
