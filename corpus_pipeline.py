@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm import bpe, language_id, mixing, near_dup, quality_rules
 from topicloom.llm.catalogue import WORD_BPE
+from topicloom.llm.common import written
 
 #: Documents less like every language than this are no text of a language.
 LEAST_LIKENESS = 0.2
@@ -60,7 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written, and the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

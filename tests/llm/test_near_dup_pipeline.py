@@ -172,3 +172,16 @@ def test_near_duplicates_by_row(spark):
     assert kept.columns == docs.columns
     want = {(4, a): 1, (3, b): 1, (7, c): 1, (None, "no copy of this at all"): 1, (None, None): 1, (8, ""): 1}
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def test_run_writes_each_stage(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs)
+        return docs.withColumn("text", F.upper("text"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", stage), ("second one", stage)])
+    seen.append(corpus_pipeline.run(spark, "/root/testdata/sf0.001"))
+    files = [set(d.inputFiles()) for d in seen]
+    assert all(files) and not (files[0] & files[1] or files[1] & files[2] or files[0] & files[2])
