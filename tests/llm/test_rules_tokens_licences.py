@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +8,7 @@ from tokenizers import Tokenizer
 
 from check import compare
 from tests_llm_cases import ODD_SQL
-from topicloom.llm import bpe, catalogue, licences, quality_rules
+from topicloom.llm import bpe, catalogue, licence_texts, licences, quality_rules
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,3 +82,39 @@ def test_licence_size_bounds_lose_nothing(spark):
         size = sum(grams.values())
         dice = 2 * sum((grams & own).values()) / max(1, size + sum(own.values()))
         assert (dice >= 0.8) == any(m.licence == "GPL-3.0" for m in r.matches)
+
+
+def test_licences_inline_wrapped_bodies_and_versions(spark):
+    prose = "Some words stand here and nothing else is said.\n"
+    mit = licences.TEMPLATES[1][1]
+    full = lambda name: next(t for n, t in licence_texts.BODIES if n == name)
+    cases = [
+        ("Copyright 2020 Foo Inc. All rights reserved. Released under the MIT License.", "MIT", 0),
+        (prose + textwrap.fill(mit, 72) + "\n" + prose, "MIT", 1),
+        (full("MIT"), "MIT", 0),
+        (prose * 3 + textwrap.fill(full("MIT"), 80) + "\n" + prose, "MIT", 3),
+        (textwrap.fill("Copyright Foo. " + full("BSD-2-Clause"), 76), "BSD-2-Clause", 0),
+        (full("BSD-3-Clause").replace("met: ", "met:\n"), "BSD-3-Clause", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0", 0),
+        ("We say: licensed under CC BY-NC 3.0. And so on, for ever and ever, in many more words.", "CC-BY-NC-3.0", 0),
+        (prose * 9 + textwrap.fill(full("GPL-2.0"), 70), "GPL-2.0", 9),
+        (prose * 5, None, None),
+        ("", None, None),
+        (None, None, None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, text string")
+    found = {r.i: r.matches for r in licences.find(docs).collect()}
+    for i, (_, name, line) in enumerate(cases):
+        assert (found[i][0].licence if found[i] else None) == name, (i, found[i])
+        assert line is None or found[i][0].line == line
+    assert found[0][0].notice == "Released under the MIT License" and len(found[0]) == 1
+
+
+def test_licence_anchors_cover_every_window():
+    known = (*licences.TEMPLATES, *licence_texts.BODIES)
+    words = set(licences.anchors(known))
+    for _, notice in known:
+        grams = licences.template_bigrams(notice)
+        size = sum(grams.values())
+        free = sum(n for g, n in grams.items() if words.isdisjoint(g.split()))
+        assert 2 * free / (free + size) < licences.MIN_DICE

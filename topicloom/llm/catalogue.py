@@ -149,7 +149,7 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.get("matches", F.lit(0))
-    found = licences.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = licences.find(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
         "doc_id",
         best["licence"].alias("licence"),

@@ -5,16 +5,23 @@ digits.  Its score against a template is the Dice coefficient of their word bigr
 repeats counted: 2 * common / (unit's + template's).  A score of ``MIN_DICE`` or more
 bounds the unit's number of bigrams on both sides, which prunes templates, and whole
 units, before any bigram is made.
+
+``find`` adds notices inside lines and over several lines: windows of words, also against
+licence bodies and sibling versions.  A window of the best Dice starts and ends with a
+bigram of the template, so only such windows are scored, which misses none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.llm.licence_texts import BODIES
+
 MIN_DICE = 0.8
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -99,3 +106,139 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, least: float
     found = F.array_sort(F.flatten(F.transform(F.transform(both, bigrams), against)))
     as_match = lambda m: F.struct(m["licence"].alias("licence"), (-m["dice"]).alias("dice"), m["line"].alias("line"), m["notice"].alias("notice"))
     return docs.withColumn("matches", F.transform(found, as_match))
+
+
+#: Words of templates that say little about a text being a licence.
+_COMMON = frozenset("a an and any are as at be been being by for from if in into is it its must no not of on or other out such that the their these they this to use was we when which will with without you your all may can make work works own one 0 1 2 3 4 5".split())
+
+
+def _need(size: int, least: float) -> int:
+    """Bigrams in common, at least, of a window that reaches ``least`` against a template of ``size``."""
+    return math.ceil(least * size / (2 - least) - 1e-9)
+
+
+def anchors(templates, least: float = MIN_DICE) -> list[str]:
+    """Words of which a text has one at least if a window in it reaches ``least`` against any template."""
+    found: set[str] = set()
+    for _, notice in templates:
+        grams = template_bigrams(notice)
+        while sum(n for g, n in grams.items() if found.isdisjoint(g.split())) >= _need(sum(grams.values()), least):
+            open_ = Counter(w for g, n in grams.items() if found.isdisjoint(g.split()) for w in set(g.split()) for _ in range(n))
+            found.add(min(open_, key=lambda w: (w in _COMMON, -open_[w], w)))
+    return sorted(found)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _window_templates(templates, least: float) -> Column:
+    rows = []
+    for at, (name, notice) in enumerate(templates):
+        grams = sorted(template_bigrams(notice).items())
+        size = sum(n for _, n in grams)
+        need = _need(size, least)
+        rows.append(F.struct(
+            F.lit(name).alias("licence"), F.lit(at).alias("at"), F.lit(size).alias("size"), F.lit(int((2 - least) * size / least + 1e-9)).alias("high"),
+            F.lit(max(1, need - size + len(grams))).alias("need"),
+            F.array(*[F.xxhash64(*map(F.lit, g.split())) for g, _ in grams]).alias("grams"),
+            F.array(*[F.lit(n) for _, n in grams]).alias("n"),
+        ))
+    return F.array(*rows)
+
+
+def _windows(pairs: Column, t: Column, least: float) -> Column:
+    """For each bigram of the template in the text, the best window from there: (score, start, at, dice, end, licence), if good enough."""
+    placed = F.transform(pairs, lambda h, i: F.struct(i.alias("i"), F.array_position(t["grams"], h).cast("int").alias("k")))
+
+    def back(hits: Column) -> Column:
+        # Where a window must start so that this hit is one too many of its bigram.
+        def of(x: Column, i: Column) -> Column:
+            before = F.filter(F.slice(hits, F.greatest(F.lit(1), i - t["high"] + 1), F.least(i, t["high"])), lambda y: y["k"] == x["k"])
+            n = F.element_at(t["n"], x["k"])
+            return F.struct(x["i"].alias("i"), F.coalesce(F.get(before, F.size(before) - n)["i"], F.lit(-1)).alias("back"))
+
+        return F.transform(hits, of)
+
+    def starts(hits: Column) -> Column:
+        def best(x: Column, i: Column) -> Column:
+            counted = F.filter(F.slice(hits, i + 1, t["high"]), lambda y: (y["i"] < x["i"] + t["high"]) & (y["back"] < x["i"]))
+
+            def upto(y: Column, m: Column) -> Column:
+                dice = F.lit(2.0) * (m + 1) / (y["i"] - x["i"] + 1 + t["size"])
+                return F.struct(dice.alias("dice"), (m + 1).alias("m"), y["i"].alias("end"))
+
+            top = F.array_max(F.transform(counted, upto))
+            as_window = lambda b: F.struct(
+                (-b["dice"] * b["m"]).alias("score"), x["i"].alias("start"), t["at"].alias("at"), b["dice"].alias("dice"), b["end"].alias("end"), t["licence"].alias("licence")
+            )
+            return _let(top, as_window)
+
+        return F.filter(F.transform(hits, best), lambda w: w["dice"] >= least)
+
+    return _let(_let(F.filter(placed, lambda x: x["k"] > 0), back), starts)
+
+
+_WINDOW = "struct<licence: string, dice: double, line: int, last: int, notice: string>"
+
+
+def _spans(text: Column, templates, least: float) -> Column:
+    """Windows of ``text`` (licence, dice, line, last, notice) that no better window overlaps.
+
+    Better is a higher Dice times bigrams in common, so a body goes before a notice in it.
+    """
+    known = _window_templates(templates, least)
+    likely = text.rlike(r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(anchors(templates, least)) + r")(?![\p{L}\p{N}])")
+
+    def spans(chunks: Column) -> Column:
+        words = F.transform(chunks, lambda c: F.regexp_extract(F.lower(c), TOKEN, 0))
+        pairs = _let(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b)))
+
+        def found(p: Column) -> Column:
+            near = F.filter(known, lambda t: F.size(F.array_intersect(p, t["grams"])) >= t["need"])
+            every = F.array_sort(F.flatten(F.transform(near, lambda t: _windows(p, t, least))))
+            none = F.slice(every, F.lit(1), F.lit(0))
+            apart = lambda kept, w: ~F.exists(kept, lambda k: (k["start"] <= w["end"] + 1) & (w["start"] <= k["end"] + 1))
+            return _let(every, lambda e: F.aggregate(e, none, lambda kept, w: F.when(apart(kept, w), F.concat(kept, F.array(w))).otherwise(kept)))
+
+        lead = F.regexp_extract(text, r"^[^\p{L}\p{N}]*", 0)
+        breaks = lambda n: F.regexp_count(F.concat(lead, F.array_join(F.slice(chunks, F.lit(1), n), "")), F.lit("\n"))
+
+        def shown(w: Column) -> Column:
+            notice = F.array_join(F.slice(chunks, w["start"] + 1, w["end"] - w["start"] + 2), "")
+            notice = F.regexp_replace(notice, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+$", "")
+            inside = F.regexp_count(notice, F.lit("\n"))
+            return F.struct(w["licence"].alias("licence"), w["dice"].alias("dice"), breaks(w["start"]).alias("line"), (breaks(w["start"]) + inside).alias("last"), notice.alias("notice"))
+
+        return F.transform(_let(pairs, found), shown)
+
+    chunks = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
+    several = lambda c: F.when(F.size(c) > 1, spans(c)).otherwise(F.array().cast(f"array<{_WINDOW}>"))
+    return F.when(likely, _let(chunks, several)).otherwise(F.array().cast(f"array<{_WINDOW}>"))
+
+
+def find(docs: DataFrame, text: str = "text", templates=TEMPLATES, bodies=BODIES, least: float = MIN_DICE) -> DataFrame:
+    """``scan`` with notices that are no unit of their own: inside a longer line, wrapped over lines, whole bodies.
+
+    Such a match has the line that it begins in.  It is left out where a unit there names
+    the same licence already; units that name other licences only give way to it.
+    """
+    spans = _spans(F.coalesce(F.col(text), F.lit("")), (*templates, *bodies), least)
+    touch = lambda m, w: (m["line"] == -1) | m["line"].between(w["line"], w["last"])
+
+    def merged(units: Column, windows: Column) -> Column:
+        named = lambda m, w: F.exists(units, lambda o: (o["line"] == m["line"]) & (o["licence"] == w["licence"]))
+        stays = lambda m: _let(F.filter(windows, lambda w: touch(m, w)), lambda at: (F.size(at) == 0) | F.exists(at, lambda w: named(m, w)))
+
+        def both(left: Column) -> Column:
+            new = F.filter(windows, lambda w: ~F.exists(left, lambda m: touch(m, w) & (m["licence"] == w["licence"])))
+            as_key = lambda m: F.struct((-m["dice"]).alias("dice"), m["line"].alias("line"), m["licence"].alias("licence"), m["notice"].alias("notice"))
+            return F.array_sort(F.concat(F.transform(left, as_key), F.transform(new, as_key)))
+
+        as_match = lambda m: F.struct(m["licence"].alias("licence"), (-m["dice"]).alias("dice"), m["line"].alias("line"), m["notice"].alias("notice"))
+        return F.transform(_let(F.filter(units, stays), both), as_match)
+
+    scanned = scan(docs, text, templates, least)
+    whole = F.when(F.size(F.col("_w")) == 0, F.col("matches")).otherwise(_let(F.col("matches"), lambda u: merged(u, F.col("_w"))))
+    return scanned.withColumn("_w", spans).withColumn("matches", whole).drop("_w")
