@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import text_udf
 
 NEVER = 1 << 60
-#: Words whose ids a task remembers, and pairs whose test it remembers.
-WORDS_KEPT = 100_000
+#: Words of a generation whose ids a worker remembers (two generations of about 90 MB each), and pairs whose test it remembers.
+WORDS_KEPT = 400_000
 PAIRS_KEPT = 200_000
 #: Stands for the end of a word inside the automaton; no byte letter is mapped to it.
 END = "\x00"
@@ -71,6 +71,7 @@ class WordCodec:
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self._learn(vocab, [m.split(" ") if isinstance(m, str) else m for m in model["merges"]])
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def _learn(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
@@ -154,6 +155,17 @@ class WordCodec:
             at = back[at]
         return np.array(ids[::-1], "<u4").tobytes()
 
+    def _remember(self, piece: str) -> bytes:
+        """Ids of a piece that the young generation lacks.  A full young generation becomes the old one, whose place it takes."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.word(piece)
+        if len(piece) < 64:
+            if len(self.words) >= WORDS_KEPT:
+                self.older, self.words = self.words, {}
+            self.words[piece] = ids
+        return ids
+
     def _plain(self, text: str) -> list[bytes]:
         # Lower case goes letter by letter, so no final form of sigma arises.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -161,11 +173,8 @@ class WordCodec:
         for piece in self.pieces(text):
             ids = words.get(piece)
             if ids is None:
-                if len(words) >= WORDS_KEPT:
-                    words.clear()
-                ids = self.word(piece)
-                if len(piece) < 64:
-                    words[piece] = ids
+                ids = self._remember(piece)
+                words = self.words
             out.append(ids)
         return out
 
