@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language_id, licences, mixing, near_dup, neighbours, quality_knn, quality_rules, sharding, url_filter
+from topicloom.llm import bpe, language_id, licences, mixing, near_dup, neighbours, page_text, quality_knn, quality_rules, sharding, url_filter
 from topicloom.llm.common import crc_mod, read, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,10 @@ def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return near_dup.groups(docs, like=near_dup.Likeness(words=3, percent=85))
+
+
+@query
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = page_text.learn(page_text.labelled_pages(spark))
+    found = page_text.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"), model)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
