@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language_id, licences, mixing, near_dup, neighbours, page_text, quality_knn, quality_rules, sharding, url_filter
-from topicloom.llm.common import crc_mod, read, word_count, written
+from topicloom.llm import bpe, language_id, licences, mixing, near_dup, neighbours, page_text, quality_knn, quality_rules, sharding, url_filter, word_runs
+from topicloom.llm.common import WORD, crc_mod, read, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -230,6 +230,42 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(docs, like=near_dup.Likeness(words=3, percent=85))
 
 
+def _with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Texts as the query's contract has them: of a tenth of the documents the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
+    cut = docs.select("doc_id", "text", g.alias("g"), words.alias("words"))
+    cut = cut.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rest = F.col("n") - F.col("a")
+    cut = cut.withColumn("p", (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    whole = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_periodic_tails(read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = word_runs.collapse(docs)
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start: bigint, period: bigint, length: bigint>")
+    top = F.aggregate("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("best")
+    return found.withColumn("best", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        ((1000 * best["length"] - (1000 * best["length"]) % best["period"]) / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 @query
 def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = page_text.learn(page_text.labelled_pages(spark))
