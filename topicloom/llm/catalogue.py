@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import bpe, language_id, licences, mixing, near_dup, neighbours, page_text, quality_knn, quality_rules, sharding, url_filter, word_runs
+from topicloom.llm import bpe, language_id, licences, mixing, near_dup, neighbours, page_text, prefix_trie, quality_knn, quality_rules, sharding, url_filter, word_runs
 from topicloom.llm.common import WORD, crc_mod, read, word_count, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,6 +266,29 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    given = given.fillna("", ["role", "text"])
+    digest = prefix_trie.turn_digest(F.col("role"), F.col("text"))
+    turns = written(prefix_trie.numbered(given, ["turn", "role", "text"], digest), "turns")
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    convs = turns.filter("place = 1").select("conv_id")
+    # A conversation starts with the first turns of the one its group of twenty is named by.
+    starts = turns.filter("place <= 3").withColumnRenamed("conv_id", "giver")
+    lent = convs.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 20).alias("giver"), taken.alias("taken"))
+    lent = lent.join(starts, "giver").filter("place <= taken")
+    own = turns.filter(F.col("place") > taken)
+    columns = ["conv_id", "t1", "t2", "words", "place"]
+    rebuilt = lent.select(*columns, F.lit(0).cast("long").alias("own")).unionByName(own.select(*columns, F.lit(1).cast("long").alias("own")))
+    trie = prefix_trie.of_digests(rebuilt, ["own", "place"], convs)
+    nodes = trie.nodes.join(prefix_trie.end_digests(trie.ends), prefix_trie.NODE, "left")
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
+    )
+
+
 @query
 def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = page_text.learn(page_text.labelled_pages(spark))
