@@ -52,7 +52,7 @@ def template_bigrams(notice: str) -> Counter:
 
 def _bounds(size: int, least: float) -> tuple[int, int]:
     """Numbers of bigrams that a unit must lie between to reach ``least`` against a template of ``size``."""
-    return max(1, int(-(-least * size // (2 - least)))), int((2 - least) * size / least)
+    return max(1, math.ceil(least * size / (2 - least) - 1e-9)), int((2 - least) * size / least + 1e-9)
 
 
 def _templates(templates, least: float) -> tuple[Column, int, int]:
@@ -70,6 +70,32 @@ def _templates(templates, least: float) -> tuple[Column, int, int]:
     return column, min(r[2] for r in rows), max(r[3] for r in rows)
 
 
+#: Words of templates that say little about a text being a licence; the last four are short words that other languages and numbers have too.
+_COMMON = frozenset("a an and any are as at be been being by for from if in into is it its must no not of on or other out such that the their these they this to use was we when which will with without you your all may can make work works own one 0 1 2 3 4 5 mit nc nd sa".split())
+
+
+def _need(size: int, least: float) -> int:
+    """Bigrams in common, at least, of a window that reaches ``least`` against a template of ``size``."""
+    return math.ceil(least * size / (2 - least) - 1e-9)
+
+
+def anchors(templates, least: float = MIN_DICE) -> list[str]:
+    """Words of which a text has one at least if a window in it reaches ``least`` against any template."""
+    found: set[str] = set()
+    for _, notice in templates:
+        grams = template_bigrams(notice)
+        while sum(n for g, n in grams.items() if found.isdisjoint(g.split())) >= _need(sum(grams.values()), least):
+            open_ = Counter(w for g, n in grams.items() if found.isdisjoint(g.split()) for w in set(g.split()) for _ in range(n))
+            found.add(min(open_, key=lambda w: (w in _COMMON, -open_[w], w)))
+    return sorted(found)
+
+
+def anchor_test(templates, least: float = MIN_DICE):
+    """A test of texts that every text passes which any template matches."""
+    words = "|".join(anchors(templates, least))
+    return lambda text: text.rlike(r"(?iu)(?<![\p{L}\p{N}])(?:" + words + r")(?![\p{L}\p{N}])")
+
+
 def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, least: float = MIN_DICE) -> DataFrame:
     """``docs`` with ``matches``: array of (licence, dice, line, notice), best first.
 
@@ -78,11 +104,17 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, least: float
     Null and empty texts match nothing.  All work stays in the row: repeated rows, null
     keys and other columns pass through; an input column ``matches`` is replaced.
     """
+    whole = F.coalesce("text", F.lit(""))
+    found = F.when(anchor_test(templates, least)(whole), _units(whole, templates, least)).otherwise(_no_matches())
+    return _unpacked(_packed(docs, text).withColumn("matches", found), docs)
+
+
+def _units(whole: Column, templates, least: float) -> Column:
     known, fewest, most = _templates(templates, least)
-    whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n")
-    # Words, not bigrams, bound a unit here: no string is made for a unit that is too short or too long.
-    fits = lambda s: F.regexp_count(s, F.lit(TOKEN)).between(fewest + 1, most + 1)
+    holds = anchor_test(templates, least)
+    # Few units hold an anchor.  Of these, words, not bigrams, bound the size: no string is made for a unit that is too short or too long.
+    fits = lambda s: holds(s) & F.regexp_count(s, F.lit(TOKEN)).between(fewest + 1, most + 1)
     unit = lambda s, i: F.struct(i.cast("int").alias("line"), s.alias("notice"))
     units = F.filter(F.transform(lines, unit), lambda u: fits(u["notice"]))
     both = F.when(F.contains(whole, F.lit("\n")) & fits(whole), F.concat(F.array(unit(whole, F.lit(-1))), units)).otherwise(units)
@@ -105,27 +137,20 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, least: float
 
     found = F.array_sort(F.flatten(F.transform(F.transform(both, bigrams), against)))
     as_match = lambda m: F.struct(m["licence"].alias("licence"), (-m["dice"]).alias("dice"), m["line"].alias("line"), m["notice"].alias("notice"))
-    return docs.withColumn("matches", F.transform(found, as_match))
+    return F.transform(found, as_match)
 
 
-#: Words of templates that say little about a text being a licence.
-_COMMON = frozenset("a an and any are as at be been being by for from if in into is it its must no not of on or other out such that the their these they this to use was we when which will with without you your all may can make work works own one 0 1 2 3 4 5".split())
+def _no_matches() -> Column:
+    return F.array().cast("array<struct<licence: string, dice: double, line: int, notice: string>>")
 
 
-def _need(size: int, least: float) -> int:
-    """Bigrams in common, at least, of a window that reaches ``least`` against a template of ``size``."""
-    return math.ceil(least * size / (2 - least) - 1e-9)
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """The rows as one column beside the text, so that no helper column can clash with theirs."""
+    return docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
 
 
-def anchors(templates, least: float = MIN_DICE) -> list[str]:
-    """Words of which a text has one at least if a window in it reaches ``least`` against any template."""
-    found: set[str] = set()
-    for _, notice in templates:
-        grams = template_bigrams(notice)
-        while sum(n for g, n in grams.items() if found.isdisjoint(g.split())) >= _need(sum(grams.values()), least):
-            open_ = Counter(w for g, n in grams.items() if found.isdisjoint(g.split()) for w in set(g.split()) for _ in range(n))
-            found.add(min(open_, key=lambda w: (w in _COMMON, -open_[w], w)))
-    return sorted(found)
+def _unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "matches"), "matches")
 
 
 def _let(value: Column, body) -> Column:
@@ -189,14 +214,16 @@ def _spans(text: Column, templates, least: float) -> Column:
     Better is a higher Dice times bigrams in common, so a body goes before a notice in it.
     """
     known = _window_templates(templates, least)
-    likely = text.rlike(r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(anchors(templates, least)) + r")(?![\p{L}\p{N}])")
+    every_gram = sorted({g for _, notice in templates for g in template_bigrams(notice)})
+    grams = F.array(*[F.xxhash64(*map(F.lit, g.split())) for g in every_gram])
 
     def spans(chunks: Column) -> Column:
         words = F.transform(chunks, lambda c: F.regexp_extract(F.lower(c), TOKEN, 0))
         pairs = _let(words, lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b)))
 
         def found(p: Column) -> Column:
-            near = F.filter(known, lambda t: F.size(F.array_intersect(p, t["grams"])) >= t["need"])
+            # The text's bigrams meet those of all templates once; each template then sees these few.
+            near = _let(F.array_intersect(p, grams), lambda hits: F.filter(known, lambda t: F.size(F.array_intersect(t["grams"], hits)) >= t["need"]))
             every = F.array_sort(F.flatten(F.transform(near, lambda t: _windows(p, t, least))))
             none = F.slice(every, F.lit(1), F.lit(0))
             apart = lambda kept, w: ~F.exists(kept, lambda k: (k["start"] <= w["end"] + 1) & (w["start"] <= k["end"] + 1))
@@ -215,16 +242,21 @@ def _spans(text: Column, templates, least: float) -> Column:
 
     chunks = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
     several = lambda c: F.when(F.size(c) > 1, spans(c)).otherwise(F.array().cast(f"array<{_WINDOW}>"))
-    return F.when(likely, _let(chunks, several)).otherwise(F.array().cast(f"array<{_WINDOW}>"))
+    return _let(chunks, several)
 
 
 def find(docs: DataFrame, text: str = "text", templates=TEMPLATES, bodies=BODIES, least: float = MIN_DICE) -> DataFrame:
     """``scan`` with notices that are no unit of their own: inside a longer line, wrapped over lines, whole bodies.
 
     Such a match has the line that it begins in.  It is left out where a unit there names
-    the same licence already; units that name other licences only give way to it.
+    the same licence already; units that name other licences only give way to it.  Of windows
+    that overlap, the one of the highest Dice times bigrams in common stays; ties go to the
+    earlier, then to the earlier template.  ``bodies`` has licences of many pages by their
+    opening passage and their notices only: a later section on its own is not found, unless the
+    caller adds it as a template.  Nulls, repeated rows and other columns as in ``scan``.
     """
-    spans = _spans(F.coalesce(F.col(text), F.lit("")), (*templates, *bodies), least)
+    every = (*templates, *bodies)
+    given = F.coalesce("text", F.lit(""))
     touch = lambda m, w: (m["line"] == -1) | m["line"].between(w["line"], w["last"])
 
     def merged(units: Column, windows: Column) -> Column:
@@ -239,6 +271,9 @@ def find(docs: DataFrame, text: str = "text", templates=TEMPLATES, bodies=BODIES
         as_match = lambda m: F.struct(m["licence"].alias("licence"), (-m["dice"]).alias("dice"), m["line"].alias("line"), m["notice"].alias("notice"))
         return F.transform(_let(F.filter(units, stays), both), as_match)
 
-    scanned = scan(docs, text, templates, least)
-    whole = F.when(F.size(F.col("_w")) == 0, F.col("matches")).otherwise(_let(F.col("matches"), lambda u: merged(u, F.col("_w"))))
-    return scanned.withColumn("_w", spans).withColumn("matches", whole).drop("_w")
+    # A text without an anchor of any template has neither.
+    likely = _packed(docs, text).withColumn("likely", anchor_test(every, least)(given))
+    parts = likely.select("row", F.when(F.col("likely"), F.struct(_units(given, templates, least).alias("units"), _spans(given, every, least).alias("windows"))).alias("parts"))
+    units, windows = F.col("parts.units"), F.col("parts.windows")
+    whole = F.when(F.size(windows) > 0, _let(units, lambda u: merged(u, windows))).otherwise(F.coalesce(units, _no_matches()))
+    return _unpacked(parts.withColumn("matches", whole), docs)
