@@ -218,12 +218,16 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` of its ids in one pass, so that one Python worker a task serves both."""
+    """``encode`` and ``decode`` of its ids in one pass, so that one Python worker a task serves both.
+
+    Columns named like a result are replaced; other columns may have any name.
+    """
 
     def kernel(column: pa.Array) -> pa.Array:
         coded = [codec(path).encode(t) for t in column.to_pylist()]
         decoded = pa.array([decode_ids(c, path) for c in coded], pa.string())
         return pa.StructArray.from_arrays([pa.array(coded, pa.binary()), decoded], ["ids", "decoded"])
 
-    both = docs.withColumn("_coded", text_udf(kernel, "struct<ids: binary, decoded: string>")(F.col(text)))
-    return both.withColumns({ids: F.col("_coded.ids"), out: F.col("_coded.decoded")}).drop("_coded")
+    coded = text_udf(kernel, "struct<ids: binary, decoded: string>")(F.col(text))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (ids, out)]
+    return docs.select(F.struct("*").alias("row"), coded.alias("coded")).select(*own, F.col("coded.ids").alias(ids), F.col("coded.decoded").alias(out))

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +27,9 @@ UNKNOWN = "und"
 #: Distinct n-grams of a language that a counting task holds before it hands them on.
 HELD = 1_000_000
 BLANK = 32
+#: Share of a language's own documents that may fall under its least score, and by how much that is lowered.
+STRAY = 0.002
+MARGIN = 0.03
 
 
 @lru_cache(maxsize=1)
@@ -146,9 +149,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    top = counts.withColumn("rank", place).filter(F.col("rank") < size).select("lang", "gram", "rank").collect()
-    return Profiles.of([tuple(r) for r in top], size)
+    # Filtered by the row number itself, so that each task keeps its own first rows before the shuffle.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top = counts.withColumn("place", place).filter(F.col("place") <= size).select("lang", "gram", "place").collect()
+    return Profiles.of([(lang, gram, place - 1) for lang, gram, place in top], size)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
@@ -158,6 +162,12 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     Equal distances go to the language first in code point order.  Row by row: repeated
     rows and null keys pass through, input columns named like a result are replaced.
     """
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return _judged(docs, profiles, text).select(*own, "judged.lang_pred", "judged.score")
+
+
+def _judged(docs: DataFrame, profiles: Profiles, text: str) -> DataFrame:
+    """Rows as ``row``, their language and score as ``judged``, and their class of length."""
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def kernel(column: pa.Array) -> pa.Array:
@@ -165,5 +175,46 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
         langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
         return pa.StructArray.from_arrays([langs, scores], ["lang_pred", "score"])
 
-    judged = docs.withColumn("_judged", text_udf(kernel, "struct<lang_pred: string, score: double>")(F.col(text)))
-    return judged.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    judged = text_udf(kernel, "struct<lang_pred: string, score: double>")(F.col(text))
+    return docs.select(F.struct("*").alias("row"), judged.alias("judged"), _length_class(F.col(text)).alias("length"))
+
+
+def _length_class(text: Column) -> Column:
+    """Texts of about the same length: each class goes up to twice the characters of the one before, up to long texts."""
+    return F.least(F.floor(F.log2(F.length(text) + 1)), F.lit(12)).cast("int")
+
+
+def least_scores(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", share: float = STRAY, margin: float = MARGIN) -> DataFrame:
+    """(lang_pred, length, least): what documents of a language and length class score at least, all but a ``share`` of them.
+
+    Learned from all documents whose given language is the one found.  Short texts score lower, so each length
+    class has its own least score, lowered by ``margin``.  Counts by thousandths of a score are what is shuffled.
+    """
+    judged = _judged(docs.filter(F.col(lang).isNotNull()), profiles, text)
+    right = judged.filter(F.col("row")[lang] == F.col("judged.lang_pred"))
+    cells = right.groupBy(F.col("judged.lang_pred").alias("lang_pred"), "length", F.floor(F.col("judged.score") * 1000).alias("cell")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang_pred", "length")
+    upto = F.sum("n").over(own.orderBy("cell"))
+    kept = cells.withColumn("upto", upto).withColumn("all", F.sum("n").over(own)).filter(F.col("upto") > F.col("all") * share)
+    return kept.groupBy("lang_pred", "length").agg((F.min("cell") / 1000 - margin).alias("least"))
+
+
+def in_language(docs: DataFrame, profiles: Profiles, least: DataFrame, text: str = "text") -> DataFrame:
+    """The rows (as ``row``, with ``lang_pred``) whose text is at least as like its language as ``least`` says of its length.
+
+    A length that the language has no document of is judged by the nearest shorter one that it has, or else the shortest.
+    Texts of no language (null, empty, without letters) go.
+    """
+    table: dict[str, list[tuple[int, float]]] = {}
+    # At most one row for a language and length class.
+    for r in least.collect():
+        table.setdefault(r["lang_pred"], []).append((r["length"], r["least"]))
+    bound = F.lit(None).cast("double")
+    for name, classes in table.items():
+        classes.sort()
+        of = F.lit(classes[0][1])
+        for length, score in classes:
+            of = F.when(F.col("length") >= length, F.lit(score)).otherwise(of)
+        bound = F.when(F.col("judged.lang_pred") == name, of).otherwise(bound)
+    fits = (F.col("judged.lang_pred") != UNKNOWN) & (F.col("judged.score") >= bound)
+    return _judged(docs, profiles, text).filter(fits).select("row", "judged.lang_pred")

@@ -82,14 +82,14 @@ def mix(
     Null is a source like another.  Null and empty texts have size 0 and give nothing.
     Rows that share a key, or have none, share one place in the hash order and are taken
     row by row there, in the order of a hash of their row number.  Repeated rows count each.
-    Input
-    columns named like a result are replaced; an empty table gives an empty table.
+    Input columns named like a result are replaced, other columns may have any name; an
+    empty table gives an empty table.
     """
-    sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
-    sized = sized.withColumn("_h", order_hash(seed, F.col(key))).drop("source_size", "target", "taken")
+    size = word_count(F.col("text")) if size is None else size
+    sized = docs.select(F.struct("*").alias("_row"), F.col(source).alias("source"), size.alias("size"), order_hash(seed, F.col(key)).alias("_h"))
     # Written, so that a row keeps its number in every pass.
     sized = written(sized.withColumn("_r", order_hash(seed, F.monotonically_increasing_id())), "numbered")
-    rows = sized.select(F.col(source).alias("source"), "size", "_h", "_r")
+    rows = sized.select("source", "size", "_h", "_r")
     stats = cut_lineage(
         rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     )
@@ -114,14 +114,16 @@ def mix(
     plan = plan.drop("_left", "_cells")
     plan = _join(plan, edges.select("source", "_edge"), "source", "source")
     plan = cut_lineage(_join(plan, inner, "source", "source"))
-    found = _join(sized, plan, source, "source")
+    found = _join(sized, plan, "source", "source")
     extra = (
         F.when((F.col("_h") < F.col("_edge")) | ((F.col("_h") == F.col("_edge")) & (F.col("_r") < F.col("_row_edge"))), F.col("size"))
         .when((F.col("_h") == F.col("_edge")) & (F.col("_r") == F.col("_row_edge")), F.least("size", "_rest"))
         .otherwise(F.lit(0))
     )
     taken = (F.col("_whole") * F.col("size") + extra).cast("long")
-    return found.withColumn("taken", taken).drop("_h", "_r", "_whole", "_edge", "_row_edge", "_rest")
+    results = [F.col("size"), F.col("source_size"), F.col("target"), taken.alias("taken")]
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return found.select(*own, *results)
 
 
 def _join(left: DataFrame, right: DataFrame, on: str, right_on: str) -> DataFrame:
@@ -161,17 +163,25 @@ def _edges(rows: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
+def _copies(mixed: DataFrame, copies: Column, columns: dict[str, Column]) -> DataFrame:
+    """Each row of a mix as often as ``copies`` says; ``columns`` are made with the copy's number in ``_copy``."""
+    packed = mixed.select(F.struct("*").alias("_row"), F.explode(F.sequence(F.lit(1), copies)).alias("_copy"))
+    return packed.select(*(columns.get(c, F.col("_row")[c]).alias(c) for c in mixed.columns))
+
+
 def repeat(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The rows of a mix, each as often as it is taken; a part of a document is its text up to the last word taken.
 
-    At most one row of a source, that at the edge of its target, is cut.
+    At most one row of a source, that at the edge of its target, is cut.  Rows that nothing is
+    taken from, those with a null or empty text among them, go.
     """
-    left = F.col("taken") - F.col("size") * (F.col("_copy") - 1)
-    spaced = F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    left = F.col("_row.taken") - F.col("_row.size") * (F.col("_copy") - 1)
+    spaced = F.regexp_extract_all(F.col("_row")[text], F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(spaced, F.lit(1), left.cast("int")), "")
-    return (
-        mixed.filter("taken > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
-        .withColumn(text, F.when(left < F.col("size"), cut).otherwise(F.col(text)))
-        .drop("_copy")
-    )
+    part = F.when(left < F.col("_row.size"), cut).otherwise(F.col("_row")[text])
+    return _copies(mixed.filter("taken > 0"), F.ceil(F.col("taken") / F.col("size")), {text: part})
+
+
+def repeat_whole(mixed: DataFrame) -> DataFrame:
+    """``repeat`` with whole rows only: the row at the edge of a target comes once more or not, whichever is nearer."""
+    return _copies(mixed.filter("2 * taken >= size AND taken > 0"), F.floor(F.col("taken") / F.col("size") + 0.5), {})

@@ -52,6 +52,7 @@ def bits(*names: str) -> int:
 POLICIES: Mapping[str, int] = {
     "base-1": bits("few_words", "repeated_words"),
     "full-1": bits(*(r.name for r in RULES)),
+    "short-1": bits(*(r.name for r in RULES if r.name != "few_words")),
 }
 
 
@@ -100,8 +101,10 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     judged one by one: repeated rows and null keys pass through unchanged, an empty
     table gives an empty table.  Input columns named like a result column are replaced.
     """
-    found = docs.withColumn("_measured", text_udf(_measure, f"struct<{_STRUCT}>")(F.col(text)))
-    found = found.withColumns({m: F.col("_measured")[m] for m in MEASURES}).drop("_measured")
+    measured = text_udf(_measure, f"struct<{_STRUCT}>")(F.col(text))
+    found = docs.select(F.struct("*").alias("_row"), measured.alias("_measured"))
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in (*MEASURES, "fail_bits")]
+    found = found.select(*own, "_measured.*")
     failed = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in RULES]
     total = failed[0]
     for one in failed[1:]:
@@ -116,7 +119,10 @@ def passes(policy: str | int, fail_bits: str = "fail_bits") -> Column:
 
 
 def keep(docs: DataFrame, policy: str = "full-1", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass a policy, with their own columns."""
+    """The rows of ``docs`` that pass a policy, with their own columns.
+
+    Rows are judged one by one, whatever their key; null and empty texts fail ``few_words`` only.
+    """
     judged = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     return ledger(judged, "_text").filter(passes(policy)).select("_row.*")
 
@@ -124,7 +130,8 @@ def keep(docs: DataFrame, policy: str = "full-1", text: str = "text") -> DataFra
 def ablations(found: DataFrame) -> DataFrame:
     """Per policy and rule of it: documents rejected, rejected by this rule, and by no other rule.
 
-    One pass: the ledger is first counted by bit pattern (at most 2^rules rows).
+    One pass: the ledger is first counted by bit pattern (at most 2^rules rows).  Repeated rows
+    count each; an empty ledger gives no row.
     """
     cases = [
         F.struct(F.lit(v).alias("policy"), F.lit(r.name).alias("rule"), F.lit(mask).alias("mask"), F.lit(1 << r.bit).alias("bit"))
