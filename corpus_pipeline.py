@@ -10,36 +10,45 @@ from topicloom.llm import bpe, language_id, mixing, near_dup, quality_rules
 from topicloom.llm.catalogue import WORD_BPE
 from topicloom.llm.common import written
 
-#: Documents less like every language than this are no text of a language.
-LEAST_LIKENESS = 0.2
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of the full policy."""
-    return quality_rules.keep(docs, "full-1")
+    """Documents that pass every rule but the one on few words: a short clean text is kept.
+
+    Row by row; null and empty texts pass, as no other rule speaks of them (the next stage drops them).
+    """
+    return quality_rules.keep(docs, "short-1")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus names; a document without a language gets the one found."""
-    named = language_id.identify(docs.select(F.struct("*").alias("_row"), F.col("text").alias("text")), language_id.learn(docs))
-    kept = named.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LIKENESS))
-    filled = F.col("_row").withField("lang", F.coalesce("_row.lang", "lang_pred"))
-    return kept.select(filled.alias("_row")).select("_row.*")
+    """Documents in a language that the corpus names; a document without a language gets the one found.
+
+    A text must be as like its language as the corpus's own documents of its length are.  Null and empty
+    texts, and texts without letters, go; repeated rows and null keys are judged row by row.
+    """
+    profiles = language_id.learn(docs)
+    kept = language_id.in_language(docs, profiles, language_id.least_scores(docs, profiles))
+    return kept.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each group; five-word shingles, similarity 0.8."""
+    """The first row of each group; five-word shingles, similarity 0.8.
+
+    Rows are grouped by their texts, whatever their keys; the row of the smallest key stays, null last.
+    Texts without words are like no other and stay.
+    """
     return near_dup.first_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.repeat(mixing.mix(docs))
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Whole documents as often as the mix takes them, at most three times.
+
+    A null source is a source like another; rows without words are not taken.
+    """
+    return mixing.repeat_whole(mixing.mix(docs)).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, little-endian unsigned 32-bit integers, and the decoded text's hash."""
+    """Token ids of every row, little-endian unsigned 32-bit integers, and the decoded text's hash; a null text counts as empty."""
     path = public_tokenizers.path(WORD_BPE)
     coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
