@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import tree as trees
 from topicloom.operators.counts import Sequences
-from topicloom.operators.tree import SamplePlan, TopicTree, TreeArrays, TreeParams, _Block
+from topicloom.operators.tree import TopicTree, TreeParams
+from topicloom.operators.tree_sampler import DocBlock, SamplePlan, cut_tree
 from topicloom.sources.model_store import load_tree, save_tree
 from topicloom.sources.reports import distribution_lines, write_distribution, write_table, write_tree_report
 
@@ -103,26 +104,87 @@ def test_path_weights_without_broadcast(tree, state, no_broadcast):
         assert r["log_weight"] == pytest.approx(plain_weights(STATE[r["doc_id"]], "path")[r["node_id"]])
 
 
+def sampler_block(tree, mode, own, which=range(4)):
+    """The kernel's state of some documents, longest first."""
+    docs = [STATE[d] for d in which]
+    offsets = np.concatenate([[0], np.cumsum([len(s[1]) for s in docs])])
+    terms = np.array([t for s in docs for t in s[1]], np.int64)
+    levels = np.array([l for s in docs for l in s[2]], np.int64)
+    path = np.array([s[3] for s in docs]) if own else None
+    return DocBlock(replace(PARAMS, path_likelihood=mode), 9, np.array([s[0] for s in docs]), offsets, terms, levels, path)
+
+
+def lines_of(tree):
+    return lambda: trees.ancestors(tree.nodes, 3)
+
+
 @pytest.mark.parametrize("mode", ["path", "node"])
 def test_sampler_weights(tree, mode):
-    """The kernel's weights, for documents outside and inside the tree's counts."""
-    arrays = TreeArrays.collect(tree.nodes)
-    table = np.zeros((9, len(NODES)))
-    for node, term, n in TERMS:
-        table[term, list(arrays.node_ids).index(node)] = n
-    lengths = [len(s[1]) for s in STATE]
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    terms = np.array([t for s in STATE for t in s[1]])
-    levels = np.array([l for s in STATE for l in s[2]])
-    path = arrays.slots_of(np.array([s[3] for s in STATE]))
-    block = _Block(
-        arrays, replace(PARAMS, path_likelihood=mode), 9, np.arange(4), offsets, terms, table[terms], levels, path, False
-    )
-    got = block.log_weights()
+    """The kernel's weights for documents outside the tree's counts."""
+    b = cut_tree(tree, lines_of(tree)).load(0)
+    block = sampler_block(tree, mode, own=False)
+    got = block.log_weights(b)
     for rank, d in enumerate(block.order):
         np.testing.assert_allclose(got[rank], list(plain_weights(STATE[d], mode).values()))
 
 
+@pytest.mark.parametrize("mode", ["path", "node"])
+def test_sampler_weights_without_own_counts(spark, state, mode):
+    """In training a document weighs the tree of all others."""
+    def tables(rows):
+        df = spark.createDataFrame(rows, SCHEMA)
+        nodes, terms = trees.tree_tables(df)
+        return TopicTree(nodes, terms, 9, replace(PARAMS, path_likelihood=mode))
+
+    extra = [(9, [0, 2, 5], [0, 1, 2], [0, 1, 3]), (10, [0, 4, 7, 7], [0, 1, 2, 2], [0, 2, 5]), (11, [1, 4], [0, 2], [0, 1, 4])]
+    whole = tables([*STATE, *extra])
+    b = cut_tree(whole, lines_of(whole)).load(0)
+    block = sampler_block(whole, mode, own=True)
+    got = block.log_weights(b)
+    for rank, d in enumerate(block.order):
+        rest = tables([s for s in STATE if s[0] != d] + extra)
+        other = cut_tree(rest, lines_of(rest)).load(0)
+        alone = sampler_block(rest, mode, own=False, which=[d])
+        want = dict(zip(other.node_ids, alone.log_weights(other)[0]))
+        for node, weight in zip(b.node_ids, got[rank]):
+            if node in want:
+                assert weight == pytest.approx(want[node])
+            else:
+                assert weight == -math.inf
+
+
+def test_draws_follow_the_weights(tree):
+    """Gumbel draws against leaf probabilities, over many steps."""
+    b = cut_tree(tree, lines_of(tree)).load(0)
+    block = sampler_block(tree, "path", own=False)
+    leaves = np.flatnonzero(b.level == 2)
+    weights = block.leaf_weights(b, block.log_weights(b), leaves)
+    p = np.exp(weights - np.logaddexp.reduce(weights, axis=1)[:, None])
+    # A node's weight goes to its leaves by their customers.
+    seats = {n[0]: n[3] for n in NODES}
+    for rank, d in enumerate(block.order):
+        plain = plain_weights(STATE[d], "path")
+        e = {n: math.exp(w) for n, w in plain.items()}
+        own = {u: e[u] + e[up] * seats[u] / (6 if up == 1 else 4) + e[0] * (seats[up] / 10) * seats[u] / (6 if up == 1 else 4) for u, up in ((3, 1), (4, 1), (5, 2), (6, 2))}
+        np.testing.assert_allclose(p[rank], np.array(list(own.values())) / sum(own.values()))
+    n, hits = 3000, np.zeros_like(p)
+    for step in range(n):
+        block.reset()
+        block.choose(b, step, False, len(NODES))
+        hits[np.arange(4), block.path[:, 2] - 3] += 1
+    assert np.abs(hits / n - p).max() < 4 * 0.5 / math.sqrt(n)
+    params = [block.log_weights(b), np.zeros_like(b.node_ids, dtype=float)]
+    q = np.exp(params[0] - np.logaddexp.reduce(params[0], axis=1)[:, None])
+    found = np.zeros_like(q)
+    for step in range(n):
+        block.reset()
+        block.choose(b, step, True, len(NODES))
+        code = block.path
+        node = np.where(code[:, 1] >= len(NODES), 0, np.where(code[:, 2] >= len(NODES), code[:, 1], code[:, 2]))
+        found[np.arange(4), node] += 1
+    assert np.abs(found / n - q).max() < 4 * 0.5 / math.sqrt(n)
+
+
 def test_new_topic_loglik(state):
     rows = trees.level_new_topic_loglik(trees.doc_level_counts(state), 9, 0.5).collect()
     for r in rows:
@@ -178,6 +240,28 @@ def test_inference_leaves_the_tree_alone(tree, spark):
     assert run_infer(tree, docs, iterations=5)[3] == alone[3]
 
 
+@pytest.mark.parametrize("mode", ["path", "node"])
+def test_blocks_of_any_size_give_the_same_labels(tree, planted, spark, mode):
+    """One block a leaf against one block in all: scoring and training, whole rows."""
+    docs = spark.createDataFrame([(i, [(i * j) % 9 for j in range(i % 7)]) for i in range(15)], "doc_id long, term_ids array<int>")
+    given = TopicTree(tree.nodes, tree.terms, 9, replace(PARAMS, path_likelihood=mode))
+    params = replace(PARAMS, start_branches=2, checkpoint_every=2, path_likelihood=mode)
+    one = run_infer(given, docs, iterations=4, thinning=2), trees.fit_tree(planted, params, 2)[1].collect()
+    spark.conf.set("spark.topicloom.maxBroadcastBytes", "0")
+    try:
+        assert cut_tree(given, lines_of(given)).n_blocks == 4
+        many = run_infer(given, docs, iterations=4, thinning=2), trees.fit_tree(planted, params, 2)[1].collect()
+    finally:
+        spark.conf.unset("spark.topicloom.maxBroadcastBytes")
+    assert len(many[0]) == 15
+    for doc, row in one[0].items():
+        other = many[0][doc]
+        assert (row["levels"], row["path"], row["nodes"]) == (other["levels"], other["path"], other["nodes"])
+        assert row["shares"] == pytest.approx(other["shares"])
+    key = lambda r: r["doc_id"]
+    assert sorted(one[1], key=key) == sorted(many[1], key=key)
+
+
 def test_kept_samples():
     assert [i for i in range(1, 11) if SamplePlan(10, 2, 4).keeps(i)] == [6, 8, 10]
     assert [i for i in range(1, 11) if SamplePlan(10).keeps(i)] == [10]

@@ -4,28 +4,24 @@ A tree is two tables, ``nodes(node_id, parent_id, level, customers, total_tokens
 and ``terms(node_id, term_id, n)``; the root is at level 0 and all leaves are at the
 last level.  A document sits on one root-to-leaf path and each of its tokens on a
 level of that path.  Priors, likelihoods and reports are joins and aggregates; the
-per-document sampler runs in ``mapInArrow`` and serves scoring (the tree stays as it
-is) and training (each document first takes its own counts out).
+per-document sampler (``tree_sampler``) runs in ``mapInArrow`` and serves scoring (the
+tree stays as it is) and training (each document first takes its own counts out).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.functions.draws import hash_uniform, np_uniform
-from topicloom.functions.numeric import lgamma, np_lgamma
-from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, to_ragged, to_rows
+from topicloom.functions.draws import hash_uniform
+from topicloom.functions.numeric import lgamma
 from topicloom.operators.counts import Sequences
-from topicloom.operators.gibbs import by_position, longest_first
 from topicloom.operators.tokens import unnest
-from topicloom.session import RollingTables, cut_lineage, fits_broadcast, hold, lookup_join, with_row_index
+from topicloom.operators.tree_sampler import SamplePlan, cut_tree, sample
+from topicloom.session import RollingTables, cut_lineage, hold, lookup_join, with_row_index
 
 NODE_ROW_BYTES = 64
 #: Nodes that a document row is paired with at a time where the node table is joined.
@@ -313,276 +309,6 @@ def tree_report(tree: TopicTree, vocab: DataFrame, n_words: int = 25) -> DataFra
 # ----------------------------------------------------------------- the sampler
 
 
-@dataclass(frozen=True)
-class TreeArrays:
-    """Node arrays for the kernel, by slot; slots are ordered by level."""
-
-    node_ids: np.ndarray
-    parent: np.ndarray
-    level: np.ndarray
-    customers: np.ndarray
-    totals: np.ndarray
-
-    @classmethod
-    def collect(cls, nodes: DataFrame) -> "TreeArrays":
-        """The node table alone, a few numbers per node, without any term counts."""
-        rows = sorted(nodes.collect(), key=lambda r: (r["level"], r["node_id"]))
-        slot = {r["node_id"]: i for i, r in enumerate(rows)}
-        return cls(
-            np.array([r["node_id"] for r in rows], dtype=np.int64),
-            np.array([slot.get(r["parent_id"], -1) for r in rows], dtype=np.int64),
-            np.array([r["level"] for r in rows], dtype=np.int64),
-            np.array([r["customers"] for r in rows], dtype=np.float64),
-            np.array([r["total_tokens"] for r in rows], dtype=np.float64),
-        )
-
-    @cached_property
-    def lines(self) -> np.ndarray:
-        """Slots x levels: each node's path from the root, -1 below the node."""
-        out = np.full((len(self.level), self.level.max(initial=0) + 1), -1, dtype=np.int64)
-        for level in range(out.shape[1]):
-            nodes = np.flatnonzero(self.level == level)
-            if level:
-                out[nodes] = out[self.parent[nodes]]
-            out[nodes, level] = nodes
-        return out
-
-    @cached_property
-    def _by_parent(self) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(self.parent, kind="stable")
-        return order, np.searchsorted(self.parent[order], np.arange(len(order) + 1))
-
-    def below(self, slot: int) -> np.ndarray:
-        """Slots of a node's children."""
-        order, starts = self._by_parent
-        return order[starts[slot] : starts[slot + 1]]
-
-    def slots_of(self, node_ids: np.ndarray) -> np.ndarray:
-        order = np.argsort(self.node_ids)
-        return order[np.searchsorted(self.node_ids[order], node_ids)]
-
-
-class _Block:
-    """Sampler state of a block of documents, longest first."""
-
-    def __init__(self, arrays: TreeArrays, p: TreeParams, n_terms, doc_ids, offsets, terms, vectors, levels, path, own_in_tree):
-        self.a, self.p, self.v_eta = arrays, p, n_terms * p.eta
-        self.order, self.doc_of = longest_first(offsets)
-        self.offsets = offsets
-        self.n, self.n_levels = len(doc_ids), p.n_levels
-        key, first, self.row_of = np.unique(
-            self.doc_of * np.int64(n_terms) + terms, return_index=True, return_inverse=True
-        )
-        self.row_doc = key // n_terms
-        self.base = vectors[first].copy()
-        self.levels = levels.copy()
-        self.path = path[self.order].copy()
-        self.ids = doc_ids[self.order]
-        self.token_ids = self.ids[self.doc_of]
-        self.pos = np.arange(len(terms)) - offsets[:-1][self.order][self.doc_of]
-        self.own = np.zeros((len(key), p.n_levels))
-        np.add.at(self.own, (self.row_of, self.levels), 1.0)
-        self.by_level = np.zeros((self.n, p.n_levels))
-        np.add.at(self.by_level, (self.doc_of, self.levels), 1.0)
-        self.customers = np.tile(arrays.customers, (self.n, 1))
-        self.totals = np.tile(arrays.totals, (self.n, 1))
-        if own_in_tree:
-            docs = np.arange(self.n)
-            for level in range(p.n_levels):
-                at = self.path[:, level]
-                self.base[np.arange(len(key)), at[self.row_doc]] -= self.own[:, level]
-                self.totals[docs, at] -= self.by_level[:, level]
-                self.customers[docs, at] -= 1.0
-
-    def log_weights(self) -> np.ndarray:
-        """Documents x nodes: prior plus word likelihood."""
-        p, a = self.p, self.a
-        eta, last = p.eta, self.n_levels - 1
-        prior = np.zeros((self.n, len(a.level)))
-        words = np.zeros_like(prior)
-        new = np.zeros((self.n, self.n_levels))
-        with np.errstate(divide="ignore"):
-            for level in range(self.n_levels):
-                nodes = np.flatnonzero(a.level == level)
-                up = a.parent[nodes]
-                if level:
-                    prior[:, nodes] = prior[:, up] + np.log(
-                        self.customers[:, nodes] / (self.customers[:, up] + p.gamma)
-                    )
-                rows = np.flatnonzero(self.own[:, level])
-                count = self.own[rows, level]
-                part = np_lgamma(self.base[np.ix_(rows, nodes)] + (eta + count)[:, None])
-                part -= np_lgamma(self.base[np.ix_(rows, nodes)] + eta)
-                own = np.zeros((self.n, len(nodes)))
-                fresh = np.zeros(self.n)
-                if len(rows):
-                    docs, first = np.unique(self.row_doc[rows], return_index=True)
-                    own[docs] = np.add.reduceat(part, first, axis=0)
-                    fresh[docs] = np.add.reduceat(np_lgamma(eta + count) - np_lgamma(np.array([eta])), first)
-                size = self.by_level[:, level][:, None]
-                total = self.totals[:, nodes] + self.v_eta
-                own -= np_lgamma(total + size) - np_lgamma(total)
-                if level:
-                    v = np.array([self.v_eta])
-                    new[:, level] = fresh - (np_lgamma(self.v_eta + size[:, 0]) - np_lgamma(v))
-                if level and p.path_likelihood == "path":
-                    own += words[:, up]
-                words[:, nodes] = own
-            below = np.cumsum(new[:, ::-1], axis=1)[:, ::-1]
-            tail = np.hstack([below[:, 1:], np.zeros((self.n, 1))])
-            branch = np.log(p.gamma / (self.customers + p.gamma))
-        if p.path_likelihood == "path":
-            branch[:, a.level == last] = 0.0
-        return prior + branch + words + tail[:, a.level]
-
-    def sample_path(self, stage: int, grow: bool) -> None:
-        a, n_nodes = self.a, len(self.a.level)
-        w = self.log_weights()
-        w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-        u = np_uniform(self.p.seed, stage, self.ids, np.full(self.n, -1))
-        node = (w < (u * w[:, -1])[:, None]).sum(axis=1)
-        path = a.lines[node]
-        for level in range(1, self.n_levels):
-            docs = np.flatnonzero(path[:, level] < 0)
-            if grow:
-                path[docs, level] = (level - a.level[node[docs]]) * n_nodes + node[docs]
-                continue
-            draw = np_uniform(self.p.seed, stage, self.ids[docs], np.full(len(docs), -2 - level))
-            up = path[docs, level - 1]
-            for parent in np.unique(up):
-                rows = np.flatnonzero(up == parent)
-                below = a.below(parent)
-                seats = self.customers[np.ix_(docs[rows], below)].cumsum(axis=1)
-                pick = (seats < (draw[rows] * seats[:, -1])[:, None]).sum(axis=1)
-                path[docs[rows], level] = below[np.minimum(pick, len(below) - 1)]
-        self.path = path
-
-    def sample_levels(self, stage: int) -> None:
-        p, n_nodes = self.p, len(self.a.level)
-        known = np.minimum(self.path, n_nodes - 1)
-        new = self.path >= n_nodes
-        seen = self.base[np.arange(len(self.base))[:, None], known[self.row_doc]]
-        seen[new[self.row_doc]] = 0.0
-        total = np.take_along_axis(self.totals, known, axis=1)
-        total[new] = 0.0
-        words = (seen + self.own + p.eta).copy()
-        share = self.by_level + p.alpha
-        size = total + self.by_level + self.v_eta
-        flat = [words.ravel(), share.ravel(), size.ravel()]
-        base = np.arange(self.n) * self.n_levels
-        u = np_uniform(p.seed, stage, self.token_ids, self.pos)
-        for n, at in by_position(self.offsets, self.order):
-            rows = self.row_of[at]
-            old = self.levels[at]
-            cell, word = base[:n] + old, rows * self.n_levels + old
-            flat[0][word] -= 1.0
-            flat[1][cell] -= 1.0
-            flat[2][cell] -= 1.0
-            running = (share[:n] * words[rows] / size[:n]).cumsum(axis=1)
-            fresh = (running < (u[at] * running[:, -1])[:, None]).sum(axis=1)
-            cell, word = base[:n] + fresh, rows * self.n_levels + fresh
-            flat[0][word] += 1.0
-            flat[1][cell] += 1.0
-            flat[2][cell] += 1.0
-            self.levels[at] = fresh
-        self.own = words - seen - p.eta
-        self.by_level = share - p.alpha
-        np.rint(self.own, out=self.own)
-        np.rint(self.by_level, out=self.by_level)
-
-    def shares(self) -> np.ndarray:
-        share = self.p.alpha + self.by_level
-        return share / share.sum(axis=1, keepdims=True)
-
-
-SAMPLE_SCHEMA = (
-    "doc_id long, term_ids array<int>, levels array<int>, path array<int>, nodes array<int>, shares array<double>"
-)
-
-
-def _sample_batches(arrays: TreeArrays, columns: TermColumns, p: TreeParams, n_terms: int, plan: "SamplePlan"):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, terms = ragged(batch.column("term_ids"))
-            _, levels = ragged(batch.column("levels"))
-            _, path = ragged(batch.column("path"))
-            doc_ids = batch.column("doc_id").to_numpy()
-            path = arrays.slots_of(path.reshape(-1, p.n_levels))
-            vectors = columns.of(batch, terms)
-            for a, b in spans(offsets, columns.width + 8):
-                lo, hi = offsets[a], offsets[b]
-                part = offsets[a : b + 1] - lo
-                block = _Block(
-                    arrays, p, n_terms, doc_ids[a:b], part, terms[lo:hi], vectors(lo, hi),
-                    levels[lo:hi], path[a:b], plan.train,
-                )
-                mean, kept = np.zeros((b - a, len(arrays.level))), 0
-                docs = np.arange(b - a)
-                for i in range(1, plan.iterations + 1):
-                    block.sample_path(2 * (plan.first + i), plan.train)
-                    block.sample_levels(2 * (plan.first + i) + 1)
-                    if not plan.train and plan.keeps(i):
-                        kept += 1
-                        for level in range(p.n_levels):
-                            mean[docs, block.path[:, level]] += block.shares()[:, level]
-                if not kept and not plan.train:
-                    kept = 1
-                    for level in range(p.n_levels):
-                        mean[docs, block.path[:, level]] += block.shares()[:, level]
-                back = np.empty(b - a, dtype=np.int64)
-                back[block.order] = docs
-                mean = mean[back]
-                doc, slot = np.nonzero(mean)
-                cuts = np.searchsorted(doc, np.arange(b - a + 1))
-                labels = block.path[back]
-                if not plan.train:
-                    labels = arrays.node_ids[labels]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids[a:b], pa.int64()),
-                        to_ragged(part, terms[lo:hi], pa.int32()),
-                        to_ragged(part, block.levels, pa.int32()),
-                        to_rows(labels, pa.int32()),
-                        to_ragged(cuts, arrays.node_ids[slot], pa.int32()),
-                        to_ragged(cuts, mean[doc, slot] / max(kept, 1), pa.float64()),
-                    ],
-                    names=["doc_id", "term_ids", "levels", "path", "nodes", "shares"],
-                )
-
-    return run
-
-
-@dataclass(frozen=True)
-class SamplePlan:
-    """Sweeps of one call.  ``thinning=0`` keeps the last sample only; otherwise every
-    ``thinning``-th sample after ``burn_in`` is averaged."""
-
-    iterations: int
-    thinning: int = 0
-    burn_in: int = 0
-    train: bool = False
-    first: int = 0
-
-    def keeps(self, i: int) -> bool:
-        if not self.thinning:
-            return i == self.iterations
-        return i > self.burn_in and (i - self.burn_in) % self.thinning == 0
-
-
-def _node_slots(tree: TopicTree) -> tuple[TreeArrays, TermVectors]:
-    """Node arrays and term counts for the sampler, after a check of the node table's size."""
-    n_nodes = tree.nodes.count()
-    if not fits_broadcast(tree.nodes.sparkSession, NODE_ROW_BYTES * n_nodes):
-        raise ValueError(f"{n_nodes} nodes exceed the broadcast limit; use path_weights, which joins instead")
-    arrays = TreeArrays.collect(tree.nodes)
-    spark = tree.nodes.sparkSession
-    slots = spark.createDataFrame(
-        [(int(n), i) for i, n in enumerate(arrays.node_ids)], "node_id int, slot int"
-    )
-    cells = tree.terms.join(F.broadcast(slots), "node_id").select("term_id", "slot", "n")
-    return arrays, TermVectors.of_cells(cells, "slot", "n", tree.n_terms, len(arrays.level))
-
-
 def infer(tree: TopicTree, seqs: Sequences, iterations: int = 300, thinning: int = 0, burn_in: int = 0) -> DataFrame:
     """Place unseen documents in the tree, which stays unchanged.
 
@@ -591,17 +317,13 @@ def infer(tree: TopicTree, seqs: Sequences, iterations: int = 300, thinning: int
     """
     if seqs.n_terms != tree.n_terms:
         raise ValueError(f"vocabulary size {seqs.n_terms} does not match the tree's {tree.n_terms}")
-    arrays, vectors = _node_slots(tree)
     p = tree.params
     # The first step draws a path from the levels alone, so any start will do.
-    root = int(arrays.node_ids[0])
     start = random_levels(seqs.df.select("doc_id", "term_ids"), p.n_levels, p.seed).withColumn(
-        "path", F.array_repeat(F.lit(root), p.n_levels)
-    )
-    plan = SamplePlan(iterations, thinning, burn_in)
-    rows = vectors.attach(start, "term_ids").mapInArrow(
-        _sample_batches(arrays, vectors.columns, p, tree.n_terms, plan), SAMPLE_SCHEMA
+        "path", F.array_repeat(F.lit(0), p.n_levels)
     )
+    blocks = cut_tree(tree, lambda: ancestors(tree.nodes, p.n_levels))
+    rows = sample(tree, start, SamplePlan(iterations, thinning, burn_in), blocks)
     return rows.select(
         "doc_id", F.get("path", F.lit(p.n_levels - 1)).alias("leaf_id"), "levels", "path", "nodes", "shares"
     )
@@ -655,17 +377,15 @@ def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTre
     held = state
     for sweep in range(sweeps):
         nodes, terms = tree_tables(state)
-        tree = TopicTree(hold(nodes), terms, seqs.n_terms, params)
-        arrays, vectors = _node_slots(tree)
-        plan = SamplePlan(1, train=True, first=sweep)
-        raw = vectors.attach(state, "term_ids").mapInArrow(
-            _sample_batches(arrays, vectors.columns, params, seqs.n_terms, plan), SAMPLE_SCHEMA
-        ).select("doc_id", "term_ids", "levels", "path")
+        tree = TopicTree(hold(nodes), hold(terms), seqs.n_terms, params)
+        blocks = cut_tree(tree, lambda tree=tree: ancestors(tree.nodes, params.n_levels))
+        raw = sample(tree, state, SamplePlan(1, train=True, first=sweep), blocks).select("doc_id", "term_ids", "levels", "path")
         raw = states.add(raw) if (sweep + 1) % params.checkpoint_every == 0 else hold(raw)
         fresh = _renumbered(raw, params.n_levels)
         tree.nodes.unpersist()
+        tree.terms.unpersist()
+        blocks.release()
         held.unpersist()
-        vectors.release()
         state, held = fresh, raw
     state = cut_lineage(state)
     nodes, terms = tree_tables(state)
