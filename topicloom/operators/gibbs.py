@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.draws import driver_generator, hash_uniform, np_uniform, quick_uniform
-from topicloom.functions.numeric import digamma
+from topicloom.functions.numeric import digamma, lgamma
 from topicloom.operators.arrow import TermColumns, TermVectors, pack_cells, ragged, spans, to_ragged, to_rows
 from topicloom.operators.counts import Sequences
 from topicloom.operators.tokens import unnest, with_runs
@@ -388,6 +388,56 @@ def _sweep_batches(setting: SweepSetting, columns: TermColumns):
     return run
 
 
+# -------------------------------------------------------------- log likelihood
+
+
+def rising(start: Column, count: Column) -> Column:
+    """ln of start (start + 1) ... (start + count - 1); 0 for no factor."""
+    return F.when(count > 0, lgamma(start + count.cast("double")) - lgamma(start)).otherwise(F.lit(0.0))
+
+
+def length_counts(state: DataFrame) -> DataFrame:
+    """(n, docs): how many documents have n tokens."""
+    return state.groupBy(F.size("z").alias("n")).agg(F.count("*").alias("docs"))
+
+
+def lengths_norm(lengths: DataFrame, alpha: float) -> float:
+    """Sum over documents of ln alpha (alpha + 1) ... to their lengths; ``lengths(n, docs)``."""
+    return lengths.agg(F.sum(F.col("docs") * rising(F.lit(float(alpha)), F.col("n")))).first()[0] or 0.0
+
+
+def word_log_lik(topic_terms: DataFrame, totals: Sequence[float], n_terms: int, beta: float) -> float:
+    """ln p(words | labels), topics summed out."""
+    cells = topic_terms.agg(F.sum(rising(F.lit(beta), F.col("n")))).first()[0] or 0.0
+    v_beta = n_terms * beta
+    return cells - sum(math.lgamma(n + v_beta) - math.lgamma(v_beta) for n in totals)
+
+
+def joint_log_lik(state: DataFrame, weights: Sequence[float], rest: float, n_terms: int, beta: float) -> float:
+    """ln p(words, labels) of a labelled state; ``weights`` has alpha x tau per topic, ``rest`` what is left for new topics."""
+    table = F.array(*[F.lit(float(w)) for w in weights])
+    labels = doc_topic_counts_in_row(state).agg(F.sum(rising(F.get(table, F.col("topic_id")), F.col("n")))).first()[0]
+    topic_terms = topic_term_counts(state)
+    totals = [float(r["n"]) for r in topic_counts(topic_terms).collect()]
+    norm = lengths_norm(length_counts(state), sum(weights) + rest)
+    return (labels or 0.0) - norm + word_log_lik(topic_terms, totals, n_terms, beta)
+
+
+@dataclass(frozen=True)
+class StopRule:
+    """Level: the mean of the last ``window`` values is no more than ``tol`` of its size above the mean of the window before."""
+
+    window: int = 10
+    tol: float = 1e-3
+
+    def done(self, values: Sequence[float]) -> bool:
+        w = self.window
+        if len(values) < 2 * w:
+            return False
+        old, new = sum(values[-2 * w : -w]) / w, sum(values[-w:]) / w
+        return new - old <= self.tol * abs(new)
+
+
 # ------------------------------------------------------------------- the model
 
 
@@ -403,7 +453,8 @@ class GibbsModel:
     totals: list[float] = field(default_factory=list)
     topic_terms: DataFrame | None = None
     sweeps_done: int = 0
-    trace: list[tuple[int, int, int, float]] = field(default_factory=list)
+    trace: list[tuple[int, int, int, float, float]] = field(default_factory=list)
+    _lengths: DataFrame | None = None
     _held: DataFrame | None = None
     _tables: RollingTables = field(default_factory=lambda: RollingTables("labels"))
 
@@ -421,19 +472,19 @@ class GibbsModel:
         start = model._tables.add(random_topics(seqs.df.select("doc_id", "term_ids"), k, params.seed))
         model.tau, model.tau_new = [1.0 / k] * k, (0.0 if params.fixed_k else 1.0 / k)
         doc_topics = doc_topic_counts_in_row(start)
-        totals = doc_topics.groupBy("topic_id").agg(F.sum("n").alias("n"))
-        rows = {r["topic_id"]: (r["n"], 0, None) for r in totals.collect()}
+        weight = F.lit(params.alpha / k)
+        totals = doc_topics.groupBy("topic_id").agg(F.sum("n").alias("n"), F.sum(rising(weight, F.col("n"))).alias("l"))
+        rows = {r["topic_id"]: (r["n"], 0, None, r["l"]) for r in totals.collect()}
         if not params.fixed_k:
-            weight = F.lit(params.alpha / k)
             drawn = table_counts(doc_topics, weight, params.seed, "tables-0", quick_uniform).collect()
-            rows = {r["topic_id"]: (rows[r["topic_id"]][0], r["tables"], None) for r in drawn}
+            rows = {r["topic_id"]: (rows[r["topic_id"]][0], r["tables"], None, rows[r["topic_id"]][3]) for r in drawn}
         model._adopt(hold(start), rows)
         return model
 
     def _adopt(self, raw: DataFrame, rows: dict[int, tuple]) -> None:
         """Take over new labels: dense ids, topic totals and topic weights.
 
-        ``rows`` holds tokens, tables and mean stick weight per label in use.
+        ``rows`` holds tokens, tables, mean stick weight and the labels' part of the log likelihood per label in use.
         """
         p, old_k = self.params, len(self.tau)
         keep = list(range(old_k)) if p.fixed_k else sorted(rows)
@@ -443,14 +494,22 @@ class GibbsModel:
         self.state = raw.select("doc_id", "term_ids", "z")
         if mapping != list(range(len(mapping))):
             self.state = apply_labels(self.state, mapping)
-        self.topic_terms = topic_term_counts(self.state)
+        if self.topic_terms is not None:
+            self.topic_terms.unpersist()
+        self.topic_terms = hold(topic_term_counts(self.state))
+        alpha = p.alpha * (sum(self.tau) + self.tau_new)
         self.tau = [self.tau[k] if k < old_k else rows[k][2] for k in keep]
         self.totals = [float(rows[k][0]) if k in rows else 0.0 for k in keep]
         tables = [float(rows[k][1]) if k in rows else 0.0 for k in keep]
         if not p.fixed_k:
             draw = driver_generator(p.seed, 1, self.sweeps_done).dirichlet([*tables, p.gamma])
             self.tau, self.tau_new = [float(t) for t in draw[:-1]], float(draw[-1])
-        self.trace.append((self.sweeps_done, self.n_topics, int(sum(self.totals)), sum(tables)))
+        if self._lengths is None:
+            # How many documents have how many tokens: all that the likelihood needs of lengths, whatever alpha is.
+            self._lengths = hold(length_counts(self.state))
+        labels = sum(r[3] or 0.0 for r in rows.values()) - lengths_norm(self._lengths, alpha)
+        log_lik = labels + word_log_lik(self.topic_terms, self.totals, self.n_terms, p.beta)
+        self.trace.append((self.sweeps_done, self.n_topics, int(sum(self.totals)), sum(tables), log_lik))
         self._held = raw
 
     def sweep(self) -> None:
@@ -468,6 +527,9 @@ class GibbsModel:
             _sweep_batches(setting, vectors.columns), SWEEP_SCHEMA
         )
         raw = self._tables.add(raw) if self.sweeps_done % p.checkpoint_every == 0 else hold(raw)
+        # Weight of a label in its document: alpha times its topic's weight, or its share of the new topics' mass.
+        known = F.array(*[F.lit(p.alpha * t) for t in self.tau]).cast("array<double>")
+        weight = F.when(F.col("k") < k, F.get(known, F.col("k"))).otherwise(F.lit(p.alpha) * F.get("fresh", F.col("k") - k))
         per_topic = (
             unnest(raw, ["fresh"], F.arrays_zip("counts", "tables"), "e", "k")
             .filter(F.col("e.counts") > 0)
@@ -476,9 +538,10 @@ class GibbsModel:
                 F.sum("e.counts").alias("n"),
                 F.sum("e.tables").alias("t"),
                 F.avg(F.when(F.col("k") >= k, F.get("fresh", F.col("k") - k))).alias("w"),
+                F.sum(rising(weight, F.col("e.counts"))).alias("l"),
             )
         )
-        self._adopt(raw, {r["k"]: (r["n"], r["t"], r["w"]) for r in per_topic.collect()})
+        self._adopt(raw, {r["k"]: (r["n"], r["t"], r["w"], r["l"]) for r in per_topic.collect()})
         if previous is not None:
             previous.unpersist()
         vectors.release()
@@ -490,6 +553,21 @@ class GibbsModel:
             self.sweep()
         return self
 
+    def fit(self, max_sweeps: int = 2000, rule: "StopRule | None" = None) -> "GibbsModel":
+        """Sweep until the rule finds the log likelihood level, ``max_sweeps`` times at most."""
+        rule = rule or StopRule()
+        for _ in range(max_sweeps):
+            self.sweep()
+            if rule.done([t[4] for t in self.trace[1:]]):
+                break
+        return self
+
+    def release(self) -> None:
+        """Let go of what the model holds; its tables can be computed again from the last written state."""
+        for df in (self._held, self.topic_terms, self._lengths):
+            if df is not None:
+                df.unpersist()
+
     def _refresh_hyper(self) -> None:
         """Resample gamma and alpha, then one MAP step for beta."""
         p, rng = self.params, driver_generator(self.params.seed, 2, self.sweeps_done)
@@ -540,9 +618,12 @@ class GibbsModel:
         )
 
     def trace_table(self) -> DataFrame:
-        """(sweep, n_topics, n_tokens, n_tables): one row per sweep."""
+        """(sweep, n_topics, n_tokens, n_tables, log_lik): one row per sweep, the start first.
+
+        ``log_lik`` is that of words and labels after the sweep, topics summed out, under the topic weights the sweep used.
+        """
         return self.state.sparkSession.createDataFrame(
-            self.trace, "sweep int, n_topics int, n_tokens long, n_tables double"
+            self.trace, "sweep int, n_topics int, n_tokens long, n_tables double, log_lik double"
         )
 
     def scorer(self, prior: str = "symmetric") -> "Scorer":

@@ -10,6 +10,7 @@ tree stays as it is) and training (each document first takes its own counts out)
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.draws import hash_uniform
 from topicloom.functions.numeric import lgamma
 from topicloom.operators.counts import Sequences
+from topicloom.operators.gibbs import StopRule, rising
 from topicloom.operators.tokens import unnest
 from topicloom.operators.tree_sampler import SamplePlan, cut_tree, sample
 from topicloom.session import RollingTables, cut_lineage, hold, lookup_join, with_row_index
@@ -365,19 +367,58 @@ def _renumbered(state: DataFrame, n_levels: int) -> DataFrame:
     return state.select("doc_id", "term_ids", "levels", path.alias("path"))
 
 
+def joint_log_lik(tree: TopicTree, state: DataFrame) -> float:
+    """ln p(words, levels, paths) of a labelled state, the nodes' word shares summed out.
+
+    Words by node, levels by document, and the seating of documents at each inner node.
+    """
+    p = tree.params
+    words = tree.terms.agg(F.sum(rising(F.lit(p.eta), F.col("n")))).first()[0] or 0.0
+    seats = F.col("customers").cast("double")
+    seated = F.when(F.col("level") > 0, F.lit(math.log(p.gamma)) + lgamma(seats)).otherwise(F.lit(0.0))
+    split = F.when(F.col("level") < p.n_levels - 1, rising(F.lit(p.gamma), seats)).otherwise(F.lit(0.0))
+    by_node = tree.nodes.agg(F.sum(seated - split - rising(F.lit(p.eta * tree.n_terms), F.col("total_tokens")))).first()[0] or 0.0
+    counts = F.transform(F.sequence(F.lit(0), F.lit(p.n_levels - 1)), lambda level: F.size(F.filter("levels", lambda x: x == level)))
+    own = F.aggregate(counts, F.lit(0.0), lambda total, n: total + rising(F.lit(p.alpha), n))
+    by_doc = state.agg(F.sum(own - rising(F.lit(p.alpha * p.n_levels), F.size("levels")))).first()[0] or 0.0
+    return words + by_node + by_doc
+
+
+@dataclass(frozen=True)
+class TreeFit:
+    """``state(doc_id, term_ids, levels, path)`` after the sweeps, and the log likelihood before each of them."""
+
+    tree: TopicTree
+    state: DataFrame
+    trace: list[float]
+
+
 def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTree, DataFrame]:
-    """Train a tree by snapshot sweeps; returns it with ``state(doc_id, term_ids, levels, path)``.
+    """``train_tree`` for a fixed number of sweeps, without looking at the likelihood."""
+    fit = train_tree(seqs, params, sweeps, None)
+    return fit.tree, fit.state
+
+
+def train_tree(seqs: Sequences, params: TreeParams, max_sweeps: int = 3000, rule: StopRule | None = StopRule()) -> TreeFit:
+    """Train a tree by snapshot sweeps until the rule finds the log likelihood level.
 
     In a sweep each document is resampled against the tree of the sweep's start without
     its own counts.  Documents that branch off below the same node in the same sweep
     share the new child.
     """
+    trace: list[float] = []
     states = RollingTables("tree-state")
     state = states.add(start_state(seqs, params))
     held = state
-    for sweep in range(sweeps):
+    for sweep in range(max_sweeps):
         nodes, terms = tree_tables(state)
         tree = TopicTree(hold(nodes), hold(terms), seqs.n_terms, params)
+        if rule is not None:
+            trace.append(joint_log_lik(tree, state))
+            if rule.done(trace[1:]):
+                tree.nodes.unpersist()
+                tree.terms.unpersist()
+                break
         blocks = cut_tree(tree, lambda tree=tree: ancestors(tree.nodes, params.n_levels))
         raw = sample(tree, state, SamplePlan(1, train=True, first=sweep), blocks).select("doc_id", "term_ids", "levels", "path")
         raw = states.add(raw) if (sweep + 1) % params.checkpoint_every == 0 else hold(raw)
@@ -388,5 +429,6 @@ def fit_tree(seqs: Sequences, params: TreeParams, sweeps: int) -> tuple[TopicTre
         held.unpersist()
         state, held = fresh, raw
     state = cut_lineage(state)
+    held.unpersist()
     nodes, terms = tree_tables(state)
-    return TopicTree(cut_lineage(nodes), cut_lineage(terms), seqs.n_terms, params), state
+    return TreeFit(TopicTree(cut_lineage(nodes), cut_lineage(terms), seqs.n_terms, params), state, trace)

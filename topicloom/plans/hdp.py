@@ -5,6 +5,8 @@ Operators around the sampler are checked on the random labels a fit starts from.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from topicloom.operators import gibbs
@@ -15,12 +17,15 @@ from topicloom.operators.tokens import LETTERS_PUNCT
 from topicloom.operators.validation import cross_validate
 from topicloom.operators.vocabulary import build_vocabulary
 from topicloom.plans import sql, text
-from topicloom.session import hold
+from topicloom.session import fresh_path, hold
+from topicloom.sources.model_store import load_gibbs, save_gibbs
 
 PARAMS = HdpParams(alpha=1.0, beta=0.1, gamma=1.0, n_topics=10, seed=3)
 K = PARAMS.n_topics
 N_TOP = 6
+#: Sweeps of the queries that check what no sweep may change; the fits themselves sweep until the likelihood is level.
 SWEEPS = 5
+FIXED = HdpParams(alpha=1.0, beta=0.1, gamma=0.0, n_topics=K, seed=3)
 
 
 def corpus(spark, sf_dir):
@@ -87,6 +92,14 @@ def hdp_top_words(spark, sf_dir):
     return gibbs.top_words(gibbs.topic_term_counts(state), vocab.df, N_TOP)
 
 
+def hdp_stored_top_words(spark, sf_dir):
+    """``hdp_top_words`` of a model that was saved and loaded again."""
+    seqs, vocab, _ = corpus(spark, sf_dir)
+    path = fresh_path(spark, "stored-model")
+    save_gibbs(GibbsModel.initialise(seqs, PARAMS), path)
+    return load_gibbs(spark, path).top_words(vocab.df, N_TOP)
+
+
 def hdp_topic_share(spark, sf_dir):
     out = gibbs.topic_share(gibbs.topic_counts(gibbs.topic_term_counts(labelled(spark, sf_dir)[0])))
     return out.withColumn("share", F.round("share", 9))
@@ -121,17 +134,29 @@ def hdp_hyper_beta(spark, sf_dir):
     return spark.createDataFrame([(beta,)], "beta double").select(F.round("beta", 6).alias("beta"))
 
 
-def fitted(spark, sf_dir, params=PARAMS, sweeps=SWEEPS):
-    seqs, vocab, docs = corpus(spark, sf_dir)
-    return GibbsModel.initialise(seqs, params).estimate(sweeps), seqs, vocab, docs
+def swept(spark, sf_dir, params=PARAMS, sweeps=SWEEPS):
+    return GibbsModel.initialise(corpus(spark, sf_dir)[0], params).estimate(sweeps)
+
+
+def fitted(spark, sf_dir, params=PARAMS):
+    """A model trained until its log likelihood is level, and the vocabulary."""
+    seqs, vocab, _ = corpus(spark, sf_dir)
+    return GibbsModel.initialise(seqs, params).fit(), vocab
+
+
+def hdp_log_lik(spark, sf_dir):
+    """The likelihood that a fit watches, at the labels it starts from."""
+    state, seqs, *_ = labelled(spark, sf_dir)
+    value = gibbs.joint_log_lik(state, [PARAMS.alpha / K] * K, PARAMS.alpha / K, seqs.n_terms, PARAMS.beta)
+    return spark.createDataFrame([(value,)], "log_lik double").select(F.round("log_lik", 2).alias("log_lik"))
 
 
 def hdp_sweep(spark, sf_dir):
-    return gibbs.labelled_tokens(fitted(spark, sf_dir, sweeps=1)[0].state)
+    return gibbs.labelled_tokens(swept(spark, sf_dir, sweeps=1).state)
 
 
 def hdp_fit(spark, sf_dir):
-    model, _, vocab, _ = fitted(spark, sf_dir)
+    model, vocab = fitted(spark, sf_dir)
     return model.top_words(vocab.df, N_TOP)
 
 
@@ -140,14 +165,13 @@ def hdp_trace(spark, sf_dir):
 
 
 def gibbs_lda_fit(spark, sf_dir):
-    model, _, vocab, _ = fitted(spark, sf_dir, HdpParams(alpha=1.0, beta=0.1, gamma=0.0, n_topics=K, seed=3))
+    model, vocab = fitted(spark, sf_dir, FIXED)
     return model.top_words(vocab.df, N_TOP)
 
 
 def hdp_hyper(spark, sf_dir):
     """Summary after a fit that also resamples its hyperparameters."""
-    params = HdpParams(alpha=1.0, beta=0.1, gamma=1.0, n_topics=K, seed=3, fixed_hyper=False, hyper_rounds=2, hyper_after=1)
-    return fitted(spark, sf_dir, params, 3)[0].summary()
+    return fitted(spark, sf_dir, replace(PARAMS, fixed_hyper=False))[0].summary()
 
 
 def unseen(spark, sf_dir):
@@ -161,13 +185,16 @@ def unseen(spark, sf_dir):
 def hdp_score(spark, sf_dir):
     """Topic shares of documents that the model was not trained on."""
     known, new, *_ = unseen(spark, sf_dir)
-    scores = GibbsModel.initialise(known, PARAMS).estimate(2).scorer().score(new, 10)
+    scores = GibbsModel.initialise(known, PARAMS).fit().scorer().score(new)
     return scores.select("doc_id", F.posexplode("theta").alias("topic_id", "theta"))
 
 
 def hdp_score_sums(spark, sf_dir):
-    """Every held-out document is scored, and its shares sum to 1."""
-    return hdp_score(spark, sf_dir).groupBy("doc_id").agg(F.round(F.sum("theta"), 9).alias("total"))
+    """Every held-out document is scored, and its shares sum to 1, here after a few sweeps."""
+    known, new, *_ = unseen(spark, sf_dir)
+    scores = GibbsModel.initialise(known, PARAMS).estimate(2).scorer().score(new, 10)
+    rows = scores.select("doc_id", F.explode("theta").alias("theta"))
+    return rows.groupBy("doc_id").agg(F.round(F.sum("theta"), 9).alias("total"))
 
 
 def token_cells(model):
@@ -176,20 +203,20 @@ def token_cells(model):
 
 
 def hdp_sweep_cells(spark, sf_dir):
-    return token_cells(fitted(spark, sf_dir, sweeps=1)[0])
+    return token_cells(swept(spark, sf_dir, sweeps=1))
 
 
 def hdp_fit_cells(spark, sf_dir):
-    return token_cells(fitted(spark, sf_dir)[0])
+    return token_cells(swept(spark, sf_dir))
 
 
 def gibbs_lda_cells(spark, sf_dir):
-    return token_cells(fitted(spark, sf_dir, HdpParams(alpha=1.0, beta=0.1, gamma=0.0, n_topics=K, seed=3))[0])
+    return token_cells(swept(spark, sf_dir, FIXED))
 
 
 def hdp_trace_check(spark, sf_dir):
     """Tokens per sweep, and whether the last sweep's topics are those that labels name."""
-    model = fitted(spark, sf_dir)[0]
+    model = swept(spark, sf_dir)
     named = gibbs.labelled_tokens(model.state).agg(F.count_distinct("topic_id").alias("k")).first()["k"]
     return model.trace_table().agg(
         F.min("n_tokens").alias("least"),
@@ -263,12 +290,14 @@ QUERIES = {
     "hdp_table_counts": hdp_table_counts,
     "hdp_relabel_topics": hdp_relabel_topics,
     "hdp_top_words": hdp_top_words,
+    "hdp_stored_top_words": hdp_stored_top_words,
     "hdp_topic_share": hdp_topic_share,
     "hdp_summary": hdp_summary,
     "hdp_doc_topics": hdp_doc_topics,
     "hdp_phi": hdp_phi,
     "hdp_hyper_alpha": hdp_hyper_alpha,
     "hdp_hyper_beta": hdp_hyper_beta,
+    "hdp_log_lik": hdp_log_lik,
     "hdp_sweep": hdp_sweep,
     "hdp_fit": hdp_fit,
     "hdp_trace": hdp_trace,
@@ -405,6 +434,11 @@ ORACLES = {
     "hdp_hyper_beta": f"""{_LAB}
         SELECT round((0.0::DOUBLE + {B} * (SELECT sum({_digamma_gain('n', B)}) FROM nkt))
                / (1.0::DOUBLE + {V} * (SELECT sum({_digamma_gain('n', f'({V} * {B})')}) FROM nk)), 6) AS beta""",
+    "hdp_log_lik": f"""{_LAB}, lens AS (SELECT doc_id, count(*) AS n FROM lab GROUP BY doc_id)
+        SELECT round((SELECT sum({sql.rising(f'({A} / {K})', 'n::DOUBLE')}) FROM nmk)
+               - (SELECT sum({sql.rising(f'({A} / {K} * {K + 1})', 'n::DOUBLE')}) FROM lens)
+               + (SELECT sum({sql.rising(B, 'n::DOUBLE')}) FROM nkt)
+               - (SELECT sum({sql.rising(f'({V} * {B})', 'n::DOUBLE')}) FROM nk), 2) AS log_lik""",
     "score_init": _labels(f"{text.train_tokens()},{sql.vocabulary(tok='train_tok')}", "score-init")
     + f" SELECT doc_id, pos, term_id, topic_id FROM lab WHERE {text.fold('doc_id')} = 0",
     "score_token_conditional": f"""{_LAB},{_CELLS},{_DOC_TOPICS},{_PHI}, p AS (
@@ -443,3 +477,4 @@ ORACLES = {
         SELECT sum(cnt) AS n_tokens, round(sum(cnt * ln(p)), 3) AS loglik,
                round(exp(-sum(cnt * ln(p)) / sum(cnt)), 4) AS perplexity FROM p""",
 }
+ORACLES["hdp_stored_top_words"] = ORACLES["hdp_top_words"]

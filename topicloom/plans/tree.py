@@ -15,7 +15,8 @@ from topicloom.functions.stopwords import ENGLISH
 from topicloom.operators.tree import TopicTree, TreeParams
 from topicloom.operators.vocabulary import build_vocabulary
 from topicloom.plans import sql, text
-from topicloom.session import cut_lineage, hold, lookup_join, with_row_index
+from topicloom.session import cut_lineage, fresh_path, hold, lookup_join, with_row_index
+from topicloom.sources.model_store import load_tree, save_tree
 from topicloom.sources.reports import distribution_lines
 
 PARAMS = TreeParams(alpha=10.0, gamma=1.0, eta=0.1, n_levels=3, seed=5)
@@ -59,6 +60,13 @@ def tree_nodes(spark, sf_dir):
     return given_tree(spark, sf_dir)[0].nodes.fillna(-1, ["parent_id"])
 
 
+def tree_stored_terms(spark, sf_dir):
+    """``tree_terms`` of a tree that was saved and loaded again."""
+    path = fresh_path(spark, "stored-tree")
+    save_tree(given_tree(spark, sf_dir)[0], path)
+    return load_tree(spark, path).terms
+
+
 def tree_terms(spark, sf_dir):
     return given_tree(spark, sf_dir)[0].terms
 
@@ -124,34 +132,57 @@ def tree_report(spark, sf_dir):
     return trees.tree_report(tree, vocab.df, N_WORDS)
 
 
-def tree_infer(spark, sf_dir):
+def placed(spark, sf_dir, **steps):
     """Held-out documents in the tree of the training folds."""
     _, state, vocab = given_tree(spark, sf_dir)
     train, held_out = text.training_split(state)
     nodes, terms = trees.tree_tables(train)
     tree = TopicTree(cut_lineage(nodes), cut_lineage(terms), vocab.n_terms, PARAMS)
     seqs = Sequences(held_out.select("doc_id", "term_ids"), tree.n_terms)
-    return trees.infer_distribution(trees.infer(tree, seqs, iterations=10, thinning=2, burn_in=4))
+    return trees.infer(tree, seqs, **steps)
+
+
+def tree_infer(spark, sf_dir):
+    """Path shares of held-out documents, averaged over every tenth of 300 steps after the first 100."""
+    return trees.infer_distribution(placed(spark, sf_dir, iterations=300, thinning=10, burn_in=100))
+
+
+def tree_infer_lines(spark, sf_dir):
+    """The same as text lines, one per held-out document."""
+    shares = tree_infer(spark, sf_dir)
+    levels = given_tree(spark, sf_dir)[0].nodes.select("node_id", "level")
+    names = text.documents(spark, sf_dir, "lang").select("doc_id", F.concat(F.lit("doc"), "doc_id").alias("name"))
+    rows = shares.join(levels, "node_id").withColumn("share", F.round(F.col("share") * 1e6).cast("long"))
+    return distribution_lines(rows, names)
 
 
 def tree_infer_sums(spark, sf_dir):
-    """Every held-out document is placed, and its shares sum to 1."""
-    return tree_infer(spark, sf_dir).groupBy("doc_id").agg(F.round(F.sum("share"), 9).alias("total"))
+    """Every held-out document is placed, and its shares sum to 1, here after a few steps."""
+    rows = trees.infer_distribution(placed(spark, sf_dir, iterations=10, thinning=2, burn_in=4))
+    return rows.groupBy("doc_id").agg(F.round(F.sum("share"), 9).alias("total"))
+
+
+def tree_log_lik(spark, sf_dir):
+    """The likelihood that a fit watches, at the labels of the given tree."""
+    tree, state, _ = given_tree(spark, sf_dir)
+    value = trees.joint_log_lik(tree, state)
+    return spark.createDataFrame([(value,)], "log_lik double").select(F.round("log_lik", 2).alias("log_lik"))
 
 
 def fitted(spark, sf_dir):
-    seqs, vocab, _ = corpus(spark, sf_dir)
-    return trees.fit_tree(seqs, PARAMS, 3)[0], vocab
+    """A tree after a few sweeps, for what no sweep may change."""
+    return trees.fit_tree(corpus(spark, sf_dir)[0], PARAMS, 3)[0]
 
 
 def tree_fit(spark, sf_dir):
-    tree, vocab = fitted(spark, sf_dir)
-    return trees.tree_report(tree, vocab.df, N_WORDS)
+    """A tree trained until its log likelihood is level."""
+    seqs, vocab, _ = corpus(spark, sf_dir)
+    return trees.tree_report(trees.train_tree(seqs, PARAMS).tree, vocab.df, N_WORDS)
 
 
 def tree_fit_seats(spark, sf_dir):
     """Per level of a fitted tree its customers, and how many of its nodes have other customers than their children."""
-    nodes = fitted(spark, sf_dir)[0].nodes
+    nodes = fitted(spark, sf_dir).nodes
     below = nodes.groupBy("parent_id").agg(F.sum("customers").alias("below"))
     joined = nodes.join(below.withColumnRenamed("parent_id", "node_id"), "node_id", "left")
     odd = (F.col("level") < PARAMS.n_levels - 1) & ~F.col("customers").eqNullSafe(F.col("below"))
@@ -160,12 +191,13 @@ def tree_fit_seats(spark, sf_dir):
 
 def tree_fit_tokens(spark, sf_dir):
     """How often a fitted tree has each term, over all nodes."""
-    return fitted(spark, sf_dir)[0].terms.groupBy("term_id").agg(F.sum("n").alias("n"))
+    return fitted(spark, sf_dir).terms.groupBy("term_id").agg(F.sum("n").alias("n"))
 
 
 QUERIES = {
     "tree_nodes": tree_nodes,
     "tree_terms": tree_terms,
+    "tree_stored_terms": tree_stored_terms,
     "tree_size": tree_size,
     "tree_path_prior": tree_path_prior,
     "tree_path_prior_by_node": tree_path_prior_by_node,
@@ -178,6 +210,8 @@ QUERIES = {
     "tree_train_distribution": tree_train_distribution,
     "tree_report": tree_report,
     "tree_infer": tree_infer,
+    "tree_infer_lines": tree_infer_lines,
+    "tree_log_lik": tree_log_lik,
     "tree_fit": tree_fit,
     "tree_infer_sums": tree_infer_sums,
     "tree_fit_seats": tree_fit_seats,
@@ -289,6 +323,14 @@ ORACLES = {
                || lpad(n0.node_id::VARCHAR, 10, '0') AS path_key,
                n0.level, n0.node_id, n0.total_tokens, n0.customers, coalesce(w, '') AS top_words
         FROM node n0 LEFT JOIN node n1 ON n1.node_id = n0.parent_id LEFT JOIN words ON words.node_id = n0.node_id""",
+    "tree_log_lik": f"""{_STATE}, lens AS (SELECT doc_id, count(*) AS n FROM lab GROUP BY doc_id),
+        dl AS (SELECT doc_id, level, count(*) AS n FROM lab GROUP BY doc_id, level)
+        SELECT round((SELECT sum({sql.rising(E, 'n::DOUBLE')}) FROM tterm)
+               - (SELECT sum({sql.rising(f'({E} * {V})', 'total_tokens::DOUBLE')}) FROM node WHERE total_tokens > 0)
+               + (SELECT sum(ln({G}) + {sql.lgamma('customers::DOUBLE')}) FROM node WHERE level > 0)
+               - (SELECT sum({sql.rising(G, 'customers::DOUBLE')}) FROM node WHERE level < {PARAMS.n_levels - 1})
+               + (SELECT sum({sql.rising(A, 'n::DOUBLE')}) FROM dl)
+               - (SELECT sum({sql.rising(f'({A} * {PARAMS.n_levels})', 'n::DOUBLE')}) FROM lens), 2) AS log_lik""",
     "tree_infer_sums": f"SELECT doc_id, 1.0::DOUBLE AS total FROM documents WHERE {text.fold('doc_id')} = 0",
     "tree_fit_seats": f"""
         SELECT level, (SELECT count(*) FROM documents) AS customers, 0::BIGINT AS odd
@@ -296,3 +338,4 @@ ORACLES = {
     "tree_fit_tokens": f"""WITH {sql.tokens(ALNUM_DASH)},{sql.vocabulary()}
         SELECT term_id, count(*) AS n FROM tok JOIN vocab USING (term) GROUP BY term_id""",
 }
+ORACLES["tree_stored_terms"] = ORACLES["tree_terms"]
