@@ -14,6 +14,9 @@ from topicloom.session import fresh_path
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts a kernel turns into Python objects at once.
 SLICE_BYTES = 512 << 10
+#: Bytes of rows that Spark hands to a Python worker at once; by default it counts rows only, whatever the length of their texts.
+BATCH_BYTES = 8 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -37,6 +40,11 @@ def slices(column: pa.Array) -> Iterator[pa.Array]:
         start += room
 
 
+def bound_batches() -> None:
+    """Bound the running session's Arrow batches by bytes."""
+    SparkSession.active().conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str):
     """Arrow UDF over one column.  ``kernel`` gets slices of bounded size.
 
@@ -49,6 +57,7 @@ def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str):
                 yield kernel(part)
             pa.default_memory_pool().release_unused()
 
+    bound_batches()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind).asNondeterministic()
 

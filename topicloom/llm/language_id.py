@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from topicloom.llm.common import slices, text_udf
+from topicloom.llm.common import bound_batches, slices, text_udf
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -147,6 +147,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     Tasks add up their own counts, so one row per n-gram, language and task is shuffled.
     The profiles, ``size`` rows a language, are what the driver gets.
     """
+    bound_batches()
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Filtered by the row number itself, so that each task keeps its own first rows before the shuffle.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import slices, text_udf
+from topicloom.llm.common import bound_batches, slices, text_udf
 from topicloom.llm.page_examples import labelled_page
 from topicloom.llm.page_tree import Tree, name_parts, read_page
 from topicloom.session import hold
@@ -155,6 +155,7 @@ _TREES = "parent array<int>, is_text array<boolean>, nodes array<int>, evidence
 
 def _labelled_trees(labelled: DataFrame, html: str) -> DataFrame:
     """Forests of labelled pages, one row for a slice of pages."""
+    bound_batches()
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
