@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import text_udf
 
 NEVER = 1 << 60
-#: Words of a generation whose ids a worker remembers (two generations of about 90 MB each), and pairs whose test it remembers.
-WORDS_KEPT = 400_000
+#: Words of a generation whose ids a task remembers (two generations of about 45 MB each), and pairs whose test it remembers.
+WORDS_KEPT = 200_000
 PAIRS_KEPT = 200_000
 #: Stands for the end of a word inside the automaton; no byte letter is mapped to it.
 END = "\x00"
@@ -155,6 +155,10 @@ class WordCodec:
             at = back[at]
         return np.array(ids[::-1], "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Let go of what texts have left behind; the vocabulary stays."""
+        self.words, self.older, self.pairs = {}, {}, {}
+
     def _remember(self, piece: str) -> bytes:
         """Ids of a piece that the young generation lacks.  A full young generation becomes the old one, whose place it takes."""
         ids = self.older.get(piece)
@@ -205,7 +209,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def kernel(column: pa.Array) -> pa.Array:
         return pa.array(map(codec(path).encode, column.to_pylist()), pa.binary())
 
-    return docs.withColumn(out, text_udf(kernel, "binary")(F.col(text)))
+    return docs.withColumn(out, text_udf(kernel, "binary", lambda: codec(path).forget())(F.col(text)))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -228,6 +232,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
         decoded = pa.array([decode_ids(c, path) for c in coded], pa.string())
         return pa.StructArray.from_arrays([pa.array(coded, pa.binary()), decoded], ["ids", "decoded"])
 
-    coded = text_udf(kernel, "struct<ids: binary, decoded: string>")(F.col(text))
+    coded = text_udf(kernel, "struct<ids: binary, decoded: string>", lambda: codec(path).forget())(F.col(text))
     own = [F.col("row")[c].alias(c) for c in docs.columns if c not in (ids, out)]
     return docs.select(F.struct("*").alias("row"), coded.alias("coded")).select(*own, F.col("coded.ids").alias(ids), F.col("coded.decoded").alias(out))

@@ -45,8 +45,8 @@ def bound_batches() -> None:
     SparkSession.active().conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
-def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str):
-    """Arrow UDF over one column.  ``kernel`` gets slices of bounded size.
+def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str, done: Callable[[], None] | None = None):
+    """Arrow UDF over one column.  ``kernel`` gets slices of bounded size; ``done`` ends a task, as its worker stays for others.
 
     Marked non-deterministic only so that the optimiser never evaluates it twice.
     """
@@ -56,6 +56,8 @@ def text_udf(kernel: Callable[[pa.Array], pa.Array], kind: str):
             for part in slices(column):
                 yield kernel(part)
             pa.default_memory_pool().release_unused()
+        if done is not None:
+            done()
 
     bound_batches()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
