@@ -11,8 +11,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.tokens import unnest
-from topicloom.session import fits_broadcast, lookup_join
+from topicloom.session import fits_broadcast
+
+#: Room for the vectors of a block of documents, where the model is not broadcast; a block has as many tokens as this holds vectors.
+BLOCK_BYTES = 256 << 20
 
 
 def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,32 +47,69 @@ def spans(offsets: np.ndarray, width: int, cells: int = 400_000) -> Iterator[tup
 
 @dataclass(frozen=True)
 class TermColumns:
-    """Per-term model vectors as the kernels see them.
+    """Per-term model vectors as the kernels see them: a broadcast [n_terms, width] matrix.
 
-    ``table`` is a broadcast [n_terms, width] matrix.  Where the model is too large
-    for that it is ``None`` and each document row carries the vectors of its own
-    terms in the column ``cols``.
+    Where the model is too large for that ``table`` is ``None``, and the kernels get ``BlockColumns``.
     """
 
     table: Broadcast | None
     width: int
 
-    def of(self, batch: pa.RecordBatch, ids: np.ndarray) -> Callable[[int, int], np.ndarray]:
-        """Function from a span of the batch's token rows to their vectors."""
-        if self.table is not None:
-            table = self.table.value
-            return lambda lo, hi: table[ids[lo:hi]]
-        carried = batch.column("cols").flatten().flatten().to_numpy().reshape(-1, self.width)
-        return lambda lo, hi: carried[lo:hi]
+    @property
+    def size(self) -> int:
+        return len(self.table.value)
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of the matrix that terms have."""
+        return ids
+
+    def terms(self, rows: np.ndarray) -> np.ndarray:
+        """Terms of rows of the matrix."""
+        return rows
+
+    def of(self, ids: np.ndarray) -> Callable[[int, int], np.ndarray]:
+        """Function from a span of tokens to their vectors."""
+        table = self.table.value
+        return lambda lo, hi: table[ids[lo:hi]]
+
+
+@dataclass(frozen=True)
+class BlockColumns:
+    """The vectors of the terms that a block of documents has, terms ascending."""
+
+    term_ids: np.ndarray
+    matrix: np.ndarray
+
+    @property
+    def width(self) -> int:
+        return self.matrix.shape[1]
+
+    @property
+    def size(self) -> int:
+        return len(self.matrix)
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.term_ids, ids)
+
+    def terms(self, rows: np.ndarray) -> np.ndarray:
+        return self.term_ids[rows]
+
+    def of(self, ids: np.ndarray) -> Callable[[int, int], np.ndarray]:
+        at = self.rows(ids)
+        return lambda lo, hi: self.matrix[at[lo:hi]]
+
+
+Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 @dataclass(frozen=True)
 class TermVectors:
     """``df(term_id, w array<double>)``; terms absent from it count as all zero.
 
-    A model within the broadcast limit is sent once per executor.  A larger one is
-    joined to the documents by term, so no task ever holds more than the vectors
-    of its own documents.
+    A model within the broadcast limit is sent once per executor.  Of a larger one each
+    block of documents gets the vectors of its own terms, one row per block and term, so
+    what is shuffled grows with the distinct terms of the blocks and not with tokens, and
+    no task holds more than a block's.
     """
 
     df: DataFrame
@@ -103,20 +142,29 @@ class TermVectors:
         dense[found.column("term_id").to_numpy(), found.column(slot).to_numpy()] = found.column(value).to_numpy()
         return cls(cells, n_bytes, TermColumns(spark.sparkContext.broadcast(dense), width))
 
-    def attach(self, docs: DataFrame, ids: str) -> DataFrame:
-        """Documents as the kernels need them: unchanged, or with their own vectors."""
+    def run(self, docs: DataFrame, ids: str, kernel: Callable[["TermColumns | BlockColumns"], Kernel], schema: str) -> DataFrame:
+        """``kernel(columns)`` over batches of ``docs(doc_id, ...)``, whose terms are in the list ``ids``."""
         if self.columns.table is not None:
-            return docs
-        pairs = unnest(docs, ["doc_id"], ids, "term_id")
-        found = lookup_join(
-            pairs, self.df.select("term_id", "w"), ["term_id"], "left", self.n_bytes, ["doc_id"]
-        )
-        zero = F.array_repeat(F.lit(0.0), self.columns.width)
-        packed = found.groupBy("doc_id").agg(
-            F.array_sort(F.collect_list(F.struct("_at", F.coalesce("w", zero).alias("w")))).alias("e")
-        )
-        none = F.array().cast("array<array<double>>")
-        return docs.join(packed, "doc_id", "left").withColumn("cols", F.coalesce("e.w", none)).drop("e")
+            return docs.mapInArrow(kernel(self.columns), schema)
+        width = self.columns.width
+        n_tokens = docs.agg(F.sum(F.size(ids))).first()[0] or 0
+        blocks = max(1, -(-n_tokens * 8 * width // BLOCK_BYTES))
+        tagged = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+        wanted = tagged.select(F.col("_block").alias("_of"), F.explode(ids).alias("term_id")).distinct()
+        zero = F.array_repeat(F.lit(0.0), width)
+        vectors = wanted.join(self.df.select("term_id", "w"), "term_id", "left").select("_of", "term_id", F.coalesce("w", zero).alias("w"))
+        names = docs.columns
+
+        def task(block: pa.Table, found: pa.Table) -> pa.Table:
+            terms = found.column("term_id").to_numpy()
+            flat = [c.flatten().to_numpy() for c in found.column("w").chunks]
+            matrix = np.concatenate(flat).reshape(-1, width) if flat else np.zeros((0, width))
+            order = np.argsort(terms)
+            columns = BlockColumns(terms[order], matrix[order])
+            out = list(kernel(columns)(iter(block.select(names).combine_chunks().to_batches())))
+            return pa.Table.from_batches(out)
+
+        return tagged.groupBy("_block").cogroup(vectors.groupBy("_of")).applyInArrow(task, schema)
 
     def release(self) -> None:
         """Drop the executors' copies; the driver keeps its own for recomputation."""

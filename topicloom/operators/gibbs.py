@@ -364,7 +364,7 @@ def _sweep_batches(setting: SweepSetting, columns: TermColumns):
             offsets, terms = ragged(batch.column("term_ids"))
             _, labels = ragged(batch.column("z"))
             doc_ids = batch.column("doc_id").to_numpy()
-            vectors = columns.of(batch, terms)
+            vectors = columns.of(terms)
             for a, b in spans(offsets, columns.width + 8):
                 lo, hi = offsets[a], offsets[b]
                 part = offsets[a : b + 1] - lo
@@ -523,9 +523,8 @@ class GibbsModel:
             self.tau_new, p.seed, self.sweeps_done,
         )
         previous = self._held
-        raw = vectors.attach(self.state.select("doc_id", "term_ids", "z"), "term_ids").mapInArrow(
-            _sweep_batches(setting, vectors.columns), SWEEP_SCHEMA
-        )
+        docs = self.state.select("doc_id", "term_ids", "z")
+        raw = vectors.run(docs, "term_ids", lambda columns: _sweep_batches(setting, columns), SWEEP_SCHEMA)
         raw = self._tables.add(raw) if self.sweeps_done % p.checkpoint_every == 0 else hold(raw)
         # Weight of a label in its document: alpha times its topic's weight, or its share of the new topics' mass.
         known = F.array(*[F.lit(p.alpha * t) for t in self.tau]).cast("array<double>")
@@ -781,7 +780,7 @@ def _score_batches(columns: TermColumns, prior, seed: int, sweeps: int):
             offsets, terms = ragged(batch.column("term_ids"))
             _, labels = ragged(batch.column("z"))
             doc_ids = batch.column("doc_id").to_numpy()
-            vectors = columns.of(batch, terms)
+            vectors = columns.of(terms)
             for a, b in spans(offsets, columns.width):
                 lo, hi = offsets[a], offsets[b]
                 part = offsets[a : b + 1] - lo
@@ -817,9 +816,8 @@ class Scorer:
             raise ValueError(f"vocabulary size {seqs.n_terms} does not match the model's {self.n_terms}")
         vectors = TermVectors.of(self.phi, self.n_terms, len(self.prior))
         start = random_topics(seqs.df.select("doc_id", "term_ids"), len(self.prior), self.seed, "score-init")
-        return vectors.attach(start, "term_ids").mapInArrow(
-            _score_batches(vectors.columns, self.prior, self.seed, sweeps), SCORE_SCHEMA
-        )
+        prior, seed = self.prior, self.seed
+        return vectors.run(start, "term_ids", lambda columns: _score_batches(columns, prior, seed, sweeps), SCORE_SCHEMA)
 
 
 def scored_perplexity(scores: DataFrame) -> float | None:

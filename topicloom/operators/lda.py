@@ -192,7 +192,7 @@ def _estep_batches(columns: TermColumns, alpha, max_iter, tol, want_stats):
             offsets, ids = ragged(batch.column("ids"))
             _, cnts = ragged(batch.column("cnts"))
             doc_ids = batch.column("doc_id").to_numpy()
-            vectors = columns.of(batch, ids)
+            vectors = columns.of(ids)
             for a, b in spans(offsets, columns.width, 4_000_000):
                 lo, hi = offsets[a], offsets[b]
                 block = np.exp(vectors(lo, hi))
@@ -213,18 +213,17 @@ def _estep_batches(columns: TermColumns, alpha, max_iter, tol, want_stats):
                 order = np.argsort(ids[lo:hi], kind="stable")
                 terms, first = np.unique(ids[lo:hi][order], return_index=True)
                 part = np.add.reduceat(stat[order], first, axis=0)
-                if columns.table is None:
-                    yield _stat_rows(names, terms, part)
-                else:
-                    if total is None:
-                        total = np.zeros(columns.table.value.shape)
-                        seen = np.zeros(len(total), dtype=bool)
-                    total[terms] += part
-                    seen[terms] = True
+                if total is None:
+                    total = np.zeros((columns.size, columns.width))
+                    seen = np.zeros(len(total), dtype=bool)
+                at = columns.rows(terms)
+                total[at] += part
+                seen[at] = True
         if total is not None:
-            terms = np.flatnonzero(seen)
-            for i in range(0, len(terms), 10_000):
-                yield _stat_rows(names, terms[i : i + 10_000], total[terms[i : i + 10_000]])
+            rows = np.flatnonzero(seen)
+            for i in range(0, len(rows), 10_000):
+                at = rows[i : i + 10_000]
+                yield _stat_rows(names, columns.terms(at), total[at])
 
     return run
 
@@ -244,17 +243,28 @@ def _stat_rows(names, terms, part) -> pa.RecordBatch:
     )
 
 
+#: Tasks of an E-step with statistics, per core.
+STAT_TASKS = 4
+
+
+def few_tasks(docs: DataFrame) -> DataFrame:
+    """The documents in a few partitions per core at most.
+
+    Every task hands on one sum per term, so their number, and not that of the corpus's splits,
+    decides how much of the statistics is shuffled.
+    """
+    most = STAT_TASKS * parallelism(docs.sparkSession)
+    return docs.coalesce(most) if docs.rdd.getNumPartitions() > most else docs
+
+
 def estep(bow: BagOfWords, logs: TermVectors, params: LdaParams, want_stats: bool = True) -> DataFrame:
     """Document posteriors (rows with ``doc_id``) and partial statistics (rows with ``term_id``).
 
     With statistics, document rows also carry their counts, so that the bound needs no join.
     """
-    return logs.attach(bow.df, "ids").mapInArrow(
-        _estep_batches(
-            logs.columns, params.alpha, params.max_gamma_update_iter, params.mean_change_tol, want_stats
-        ),
-        ESTEP_SCHEMA,
-    )
+    settings = params.alpha, params.max_gamma_update_iter, params.mean_change_tol, want_stats
+    docs = few_tasks(bow.df) if want_stats else bow.df
+    return logs.run(docs, "ids", lambda columns: _estep_batches(columns, *settings), ESTEP_SCHEMA)
 
 
 def posteriors(estep_rows: DataFrame) -> DataFrame:
@@ -339,7 +349,7 @@ def _bound_batches(columns: TermColumns, alpha):
             score = float(((alpha - gamma) * log_theta).sum() + np_lgamma(gamma).sum())
             score -= float(np_lgamma(gamma.sum(axis=1)).sum())
             score += len(gamma) * float(np_lgamma(np.array([alpha * k]))[0] - k * np_lgamma(np.array([alpha]))[0])
-            vectors = columns.of(batch, ids)
+            vectors = columns.of(ids)
             for a, b in spans(offsets, k):
                 lo, hi = offsets[a], offsets[b]
                 cell = vectors(lo, hi) + log_theta[np.repeat(np.arange(a, b), np.diff(offsets[a : b + 1]))]
@@ -369,8 +379,8 @@ class Bound:
 
 def approx_bound(docs: DataFrame, model_score: float, logs: TermVectors, alpha: float) -> Bound:
     """Bound of ``docs(doc_id, ids, cnts, gamma)``; the weights gamma must not be normalised."""
-    docs = logs.attach(docs, "ids")
-    parts = docs.mapInArrow(_bound_batches(logs.columns, alpha), "score double, words double, docs long")
+    kept = docs.select("doc_id", "ids", "cnts", "gamma")
+    parts = logs.run(kept, "ids", lambda columns: _bound_batches(columns, alpha), "score double, words double, docs long")
     row = parts.agg(F.sum("score"), F.sum("words"), F.sum("docs")).first()
     return Bound(float(row[0] or 0.0), model_score, float(row[1] or 0.0), int(row[2] or 0))
 
