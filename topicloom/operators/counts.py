@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +49,34 @@ def doc_term_counts(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     ).select("doc_id", "term_id", F.col("cnt").cast("double").alias("cnt"))
 
 
+#: The vocabulary that this Python worker looked up last, as a dictionary: built once for all its batches and tasks.
+_LAST: dict[str, dict[str, int]] = {}
+
+
+def _known(name: str, shared) -> dict[str, int]:
+    if name not in _LAST:
+        terms, ids = shared.value
+        _LAST.clear()
+        _LAST[name] = dict(zip(terms.to_pylist(), ids.tolist()))
+    return _LAST[name]
+
+
 def _id_udf(docs: DataFrame, vocab: Vocabulary, pack: Callable, kind: str):
     """Arrow UDF from token arrays to what ``pack(offsets, ids)`` makes of their term ids (-1: unseen)."""
     known = vocab.df.select("term", "term_id").toArrow().combine_chunks()
+    name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(
         (known.column("term").combine_chunks(), known.column("term_id").to_numpy())
     )
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        terms, ids = shared.value
-        ids = np.append(ids, -1)
+        known = _known(name, shared)
         for column in batches:
             offsets = column.offsets.to_numpy().astype(np.int64)
-            flat = column.values.slice(offsets[0], offsets[-1] - offsets[0])
-            at = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy(zero_copy_only=False)
-            yield pack(offsets - offsets[0], ids[at])
+            flat = column.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+            ids = np.array([known.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+            at = flat.indices.fill_null(0).to_numpy()
+            yield pack(offsets - offsets[0], ids[at] if len(ids) else at)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind).asNondeterministic()

@@ -31,24 +31,28 @@ class Vocabulary:
 
 
 def _batch_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch its terms with their documents and occurrences, and a row without a term for its documents."""
     for batch in batches:
         offsets, flat = batch.column("terms").offsets.to_numpy(), batch.column("terms").values
-        if not len(flat):
-            continue
         flat = flat.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         at, n = flat.indices.to_numpy(), len(flat.dictionary)
         docs = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        once = np.unique(docs * np.int64(n) + at) % n
-        yield pa.RecordBatch.from_arrays(
-            [flat.dictionary, pa.array(np.bincount(once, minlength=n)), pa.array(np.bincount(at, minlength=n))],
-            ["term", "df", "tf"],
-        )
+        once = np.unique(docs * np.int64(n) + at) % n if n else at
+        terms = pa.concat_arrays([flat.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+        df = np.append(np.bincount(once, minlength=n), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([terms, pa.array(df), pa.array(np.append(np.bincount(at, minlength=n), 0))], ["term", "df", "tf"])
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``term_stats`` with one more row, without a term, whose ``df`` is the number of documents."""
+    rows = docs.select(F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    rows = rows.mapInArrow(_batch_stats, "term string, df long, tf long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
     """(term, df, tf) in one scan; a task hands on one row per term and batch of documents."""
-    rows = docs.select("terms").filter("terms IS NOT NULL").mapInArrow(_batch_stats, "term string, df long, tf long")
-    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    return _counted(docs).filter("term IS NOT NULL")
 
 
 def build_vocabulary(
@@ -61,20 +65,25 @@ def build_vocabulary(
     """Terms within the document-frequency bounds, ids in alphabetical order.
 
     Integer bounds are document counts, float bounds are shares of the documents.
-    ``max_features`` keeps the most frequent terms, ties by term.
+    ``max_features`` keeps the most frequent terms, ties by term.  The documents are read
+    once: all that follows works on the held counts.
     """
-    stats = term_stats(docs)
-    if isinstance(min_df, float) or isinstance(max_df, float):
-        n_docs = docs.count() if n_docs is None else n_docs
+    counted = hold(_counted(docs))
+    stats = counted.filter("term IS NOT NULL")
+    if n_docs is None and (isinstance(min_df, float) or isinstance(max_df, float)):
+        row = counted.filter("term IS NULL").first()
+        n_docs = row["df"] if row else 0
     low = min_df * n_docs if isinstance(min_df, float) else min_df
     high = max_df * n_docs if isinstance(max_df, float) else max_df
     kept = stats.filter((F.col("df") >= F.lit(low)) & (F.col("df") <= F.lit(high)))
     if max_features is not None:
         kept = kept.orderBy(F.desc("tf"), "term").limit(max_features)
     indexed = with_row_index(kept, ["term"], "term_id")
-    return Vocabulary.of(
+    vocab = Vocabulary.of(
         hold(indexed.select(F.col("term_id").cast("int").alias("term_id"), "term", "df", "tf"))
     )
+    counted.unpersist()
+    return vocab
 
 
 def given_vocabulary(terms: DataFrame) -> Vocabulary:

@@ -132,13 +132,18 @@ def tree_report(spark, sf_dir):
     return trees.tree_report(tree, vocab.df, N_WORDS)
 
 
-def placed(spark, sf_dir, **steps):
-    """Held-out documents in the tree of the training folds."""
+def held_out(spark, sf_dir):
+    """The tree of the training folds, and held-out documents."""
     _, state, vocab = given_tree(spark, sf_dir)
-    train, held_out = text.training_split(state)
+    train, rest = text.training_split(state)
     nodes, terms = trees.tree_tables(train)
     tree = TopicTree(cut_lineage(nodes), cut_lineage(terms), vocab.n_terms, PARAMS)
-    seqs = Sequences(held_out.select("doc_id", "term_ids"), tree.n_terms)
+    return tree, Sequences(rest.select("doc_id", "term_ids"), tree.n_terms)
+
+
+def placed(spark, sf_dir, **steps):
+    """Held-out documents in the tree of the training folds."""
+    tree, seqs = held_out(spark, sf_dir)
     return trees.infer(tree, seqs, **steps)
 
 
