@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import tree as trees
 from topicloom.operators.counts import Sequences
+from topicloom.operators.gibbs import StopRule
 from topicloom.operators.tree import TopicTree, TreeParams
 from topicloom.operators.tree_sampler import DocBlock, SamplePlan, cut_tree
 from topicloom.sources.model_store import load_tree, save_tree
@@ -304,3 +305,30 @@ def test_save_and_load(tree, spark, tmp_path):
     save_tree(tree, str(tmp_path / "t"))
     again = load_tree(spark, str(tmp_path / "t"))
     assert again.params == tree.params and again.nodes.count() == 7 and again.terms.count() == len(TERMS)
+
+
+def test_log_likelihood_equals_a_plain_product(tree, state):
+    """Words, levels and seats one after the other."""
+    nodes, terms = trees.tree_tables(state)
+    grown = TopicTree(nodes, terms, 9, PARAMS)
+    total, words, sizes, seats = 0.0, {}, {}, {}
+    for _, term_ids, levels, path in STATE:
+        for parent, child in zip(path, path[1:]):
+            known = seats.setdefault(parent, {})
+            weight = known.get(child, 0) or PARAMS.gamma
+            total += math.log(weight / (sum(known.values()) + PARAMS.gamma))
+            known[child] = known.get(child, 0) + 1
+        used = [0] * 3
+        for i, (t, level) in enumerate(zip(term_ids, levels)):
+            total += math.log((used[level] + PARAMS.alpha) / (i + 3 * PARAMS.alpha))
+            node = path[level]
+            total += math.log((words.get((node, t), 0) + PARAMS.eta) / (sizes.get(node, 0) + 9 * PARAMS.eta))
+            used[level] += 1
+            words[node, t] = words.get((node, t), 0) + 1
+            sizes[node] = sizes.get(node, 0) + 1
+    assert trees.joint_log_lik(grown, state) == pytest.approx(total)
+
+
+def test_training_ends_by_its_rule(planted):
+    fit = trees.train_tree(planted, replace(PARAMS, start_branches=2), 40, StopRule(window=3, tol=5e-3))
+    assert 7 <= len(fit.trace) <= 40 and fit.trace[-1] > fit.trace[0]

@@ -67,6 +67,10 @@ class TermColumns:
         """Terms of rows of the matrix."""
         return rows
 
+    def lines(self, rows: np.ndarray) -> np.ndarray:
+        """Vectors of rows of the matrix."""
+        return self.table.value[rows]
+
     def of(self, ids: np.ndarray) -> Callable[[int, int], np.ndarray]:
         """Function from a span of tokens to their vectors."""
         table = self.table.value
@@ -94,6 +98,9 @@ class BlockColumns:
     def terms(self, rows: np.ndarray) -> np.ndarray:
         return self.term_ids[rows]
 
+    def lines(self, rows: np.ndarray) -> np.ndarray:
+        return self.matrix[rows]
+
     def of(self, ids: np.ndarray) -> Callable[[int, int], np.ndarray]:
         at = self.rows(ids)
         return lambda lo, hi: self.matrix[at[lo:hi]]

@@ -22,6 +22,7 @@ from topicloom.functions.draws import driver_generator, hash_uniform, np_uniform
 from topicloom.functions.numeric import digamma, lgamma
 from topicloom.operators.arrow import TermColumns, TermVectors, pack_cells, ragged, spans, to_ragged, to_rows
 from topicloom.operators.counts import Sequences
+from topicloom.operators.sparse_topics import score_sparse, sweep_sparse
 from topicloom.operators.tokens import unnest, with_runs
 from topicloom.session import RollingTables, cut_lineage, hold, lookup_join
 
@@ -208,6 +209,11 @@ def doc_vector(labels: str, n_topics: int) -> Column:
 
 # ------------------------------------------------------------------- the sweep
 
+#: With more topics a step goes by the document's own topics; the labels are the same either way.
+DENSE_TOPICS = 64
+#: Cells that such a step counts per token when documents are put into blocks.
+SPARSE_TOKEN = 20
+
 
 @dataclass(frozen=True)
 class SweepSetting:
@@ -336,6 +342,20 @@ def sweep_block(setting: SweepSetting, doc_ids, offsets, terms, z, vectors):
     return z, counts[back], [state.fresh.get(int(r), []) for r in back]
 
 
+def sweep_block_sparse(setting: SweepSetting, doc_ids, offsets, terms, z, counts_of, n_terms: int):
+    """``sweep_block`` by the documents' own topics; ``counts_of(terms)`` gives terms x topics counts."""
+    order, doc_of = longest_first(offsets)
+    ids = doc_ids[order][doc_of]
+    pos = np.arange(len(terms)) - offsets[:-1][order][doc_of]
+    u = np_uniform(setting.seed, 2 * setting.sweep, ids, pos)
+    u_new = np_uniform(setting.seed, 2 * setting.sweep + 1, ids, pos)
+    steps = lambda: by_position(offsets, order)
+    z, counts, fresh = sweep_sparse(setting, steps, u, u_new, doc_of, terms, z, len(doc_ids), counts_of, n_terms)
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return z, counts[back], [fresh[r] for r in back]
+
+
 def draw_tables(setting: SweepSetting, doc_ids, counts, fresh):
     """Antoniak table counts per document and topic, from the weights the sweep used."""
     doc, topic = np.nonzero(counts)
@@ -364,13 +384,19 @@ def _sweep_batches(setting: SweepSetting, columns: TermColumns):
             offsets, terms = ragged(batch.column("term_ids"))
             _, labels = ragged(batch.column("z"))
             doc_ids = batch.column("doc_id").to_numpy()
-            vectors = columns.of(terms)
-            for a, b in spans(offsets, columns.width + 8):
+            vectors, lines = columns.of(terms), columns.rows(terms)
+            sparse = columns.width > DENSE_TOPICS
+            for a, b in spans(offsets, SPARSE_TOKEN if sparse else columns.width + 8):
                 lo, hi = offsets[a], offsets[b]
                 part = offsets[a : b + 1] - lo
-                z, counts, fresh = sweep_block(
-                    setting, doc_ids[a:b], part, terms[lo:hi], labels[lo:hi], vectors(lo, hi)
-                )
+                if sparse:
+                    z, counts, fresh = sweep_block_sparse(
+                        setting, doc_ids[a:b], part, lines[lo:hi], labels[lo:hi], columns.lines, columns.size
+                    )
+                else:
+                    z, counts, fresh = sweep_block(
+                        setting, doc_ids[a:b], part, terms[lo:hi], labels[lo:hi], vectors(lo, hi)
+                    )
                 tables = draw_tables(setting, doc_ids[a:b], counts, fresh)
                 sticks = np.concatenate([[0], np.cumsum([len(f) for f in fresh])])
                 yield pa.RecordBatch.from_arrays(
@@ -769,6 +795,25 @@ def score_block(prior, doc_ids, offsets, z, phi, seed, sweeps):
     return z, theta[back], loglik[back]
 
 
+def score_block_sparse(prior, doc_ids, offsets, terms, z, phi_of, n_terms: int, seed, sweeps):
+    """``score_block`` by the documents' own topics; ``phi_of(terms)`` gives terms x topics shares."""
+    order, doc_of = longest_first(offsets)
+    ids = doc_ids[order][doc_of]
+    pos = np.arange(len(z)) - offsets[:-1][order][doc_of]
+    draws = lambda sweep: np_uniform(seed, 1_000_000 + sweep, ids, pos)
+    z = score_sparse(prior, lambda: by_position(offsets, order), draws, doc_of, terms, z, len(doc_ids), phi_of, n_terms, sweeps)
+    weight = np.tile(prior, (len(doc_ids), 1))
+    np.add.at(weight, (doc_of, z), 1.0)
+    theta = weight / weight.sum(axis=1)[:, None]
+    logs = np.empty(len(z))
+    for at in np.array_split(np.arange(len(z)), max(1, len(z) * len(prior) // 4_000_000)):
+        logs[at] = np.log(np.einsum("ij,ij->i", theta[doc_of[at]], phi_of(terms[at])))
+    loglik = np.bincount(doc_of, weights=logs, minlength=len(doc_ids))
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return z, theta[back], loglik[back]
+
+
 SCORE_SCHEMA = "doc_id long, z array<int>, theta array<double>, n_tokens int, loglik double"
 
 
@@ -780,13 +825,19 @@ def _score_batches(columns: TermColumns, prior, seed: int, sweeps: int):
             offsets, terms = ragged(batch.column("term_ids"))
             _, labels = ragged(batch.column("z"))
             doc_ids = batch.column("doc_id").to_numpy()
-            vectors = columns.of(terms)
-            for a, b in spans(offsets, columns.width):
+            vectors, lines = columns.of(terms), columns.rows(terms)
+            sparse = columns.width > DENSE_TOPICS
+            for a, b in spans(offsets, SPARSE_TOKEN if sparse else columns.width):
                 lo, hi = offsets[a], offsets[b]
                 part = offsets[a : b + 1] - lo
-                z, theta, loglik = score_block(
-                    prior, doc_ids[a:b], part, labels[lo:hi], vectors(lo, hi), seed, sweeps
-                )
+                if sparse:
+                    z, theta, loglik = score_block_sparse(
+                        prior, doc_ids[a:b], part, lines[lo:hi], labels[lo:hi], columns.lines, columns.size, seed, sweeps
+                    )
+                else:
+                    z, theta, loglik = score_block(
+                        prior, doc_ids[a:b], part, labels[lo:hi], vectors(lo, hi), seed, sweeps
+                    )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids[a:b], pa.int64()),
