@@ -33,16 +33,41 @@ def test_recall_on_table(spark):
         assert g["rank"].tolist() == list(range(1, 11)) and (np.diff(g.score) >= 0).all()
 
 
-@pytest.mark.parametrize("radius", [0, 3, 9, 17, 30])
-def test_probing_finds_every_code_in_the_radius(spark, radius):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((400, 20)).astype(np.float32)
-    codes = neighbours.Codes.learn(x.astype(np.float64), 5)
-    base = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]).withColumnRenamed("embedding", "vector")
-    got = neighbours._search(base.filter("vec_id < 20"), base, codes, radius, 400).collect()
-    bits = np.unpackbits(codes.encode(x), axis=1)
-    want = {(q, i) for q in range(20) for i in range(400) if i != q and (bits[q] != bits[i]).sum() <= radius}
-    assert {(r.query_id, r.vec_id) for r in got} == want
+@pytest.mark.parametrize("n,bits,margin", [(1, 20, 0), (40, 5, 2), (4000, 64, 0), (4000, 64, 9), (4000, 20, 3), (4000, 64, 64)])
+def test_probing_finds_every_code_in_the_radius(n, bits, margin):
+    rng = np.random.default_rng(n + bits)
+    own = rng.integers(0, 1 << bits, n, dtype=np.uint64)
+    own[: n // 2] = own[0] ^ (np.uint64(1) << rng.integers(0, bits, n // 2).astype(np.uint64))
+    index = neighbours.Index(own, bits)
+    for code in [*own[:6], *own[-6:]]:
+        far = np.sort(np.bitwise_count(own ^ code))
+        last = far[9] + margin if n >= 10 else bits
+        want = np.flatnonzero(np.bitwise_count(own ^ code) <= last)
+        assert sorted(index.within(code, 10, margin)) == want.tolist() == sorted(index._all_within(code, 10, margin))
+
+
+def clustered(n, seed=0, centres=200, width=64):
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((centres, width))
+    return (middle[rng.integers(0, centres, n)] + 0.15 * rng.standard_normal((n, width))).astype(np.float32)
+
+
+def test_clustered_vectors_are_pruned(spark):
+    """A tenth of the vectors at most are ranked, with recall of nine tenths at least."""
+    x = clustered(20_000)
+    codes = neighbours.Codes.learn(x[:5000].astype(np.float64), 10)
+    index = neighbours.Index(codes.encode(x), codes.bits)
+    share, hits = 0, 0
+    for q in range(0, 20_000, 200):
+        rows = index.within(index.own[q], 11, codes.margin)
+        share += len(rows) / len(x) / 100
+        far = ((x.astype(np.float64) - x[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += np.isin(np.argsort(far)[:10], rows).sum()
+    assert share <= 0.1 and hits >= 900
+    got = neighbours.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x[:3000])]), F.pmod("vec_id", F.lit(100)) == 0).collect()
+    want = plain(np.arange(3000), x[:3000].astype(np.float64), range(0, 3000, 100), 10)
+    assert sum((r.vec_id, pytest.approx(r.score)) in want[r.query_id] for r in got) >= 270
 
 
 def test_odd_vectors(spark):
