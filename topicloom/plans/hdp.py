@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from topicloom.operators import gibbs
 from topicloom.operators.arrow import TermColumns, TermVectors, pack_cells
 from topicloom.operators.counts import Sequences, doc_term_counts, feature_sequences
-from topicloom.operators.gibbs import GibbsModel, HdpParams
+from topicloom.operators.gibbs import GibbsModel, HdpParams, StopRule
 from topicloom.operators.tokens import LETTERS_PUNCT
 from topicloom.operators.validation import cross_validate
 from topicloom.operators.vocabulary import build_vocabulary
@@ -25,6 +25,7 @@ K = PARAMS.n_topics
 N_TOP = 6
 #: Sweeps of the queries that check what no sweep may change; the fits themselves sweep until the likelihood is level.
 SWEEPS = 5
+FOLDS = 10
 FIXED = HdpParams(alpha=1.0, beta=0.1, gamma=0.0, n_topics=K, seed=3)
 
 
@@ -226,7 +227,8 @@ def hdp_trace_check(spark, sf_dir):
 
 
 def hdp_fold_sizes(spark, sf_dir):
-    return hdp_cross_validate(spark, sf_dir).select("fold", "n_docs", "n_terms")
+    """Documents and terms of the folds, here after a few sweeps."""
+    return cross_validate(text.terms(spark, sf_dir, LETTERS_PUNCT), PARAMS, FOLDS, 2, 2).select("fold", "n_docs", "n_terms")
 
 
 def unseen_states(spark, sf_dir):
@@ -252,7 +254,7 @@ def unseen_perplexity(spark, sf_dir):
 
 
 def hdp_cross_validate(spark, sf_dir):
-    return cross_validate(text.terms(spark, sf_dir, LETTERS_PUNCT), PARAMS, 3, 2, 5, parallel_folds=3)
+    return cross_validate(text.terms(spark, sf_dir, LETTERS_PUNCT), PARAMS, FOLDS, rule=StopRule())
 
 
 def score_init(spark, sf_dir):
@@ -464,7 +466,7 @@ ORACLES = {
     "hdp_trace_check": f"""WITH {sql.tokens(LETTERS_PUNCT)}
         SELECT count(*) AS least, count(*) AS most, true AS topics_named FROM tok""",
     "hdp_fold_sizes": f"""WITH {sql.tokens(LETTERS_PUNCT)}, f AS (
-          SELECT doc_id, floor({sql.uniform(PARAMS.seed, 'fold', 'doc_id')} * 3)::INTEGER AS fold FROM documents),
+          SELECT doc_id, floor({sql.uniform(PARAMS.seed, 'fold', 'doc_id')} * {FOLDS})::INTEGER AS fold FROM documents),
         n AS (SELECT fold, count(*) AS n_docs FROM f GROUP BY fold)
         SELECT n.fold, any_value(n_docs) AS n_docs, count(DISTINCT term) AS n_terms
         FROM n JOIN f ON f.fold <> n.fold JOIN tok USING (doc_id) GROUP BY n.fold""",
