@@ -332,3 +332,18 @@ def test_log_likelihood_equals_a_plain_product(tree, state):
 def test_training_ends_by_its_rule(planted):
     fit = trees.train_tree(planted, replace(PARAMS, start_branches=2), 40, StopRule(window=3, tol=5e-3))
     assert 7 <= len(fit.trace) <= 40 and fit.trace[-1] > fit.trace[0]
+
+
+def test_likely_nodes_and_the_rest(tree, state, spark):
+    """Rows equal the posterior's, and sum to 1, in one block and in one block a leaf."""
+    want = {}
+    for r in trees.path_posterior(trees.path_weights(tree, state, len(NODES), len(TERMS))).collect():
+        key = (r["doc_id"], r["node_id"] if r["prob"] >= 0.1 else None)
+        want[key] = want.get(key, 0.0) + r["prob"]
+    for limit in ("268435456", "0"):
+        spark.conf.set("spark.topicloom.maxBroadcastBytes", limit)
+        try:
+            got = {(r["doc_id"], r["node_id"]): r["prob"] for r in trees.likely_paths(tree, state, 0.1).collect()}
+        finally:
+            spark.conf.unset("spark.topicloom.maxBroadcastBytes")
+        assert got == pytest.approx(want)

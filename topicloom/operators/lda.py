@@ -21,7 +21,7 @@ from topicloom.functions.draws import hash_gamma_100
 from topicloom.functions.numeric import digamma, lgamma, np_digamma, np_dirichlet_expectation, np_lgamma
 from topicloom.operators.arrow import TermColumns, TermVectors, ragged, spans, sum_vectors, to_ragged, to_rows
 from topicloom.operators.counts import BagOfWords, assign_batches
-from topicloom.session import RollingTables, discard, fresh_path, hold, lookup_join, parallelism
+from topicloom.session import RollingTables, discard, fresh_path, hold, lookup_join, parallelism, with_row_index
 
 TINY = 1e-100
 
@@ -543,12 +543,17 @@ class OnlineLda:
         return spark.createDataFrame(self.trace, "iteration int, perplexity double")
 
 
+#: Mini-batches that share files, and the size of the files' row groups.
+GROUP = 64
+ROW_GROUP_BYTES = 1 << 20
+
+
 def mini_batches(bow: BagOfWords, batch_size: int) -> Iterator[tuple[BagOfWords, int]]:
-    """Contiguous mini-batches with their sizes.
+    """Contiguous mini-batches in id order, with their sizes.
 
-    The batches are written once, one directory each, so that every step reads its
-    own documents only instead of filtering the corpus again.  They are deleted when
-    the last one is done.
+    The corpus is numbered and written once, into files that each hold a slice of ``GROUP`` batches, sorted by
+    batch in small row groups: a step reads the row groups of its own batch, over as many tasks as there are slices.
+    The files are deleted when the last batch is done.
     """
     spark = bow.df.sparkSession
     n_docs = bow.df.count()
@@ -556,16 +561,15 @@ def mini_batches(bow: BagOfWords, batch_size: int) -> Iterator[tuple[BagOfWords,
         if n_docs:
             yield bow, n_docs
         return
+    n_batches = -(-n_docs // batch_size)
     slices = max(1, min(parallelism(spark), batch_size // 64))
-    tagged = bow.df.join(assign_batches(bow.df, batch_size), "doc_id")
+    placed = with_row_index(bow.df.select("doc_id", "ids", "cnts"), ["doc_id"], "_row")
+    tagged = placed.withColumn("batch_id", F.expr(f"_row div {batch_size}")).drop("_row")
+    file = [F.expr(f"batch_id div {GROUP}"), F.pmod(F.xxhash64("doc_id"), F.lit(slices))]
     path = fresh_path(spark, "batches")
-    tagged.repartition(
-        "batch_id", F.pmod(F.xxhash64("doc_id"), F.lit(slices))
-    ).write.partitionBy("batch_id").parquet(path)
-    table = spark.read.schema(
-        "doc_id long, ids array<int>, cnts array<double>, batch_id long"
-    ).parquet(path)
-    n_batches = -(-n_docs // batch_size)
+    spread = tagged.repartition(slices * -(-n_batches // GROUP), *file).sortWithinPartitions("batch_id")
+    spread.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    table = spark.read.schema("doc_id long, ids array<int>, cnts array<double>, batch_id long").parquet(path)
     for b in range(n_batches):
         size = batch_size if b < n_batches - 1 else n_docs - batch_size * (n_batches - 1)
         part = table.filter(F.col("batch_id") == b).drop("batch_id")

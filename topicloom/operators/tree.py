@@ -22,7 +22,7 @@ from topicloom.functions.numeric import lgamma
 from topicloom.operators.counts import Sequences
 from topicloom.operators.gibbs import StopRule, rising
 from topicloom.operators.tokens import unnest
-from topicloom.operators.tree_sampler import SamplePlan, cut_tree, sample
+from topicloom.operators.tree_sampler import SamplePlan, cut_tree, likely_nodes, sample
 from topicloom.session import RollingTables, cut_lineage, hold, lookup_join, with_row_index
 
 NODE_ROW_BYTES = 64
@@ -254,6 +254,11 @@ def path_posterior(weights: DataFrame) -> DataFrame:
     return shifted.select("doc_id", "node_id", (F.col("_e") / F.sum("_e").over(doc)).alias("prob"))
 
 
+def likely_paths(tree: TopicTree, state: DataFrame, least: float = 1e-3) -> DataFrame:
+    """``path_posterior`` without all pairs: nodes of ``least`` or more, and one row without a node for the rest of a document."""
+    return likely_nodes(tree, state, cut_tree(tree, lambda: ancestors(tree.nodes, tree.params.n_levels)), least)
+
+
 def path_distribution(state: DataFrame, params: TreeParams) -> DataFrame:
     """(doc_id, level, node_id, share): (alpha + n_level) / sum, one row per path node."""
     n_levels, alpha = params.n_levels, F.lit(params.alpha)

@@ -114,6 +114,13 @@ def path_posterior(spark, sf_dir):
     return out.withColumn("prob", F.round("prob", 6))
 
 
+def path_posterior_likely(spark, sf_dir):
+    """Nodes of a hundredth or more of a document's posterior, -1 for all others together."""
+    tree, state, _ = given_tree(spark, sf_dir)
+    out = trees.likely_paths(tree, state, 0.01)
+    return out.select("doc_id", F.coalesce("node_id", F.lit(-1)).alias("node_id"), F.round("prob", 6).alias("prob"))
+
+
 def tree_doc_distribution(spark, sf_dir):
     out = trees.path_distribution(given_tree(spark, sf_dir)[1], PARAMS)
     return out.withColumn("share", F.round("share", 9))
@@ -211,6 +218,7 @@ QUERIES = {
     "node_word_loglik": node_word_loglik,
     "path_weights": path_weights,
     "path_posterior": path_posterior,
+    "path_posterior_likely": path_posterior_likely,
     "tree_doc_distribution": tree_doc_distribution,
     "tree_train_distribution": tree_train_distribution,
     "tree_report": tree_report,
@@ -314,6 +322,11 @@ ORACLES = {
     "path_posterior": f"""{_STATE},{_WEIGHTS}, e AS (
           SELECT doc_id, node_id, exp(w - max(w) OVER (PARTITION BY doc_id)) AS e FROM weight)
         SELECT doc_id, node_id, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS prob FROM e""",
+    "path_posterior_likely": f"""{_STATE},{_WEIGHTS}, e AS (
+          SELECT doc_id, node_id, exp(w - max(w) OVER (PARTITION BY doc_id)) AS e FROM weight),
+        p AS (SELECT doc_id, node_id, e / sum(e) OVER (PARTITION BY doc_id) AS prob FROM e)
+        SELECT doc_id, CASE WHEN prob >= 0.01 THEN node_id ELSE -1 END::INTEGER AS node_id, round(sum(prob), 6) AS prob
+        FROM p GROUP BY ALL""",
     "tree_doc_distribution": f"{_STATE},{_DIST} SELECT doc_id, level, node_id, round(share, 9) AS share FROM dist",
     "tree_train_distribution": f"""{_STATE},{_DIST}
         SELECT doc_id, 'doc' || doc_id || ',' || string_agg(
