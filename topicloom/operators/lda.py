@@ -109,14 +109,12 @@ def dirichlet_expectation(rows: DataFrame, key: str, weight: str, out: str = "el
     """Long-form expectation: digamma(weight) - digamma(sum of the key's weights).
 
     The key's total comes from a separate, map-side combined aggregate, so a key
-    with very many rows is never gathered into one window frame.
+    with very many rows is never gathered into one window frame; totals are broadcast
+    if they fit, else a key's rows spread over salts.
     """
-    totals = rows.groupBy(key).agg(F.sum(weight).alias("_total"))
-    return (
-        rows.join(totals, key)
-        .withColumn(out, digamma(F.col(weight)) - digamma(F.col("_total")))
-        .drop("_total")
-    )
+    totals = hold(rows.groupBy(key).agg(F.sum(weight).alias("_total")))
+    joined = lookup_join(rows, totals, [key], "inner", 64.0 * totals.count(), [weight])
+    return joined.withColumn(out, digamma(F.col(weight)) - digamma(F.col("_total"))).drop("_total")
 
 
 # ------------------------------------------------------------------ the E-step
