@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from topicloom.llm import language_id, mixing, near_dup, quality_rules
-from topicloom.llm.common import read
+from topicloom.llm import common, language_id, mixing, near_dup, quality_rules
+from topicloom.llm.common import read, written
 from topicloom.llm.near_dup import Likeness
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -214,3 +214,23 @@ def test_run_writes_each_stage(spark, monkeypatch):
     seen.append(corpus_pipeline.run(spark, "/root/testdata/sf0.001"))
     files = [set(d.inputFiles()) for d in seen]
     assert all(files) and not (files[0] & files[1] or files[1] & files[2] or files[0] & files[2])
+
+
+def test_only_the_last_result_stays(spark, monkeypatch, tmp_path):
+    """What stages write on their way goes, also where a stage fails."""
+    def stage(spark, docs, sf_dir):
+        return written(docs.withColumn("text", F.upper("text")), "on-the-way")
+
+    def broken(spark, docs, sf_dir):
+        written(docs, "on-the-way")
+        raise ValueError("no result")
+
+    monkeypatch.setattr(common, "fresh_path", lambda spark, label: str(tmp_path / f"{label}-{len(list(tmp_path.iterdir()))}-{label}"))
+    monkeypatch.setattr(corpus_pipeline, "fresh_path", common.fresh_path)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() == 200 and [p.name[0] for p in tmp_path.iterdir()] == ["c"]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("d", broken)])
+    with pytest.raises(ValueError):
+        corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [p.name[0] for p in tmp_path.iterdir()] == ["c"]

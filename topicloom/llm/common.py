@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.session import fresh_path
+from topicloom.session import discard, fresh_path
 
 #: A word: a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,8 +70,25 @@ def crc_mod(key: Column, mod: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(mod))
 
 
+#: Tables written since each ``scratch`` that is open was entered.
+_WRITTEN: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: computed once, and kept if executors are lost."""
     path = fresh_path(df.sparkSession, label)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``written`` has written inside.  What is made of these tables must be stored by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            discard(spark, path)
