@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from topicloom.llm import bpe, language_id, mixing, near_dup, quality_rules
 from topicloom.llm.catalogue import WORD_BPE
-from topicloom.llm.common import written
+from topicloom.llm.common import scratch
+from topicloom.session import discard, fresh_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written, and the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; each stage's result is written, and the next one reads it.
+
+    What a stage writes on its way is deleted when its result is there, a result when the next one is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
