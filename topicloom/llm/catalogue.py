@@ -132,6 +132,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
+
+
+@query
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per policy and rule: documents rejected, by this rule, and by no other rule of the policy."""
+    return quality_rules.ablations(quality_rules.ledger(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+_POLICY_RULES = ", ".join(
+    f"('{policy}', '{r.name}', {mask}, {1 << r.bit})" for policy, mask in quality_rules.POLICIES.items() for r in quality_rules.RULES if mask >> r.bit & 1
+)
+ORACLES["quality_rule_ablations"] = ORACLES["op4_quality_rules"].split("SELECT doc_id, n_words::BIGINT")[0] + f"""
+SELECT policy, rule, count(*) FILTER (f & mask <> 0) AS rejected, count(*) FILTER (f & mask & bit <> 0) AS by_rule,
+       count(*) FILTER (f & mask = bit) AS by_rule_alone
+FROM b, (VALUES {_POLICY_RULES}) AS p(policy, rule, mask, bit) GROUP BY policy, rule
+"""
+
 WORD_BPE = "word_bpe_49k.json"
 
 

@@ -58,7 +58,8 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(token, antecedent, confidence, support) from ``labelled(url, bad boolean)``.
 
-    A rule is filed under its rarest token.  Rows whose URL or label is null count for nothing.
+    A rule is filed under its rarest token, of equally rare ones the smallest.  Rows whose URL or label is
+    null count for nothing, repeated rows count each; nothing is mined from an empty table.
     """
     rows = labelled.filter("url IS NOT NULL AND bad IS NOT NULL").select(
         F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
