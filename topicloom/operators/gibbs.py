@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.draws import driver_generator, hash_uniform, np_uniform, quick_uniform
-from topicloom.functions.numeric import digamma, lgamma
+from topicloom.functions.numeric import digamma, lgamma, np_lgamma
 from topicloom.operators.arrow import TermColumns, TermVectors, pack_cells, ragged, spans, to_ragged, to_rows
 from topicloom.operators.counts import Sequences
 from topicloom.operators.sparse_topics import score_sparse, sweep_sparse
@@ -422,14 +422,15 @@ def rising(start: Column, count: Column) -> Column:
     return F.when(count > 0, lgamma(start + count.cast("double")) - lgamma(start)).otherwise(F.lit(0.0))
 
 
-def length_counts(state: DataFrame) -> DataFrame:
-    """(n, docs): how many documents have n tokens."""
-    return state.groupBy(F.size("z").alias("n")).agg(F.count("*").alias("docs"))
+def length_counts(state: DataFrame) -> np.ndarray:
+    """Rows (n, docs): how many documents have n tokens; as many rows as there are lengths."""
+    rows = state.groupBy(F.size("z").alias("n")).agg(F.count("*").alias("docs")).collect()
+    return np.array([(r["n"], r["docs"]) for r in rows], float).reshape(-1, 2)
 
 
-def lengths_norm(lengths: DataFrame, alpha: float) -> float:
-    """Sum over documents of ln alpha (alpha + 1) ... to their lengths; ``lengths(n, docs)``."""
-    return lengths.agg(F.sum(F.col("docs") * rising(F.lit(float(alpha)), F.col("n")))).first()[0] or 0.0
+def lengths_norm(lengths: np.ndarray, alpha: float) -> float:
+    """Sum over documents of ln alpha (alpha + 1) ... to their lengths."""
+    return float(lengths[:, 1] @ (np_lgamma(lengths[:, 0] + alpha) - np_lgamma(np.array([alpha]))))
 
 
 def word_log_lik(topic_terms: DataFrame, totals: Sequence[float], n_terms: int, beta: float) -> float:
@@ -480,7 +481,7 @@ class GibbsModel:
     topic_terms: DataFrame | None = None
     sweeps_done: int = 0
     trace: list[tuple[int, int, int, float, float]] = field(default_factory=list)
-    _lengths: DataFrame | None = None
+    _lengths: np.ndarray | None = None
     _held: DataFrame | None = None
     _tables: RollingTables = field(default_factory=lambda: RollingTables("labels"))
 
@@ -532,7 +533,7 @@ class GibbsModel:
             self.tau, self.tau_new = [float(t) for t in draw[:-1]], float(draw[-1])
         if self._lengths is None:
             # How many documents have how many tokens: all that the likelihood needs of lengths, whatever alpha is.
-            self._lengths = hold(length_counts(self.state))
+            self._lengths = length_counts(self.state)
         labels = sum(r[3] or 0.0 for r in rows.values()) - lengths_norm(self._lengths, alpha)
         log_lik = labels + word_log_lik(self.topic_terms, self.totals, self.n_terms, p.beta)
         self.trace.append((self.sweeps_done, self.n_topics, int(sum(self.totals)), sum(tables), log_lik))
@@ -589,7 +590,7 @@ class GibbsModel:
 
     def release(self) -> None:
         """Let go of what the model holds; its tables can be computed again from the last written state."""
-        for df in (self._held, self.topic_terms, self._lengths):
+        for df in (self._held, self.topic_terms):
             if df is not None:
                 df.unpersist()
 
