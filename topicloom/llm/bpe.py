@@ -156,8 +156,8 @@ class WordCodec:
         return np.array(ids[::-1], "<u4").tobytes()
 
     def forget(self) -> None:
-        """Let go of what texts have left behind; the vocabulary stays."""
-        self.words, self.older, self.pairs = {}, {}, {}
+        """Let go of the words that texts have left behind; the vocabulary and its pairs stay."""
+        self.words, self.older = {}, {}
 
     def _remember(self, piece: str) -> bytes:
         """Ids of a piece that the young generation lacks.  A full young generation becomes the old one, whose place it takes."""
