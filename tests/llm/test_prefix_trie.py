@@ -3,9 +3,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from check import compare
 from topicloom.llm import catalogue, prefix_trie
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,3 +117,11 @@ def test_query_equals_plain(spark):
     found = {(r.conv_id, r.depth): (r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends_sha256) for r in rows}
     assert len(found) == len(rows)
     assert found == {n: (*v[:-1], sha(v[-1])) for n, v in plain_trie(convs).items()}
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet')")
+    ours = catalogue.QUERIES["op12_prefix_trie"](spark, folder).toPandas()
+    assert compare(ours, con.sql(catalogue.ORACLES["op12_prefix_trie"]).df()).startswith("OK")

@@ -306,6 +306,47 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc32_sql(text: str) -> str:
+    """crc32 of a string of ASCII characters."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ 0xEDB88320 if byte & 1 else byte >> 1
+        table.append(byte)
+    start = f"list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    step = f"xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({start}, lambda c, b: {step}), 4294967295)"
+
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+c AS (SELECT conv_id, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS own, o.i, role, text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.i <= h
+  UNION ALL SELECT o.conv_id, 1, o.i, role, text FROM o JOIN c USING (conv_id) WHERE o.i > h),
+n AS (
+  SELECT conv_id, row_number() OVER w AS d, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
+         string_agg(md5(role) || md5(text), '') OVER w AS p
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+k AS MATERIALIZED (SELECT conv_id, d, md5(p) AS k, words FROM n UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+node AS MATERIALIZED (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM k GROUP BY d, k),
+e AS (SELECT conv_id, max(d) AS d FROM k GROUP BY conv_id),
+ends AS (SELECT d, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS h FROM k JOIN e USING (conv_id, d) GROUP BY d, k),
+up AS MATERIALIZED (SELECT node.d, node.k, k.d AS ud, k.k AS uk FROM node JOIN k ON k.conv_id = node.conv_id AND k.d <= node.d),
+child AS MATERIALIZED (SELECT ud AS d, uk AS k, count(*) AS n FROM up WHERE ud = d - 1 GROUP BY ALL),
+tot AS (
+  SELECT ud AS d, uk AS k, count(*) FILTER (child.n IS NULL) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved
+  FROM up JOIN node USING (d, k) LEFT JOIN child USING (d, k) GROUP BY ALL),
+above AS (SELECT up.d, up.k, node.conv_id AS parent FROM up JOIN node ON node.d = ud AND node.k = uk WHERE ud = up.d - 1)
+SELECT conv_id, d::BIGINT AS depth, parent AS parent_conv_id, n_convs, coalesce(child.n, 0)::BIGINT AS n_children, n_leaves,
+       saved AS saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+FROM node JOIN tot USING (d, k) LEFT JOIN child USING (d, k) LEFT JOIN ends USING (d, k) LEFT JOIN above USING (d, k)
+"""
+
+
 @query
 def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = page_text.learn(page_text.labelled_pages(spark))
